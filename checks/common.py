@@ -281,7 +281,8 @@ def sql_f_table(source: str, out: str, keys: str) -> str:
     return (
         f"""
 {out}_s AS (
-  SELECT {keys}, effect, dfn::DOUBLE AS dfn, dfd::DOUBLE AS dfd,
+  SELECT {keys}, effect, CASE WHEN {ok} THEN dfn::DOUBLE END AS dfn,
+         CASE WHEN {ok} THEN dfd::DOUBLE END AS dfd,
          CASE WHEN {ok} THEN (ss / dfn) / (sse / dfd) END AS f,
          CASE WHEN {ok} THEN ss / (ss + sse) END AS ges
   FROM {source}),"""
@@ -297,10 +298,10 @@ def sql_oneway(source: str, out: str, keys: str, factor: str, effect: str) -> st
 {out}_w AS (
   SELECT {keys}, {factor} AS _f, value, avg(value) OVER ({part}) AS _g,
          avg(value) OVER ({part}, {factor}) AS _m
-  FROM {source} WHERE value IS NOT NULL AND {factor} IS NOT NULL),
+  FROM {source} WHERE {factor} IS NOT NULL),
 {out}_e AS (
-  SELECT {keys}, '{effect}' AS effect, count(DISTINCT _f) - 1 AS dfn,
-         count(*) - count(DISTINCT _f) AS dfd, sum((_m - _g) ** 2) AS ss,
+  SELECT {keys}, '{effect}' AS effect, count(DISTINCT _f) FILTER (value IS NOT NULL) - 1 AS dfn,
+         count(value) - count(DISTINCT _f) FILTER (value IS NOT NULL) AS dfd, sum((_m - _g) ** 2) FILTER (value IS NOT NULL) AS ss,
          sum((value - _m) ** 2) AS sse, any_value(_g) AS mean
   FROM {out}_w GROUP BY {keys}),"""
         + sql_f_table(f"{out}_e", out, keys)
@@ -312,7 +313,8 @@ def sql_slope(source: str, out: str, keys: str) -> str:
         f"""
 {out}_e AS (
   SELECT {keys}, 'time' AS effect,
-         CASE WHEN regr_sxx(value, "time") > 0 THEN 1 END AS dfn, regr_count(value, "time") - 2 AS dfd,
+         CASE WHEN regr_sxx(value, "time") > 0 THEN 1 END AS dfn,
+         regr_count(value, "time")::BIGINT - 2 AS dfd,
          regr_r2(value, "time") * regr_syy(value, "time") AS ss,
          (1 - regr_r2(value, "time")) * regr_syy(value, "time") AS sse,
          avg(value) AS mean
@@ -329,11 +331,12 @@ def sql_ancova(source: str, out: str, keys: str) -> str:
 {out}_c AS (
   SELECT {keys}, site, value AS _v,
          value - avg(value) OVER ({part}, site) AS _y,
-         "time" - avg("time") OVER ({part}, site) AS _x,
-         value - avg(value) OVER ({part}) AS _ty, "time" - avg("time") OVER ({part}) AS _tx
-  FROM {source} WHERE value IS NOT NULL AND "time" IS NOT NULL),
+         _t - avg(_t) OVER ({part}, site) AS _x,
+         value - avg(value) OVER ({part}) AS _ty, _t - avg(_t) OVER ({part}) AS _tx
+  FROM (SELECT *, CASE WHEN value IS NOT NULL THEN "time" END AS _t FROM {source}
+        WHERE "time" IS NOT NULL)),
 {out}_b AS (
-  SELECT {keys}, count(DISTINCT site) AS k, count(*) AS nn, avg(_v) AS mean,
+  SELECT {keys}, count(DISTINCT site) FILTER (_v IS NOT NULL) AS k, count(_v) AS nn, avg(_v) AS mean,
          sum(_y * _y) AS r_site, sum(_x * _y) ** 2 / sum(_x * _x) AS s_time,
          sum(_ty * _ty) - sum(_tx * _ty) ** 2 / sum(_tx * _tx) AS r_time
   FROM {out}_c GROUP BY {keys}),

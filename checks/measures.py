@@ -375,7 +375,7 @@ def p_two_sided_t(spark, sf):
 
 
 SQL_FSTATS = """
-s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 10 AS f, (l_linenumber % 9 + 1)::DOUBLE AS dfn,
+s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / 30000 AS f, (l_linenumber % 9 + 1)::DOUBLE AS dfn,
              (l_suppkey % 60 + 2)::DOUBLE AS dfd FROM lineitem),
 d AS (SELECT DISTINCT f, dfn, dfd FROM s)
 """
@@ -394,7 +394,7 @@ def p_upper_f(spark, sf):
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
-        (F.col("l_quantity") / 10).alias("f"),
+        (F.col("l_extendedprice") / 30000).alias("f"),
         (F.col("l_linenumber") % 9 + 1).cast("double").alias("dfn"),
         (F.col("l_suppkey") % 60 + 2).cast("double").alias("dfd"),
     )

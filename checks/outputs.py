@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from checks.common import (
     SQL_REPLICATE,
     SQL_SINGLE,
@@ -22,8 +24,17 @@ from siteratio.operators.reshape import to_long
 from siteratio.plans.cohorts import REPLICATED, SINGLE
 from siteratio.plans.ratios import job_ratio_replicate, job_ratio_single
 from siteratio.plans.statistics import job_statistics
+from siteratio.runtime import scratch_path
 from siteratio.sources import fixtures as fix
 
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Hand a matrix on as a dataset, the way the stages of a study are chained."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _GRID = """,
 cells AS (
   SELECT a.analyte, s AS number, t AS timepoint, o AS site
@@ -92,13 +103,13 @@ l2 AS (
 
 @check("job_ratio_single", sql_select(SQL_LOG2_SINGLE, "l2", "analyte sample value:d"))
 def ratio_single(spark, sf):
-    tables = job_ratio_single(fix.wide_single(spark, sf))
+    tables = job_ratio_single(stored(fix.wide_single(spark, sf), "counts"))
     return to_long(tables["log2va"], ["analyte"])
 
 
 @check("job_ratio_replicate", sql_select(SQL_LOG2_REPLICATE, "l2", "analyte sample value:d"))
 def ratio_replicate(spark, sf):
-    tables = job_ratio_replicate(fix.wide_replicate(spark, sf))
+    tables = job_ratio_replicate(stored(fix.wide_replicate(spark, sf), "counts"))
     return to_long(tables["log2va"], ["analyte"])
 
 
@@ -121,10 +132,6 @@ _FAST_FED = _BIG + "," + sql_arms("za", "b", SITE_SQL, "arm", ("Fast", "Fed")) +
 _PAIRS = _BIG + "," + sql_pairs("z", "b", SITE_SQL) + "," + sql_welch("b", "t", SITE_SQL)
 
 
-def _tests(ctes: str, spec: str, family: str = "", extra: str = "", final: str = "u") -> tuple[str, str, bool]:
-    return ctes + "," + sql_bh("t", "u", family) + extra, f"{spec} {ADJ}", final != "u"
-
-
 _BY_SITE = "," + sql_one_sample("l2", "t", SITE_SQL)
 _BY_TIME = "," + sql_one_sample("l2", "t", CELL_SQL)
 _BY_FED = _FED + "," + sql_one_sample("fed", "t", SITE_SQL)
@@ -183,7 +190,7 @@ _PLANS = {
     "o6_fast_fed_fam": (_FAST_FED + "," + sql_bh("t", "u", "site"), "u", f"analyte site {TTEST2} {ADJ}", False),
     "o5_2_pairs": (_PAIRS + "," + sql_bh("t", "u"), "u", f"analyte site {TTEST2} {ADJ}", False),
     "o6_2_pairs_fam": (
-        _PAIRS + "," + sql_limits("t", "c") + "," + sql_bh("c", "u", "site"),
+        _PAIRS + "," + sql_limits("t", "c2") + "," + sql_bh("c2", "u", "site"),
         "u",
         f"analyte site {TTEST2} {DETAIL} {ADJ}",
         True,
@@ -209,11 +216,12 @@ def _register(key: str, output: str, cohort, base_sql: str, log2) -> None:
 
 
 def _log2_single(spark, sf):
-    return job_ratio_single(fix.wide_single(spark, sf))["log2va"]
+    return stored(job_ratio_single(stored(fix.wide_single(spark, sf), "counts"))["log2va"], "log2va")
 
 
 def _log2_replicate(spark, sf):
-    return job_ratio_replicate(fix.wide_replicate(spark, sf))["log2va"]
+    wide = stored(fix.wide_replicate(spark, sf), "counts")
+    return stored(job_ratio_replicate(wide)["log2va"], "log2va")
 
 
 for _name in SINGLE.outputs:

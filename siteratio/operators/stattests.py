@@ -89,7 +89,7 @@ def xy_moments(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 def xy_from_cells(m: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """The same table when x is constant inside each moments cell."""
-    return m.filter(f"n > 0 AND {ident(x)} IS NOT NULL").selectExpr(
+    return m.filter(f"{ident(x)} IS NOT NULL").selectExpr(
         *idents(keys),
         "n",
         f"cast({ident(x)} AS double) AS mx",
@@ -198,7 +198,7 @@ def welch_from_moments(
     g = ident(group_col)
     arm = f"named_struct('g', {g}, 'n', n, 'mean', mean, 'css', css)"
     arms = (
-        m.filter(f"{g} IS NOT NULL AND n > 0")
+        m.filter(f"{g} IS NOT NULL")
         .groupBy(*keys)
         .agg(*exprs(f"min({arm}) AS a", f"max({arm}) AS b", "count(1) AS k"))
     )
@@ -291,8 +291,8 @@ def _f_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     tested = df.selectExpr(
         *idents(keys),
         "effect",
-        "cast(dfn AS double) AS dfn",
-        "cast(dfd AS double) AS dfd",
+        f"CASE WHEN {usable} THEN cast(dfn AS double) END AS dfn",
+        f"CASE WHEN {usable} THEN cast(dfd AS double) END AS dfd",
         f"CASE WHEN {usable} THEN (ss / dfn) / (sse / dfd) END AS f",
         f"CASE WHEN {usable} THEN ss / (ss + sse) END AS ges",
     )
@@ -305,13 +305,13 @@ def oneway_from_moments(
     """``m`` has one moments row per keys and level of ``factor``."""
     w = over(keys)
     summed = (
-        m.filter(f"n > 0 AND {ident(factor)} IS NOT NULL")
-        .selectExpr("*", f"sum(n * mean) {w} / sum(n) {w} AS _g")
+        m.filter(f"{ident(factor)} IS NOT NULL")
+        .selectExpr("*", f"try_divide(sum(n * mean) {w}, sum(n) {w}) AS _g")
         .groupBy(*keys)
         .agg(
             *exprs(
-                "count(1) - 1 AS dfn",
-                "sum(n) - count(1) AS dfd",
+                "count_if(n > 0) - 1 AS dfn",
+                "sum(n) - count_if(n > 0) AS dfd",
                 "max(_g) AS mean",
                 "sum(n * (mean - _g) * (mean - _g)) AS ss",
                 "sum(css) AS sse",
@@ -362,11 +362,11 @@ def ancova_from_xy(
     factor through the gain over the regression that ignores it.
     """
     solved = (
-        _centred(within.filter(f"n > 0 AND {ident(factor)} IS NOT NULL"), keys)
+        _centred(within.filter(f"{ident(factor)} IS NOT NULL"), keys)
         .groupBy(*keys)
         .agg(
             *exprs(
-                "count(1) AS k",
+                "count_if(n > 0) AS k",
                 "sum(n) AS nn",
                 "max(_gy) AS mean",
                 "sum(syy) AS wyy",

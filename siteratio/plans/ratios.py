@@ -85,8 +85,8 @@ def _reference(
 
 
 def _log2(x: str) -> str:
-    """log2 of a positive finite number, else NULL."""
-    return f"CASE WHEN {x} > 0 AND {x} < double('Infinity') THEN log2({x}) END"
+    """log2 of a positive finite number, else NULL (log2 itself is NULL from 0 down)."""
+    return f"CASE WHEN {x} < double('Infinity') THEN log2({x}) END"
 
 
 def _require_unique(df: DataFrame, analyte_col: str) -> None:
@@ -193,11 +193,12 @@ def job_ratio_replicate(
         sorted_ratios[f"_c{i}"] = f"sort_array(array({', '.join(pairs)}))"
         # NULLs sort first and NaN last: both ends finite means every ratio is there.
         whole = f"_c{i}[0] > double('-Infinity') AND _c{i}[{n - 1}] < double('Infinity')"
-        middle = f"(_c{i}[{(n - 1) // 2}] + _c{i}[{n // 2}]) / 2"
+        low, high = f"_c{i}[{(n - 1) // 2}]", f"_c{i}[{n // 2}]"
+        middle = low if n % 2 else f"({low} + {high}) / 2"
         _put(
             out,
             f"{label}_{timepoint}_{subject}".lower(),
-            f"CASE WHEN {whole} THEN {_log2(middle)} END",
+            f"CASE WHEN {whole} THEN log2({middle}) END",
         )
     log2 = counts.selectExpr(
         f"{ident(analyte_col)} AS {ANALYTE}", *[f"{e} AS {c}" for c, e in sorted_ratios.items()]
