@@ -5,7 +5,8 @@ applied to tables of finished test statistics, never to raw rows.
 
 P(|T_v| >= t) = I_x(v/2, 1/2) with x = v / (v + t^2), and
 P(F_{d1,d2} >= f) = I_x(d2/2, d1/2) with x = d2 / (d2 + d1 f), where I is the
-regularised incomplete beta function.
+regularised incomplete beta function. The relative error is near 1e-13 up to some
+hundred degrees of freedom and grows in proportion to them (1e-7 at 1e9).
 """
 
 from __future__ import annotations

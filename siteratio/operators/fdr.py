@@ -27,15 +27,16 @@ def _by_window(df: DataFrame, family: Sequence[str], out: str) -> DataFrame:
     return ranked.selectExpr("*", lowest).drop("_q")
 
 
-def _by_ranges(df: DataFrame, family: Sequence[str], out: str, range_rows: int) -> DataFrame:
+def _by_ranges(
+    tests: DataFrame, family: Sequence[str], out: str, range_rows: int
+) -> DataFrame:
     """The same rule with bounded tasks.
 
     Distinct p-values with their counts are cut into ordered ranges. A rank is the
     count in earlier ranges plus a running count inside the range; the step-up
     minimum is the running minimum inside plus the least value of later ranges.
-    The tests are frozen first: p is a join key here and must not be recomputed.
+    ``tests`` must be frozen: p is a join key here and must not be recomputed.
     """
-    tests = freeze(df)
     inside = [*family, "_range"]
     counted = (
         tests.filter("_p IS NOT NULL").groupBy(*family, "_p").agg(F.expr("count(1) AS _c"))
@@ -75,23 +76,27 @@ def bh_adjust(
     """Add the adjusted p-value; tests without a p-value stay outside the family.
 
     ``window`` sorts each family in one task, ``scaled`` works in bounded ranges, and
-    ``auto`` chooses by the number of tests (``tests_bound``, an upper bound the caller
-    knows, saves the count). ``p_digits`` first rounds p to significant digits.
+    ``auto`` chooses by the number of tests. ``tests_bound``, an upper bound the caller
+    knows, saves counting them. ``p_digits`` first rounds p to significant digits.
     """
     check_choice("mode", mode, BH_MODES)
-    if mode == "auto":
-        tests = tests_bound if tests_bound is not None else df.count()
-        mode = "window" if tests <= WINDOW_ROWS else "scaled"
     value = present(ident(p))
     if p_digits is not None:
         # Through the decimal text, so that equal digits give equal numbers.
-        value = f"cast(format_string('%.{p_digits - 1}e', {value}) AS double)"
-        value = f"CASE WHEN {present(ident(p))} IS NOT NULL THEN {value} END"
-    prepared = df.selectExpr("*", f"{value} AS _p")
+        rounded = f"cast(format_string('%.{p_digits - 1}e', {value}) AS double)"
+        value = f"CASE WHEN {value} IS NOT NULL THEN {rounded} END"
+    tests = df.selectExpr("*", f"{value} AS _p")
+    if mode == "auto" and tests_bound is not None:
+        mode = "window" if tests_bound <= WINDOW_ROWS else "scaled"
+    if mode != "window":
+        # The finished tests are computed once, here, and then counted and adjusted.
+        tests = freeze(tests)
+        if mode == "auto":
+            mode = "window" if tests.count() <= WINDOW_ROWS else "scaled"
     if mode == "window":
-        adjusted = _by_window(prepared, list(family), out)
+        adjusted = _by_window(tests, list(family), out)
     else:
-        adjusted = _by_ranges(prepared, list(family), out, range_rows)
+        adjusted = _by_ranges(tests, list(family), out, range_rows)
     if p_digits is not None:
         adjusted = adjusted.withColumn(p, F.col("_p"))
     return adjusted.select(*df.columns, out)

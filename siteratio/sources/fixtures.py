@@ -22,7 +22,6 @@ from siteratio.schema import (
     SAMPLE,
     SITE,
     SUBJECT,
-    TIME,
     TIMEPOINT,
     VALUE,
 )
@@ -114,12 +113,21 @@ def wide_replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(analyte, subject, time, site, value) from lineitem; site AF is the reference."""
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "concat('B', cast(floor(l_partkey / 40) AS string)) AS analyte",
-        "concat('S', cast(l_suppkey % 20 AS string)) AS subject",
-        "element_at(array(0D, 30D, 60D, 120D), quarter(l_shipdate)) AS time",
-        "concat(l_returnflag, l_linestatus) AS site",
+        "floor(l_partkey / 40) AS part",
+        "l_suppkey % 20 AS supplier",
+        "quarter(l_shipdate) AS q",
+        "l_returnflag",
+        "l_linestatus",
         "l_extendedprice",
     )
-    return rows.groupBy(ANALYTE, SUBJECT, TIME, SITE).agg(
+    # Grouped on the narrow keys; labels are made once per group.
+    grouped = rows.groupBy("part", "supplier", "q", "l_returnflag", "l_linestatus").agg(
         F.expr("avg(l_extendedprice) AS value")
     )
+    return grouped.selectExpr(
+        "concat('B', cast(part AS string)) AS analyte",
+        "concat('S', cast(supplier AS string)) AS subject",
+        "element_at(array(0D, 30D, 60D, 120D), q) AS time",
+        "concat(l_returnflag, l_linestatus) AS site",
+        "value",
+    )
