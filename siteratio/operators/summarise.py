@@ -171,8 +171,12 @@ def baseline_delta(
 
 
 def sort_by_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Global order by keys, for the sink."""
-    return df.orderBy(*keys)
+    """Global order by keys, for the sink.
+
+    The other columns break ties, so the order is reproducible and a key that holds
+    many rows still spreads over several output ranges.
+    """
+    return df.orderBy(*keys, *[c for c in df.columns if c not in keys])
 
 
 def with_columns_from(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:

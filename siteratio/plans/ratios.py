@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from siteratio.functions.scalars import name_parts_text
 from siteratio.functions.sqltext import ident, number
@@ -168,12 +169,19 @@ def job_ratio_replicate(
     secondary: Sequence[str] = ("1.2", "2.2", "3.2"),
     on_missing_ref: str = "null",
 ) -> dict[str, DataFrame]:
-    """Replicated samples: log2 of the median over all pairs of sample and reference replicate."""
+    """Replicated samples: log2 of the median over all pairs of sample and reference replicate.
+
+    Numeric columns are samples. A source of text columns only (CSV without a schema) is
+    parsed instead.
+    """
     counts = drop_cols_like(wide, "_U_")
     _require_unique(counts, analyte_col)
+    numeric = {f.name for f in counts.schema if isinstance(f.dataType, T.NumericType)}
     values = measures(counts, [analyte_col])
     samples = []
     for column in values:
+        if numeric and column not in numeric:
+            continue
         subject, timepoint, site, replicate = name_parts_text(column, 4)
         subject = subject.replace("HF", "")
         if replicate not in secondary and "qc" not in subject:
