@@ -99,7 +99,7 @@ def bh_adjust(
         adjusted = _by_ranges(tests, list(family), out, range_rows)
     if p_digits is not None:
         adjusted = adjusted.withColumn(p, F.col("_p"))
-    return adjusted.select(*df.columns, out)
+    return adjusted.selectExpr(*idents([*df.columns, out]))
 
 
 def add_stars(df: DataFrame, p_adj: str = "p_adj", out: str = "p_adj_signif") -> DataFrame:

@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteratio.functions.sqltext import ident, idents
+
 
 def null_safe_join(
     a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner", broadcast: bool = False
 ) -> DataFrame:
     """Equi-join where missing keys match each other; the keys of ``a`` are kept."""
-    right = b.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys]
+    right = b.selectExpr(
+        *[f"{ident(k)} AS {ident('_r_' + k)}" for k in keys],
+        *idents(c for c in b.columns if c not in keys),
     )
     if broadcast:
         right = F.broadcast(right)
-    same = reduce(
-        lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    )
+    same = F.expr(" AND ".join(f"{ident(k)} <=> {ident('_r_' + k)}" for k in keys))
     return a.join(right, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -34,4 +34,4 @@ def natural_join(a: DataFrame, b: DataFrame, null_safe: bool = True) -> DataFram
         raise ValueError("the tables share no column")
     joined = null_safe_join(a, b, shared) if null_safe else a.join(b, shared, "inner")
     rest = [c for c in [*a.columns, *b.columns] if c not in shared]
-    return joined.select(*shared, *rest)
+    return joined.selectExpr(*idents([*shared, *rest]))

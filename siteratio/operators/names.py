@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteratio.functions.scalars import RERUN_SUFFIX, name_part, paste
+from siteratio.functions.sqltext import idents
 from siteratio.runtime import broadcast_if_small
 from siteratio.schema import SAMPLE
 
@@ -38,7 +39,7 @@ def dup_label(
     )
     repeated = F.col(order_col) > F.col("_first")
     label = F.when(repeated, paste(F.col(name_col), F.lit(suffix))).otherwise(F.col(name_col))
-    return marked.withColumn(name_col, label).select(*df.columns)
+    return marked.withColumn(name_col, label).selectExpr(*idents(df.columns))
 
 
 def supersede(df: DataFrame, sample_col: str = SAMPLE, suffix: str = RERUN_SUFFIX) -> DataFrame:
@@ -46,7 +47,7 @@ def supersede(df: DataFrame, sample_col: str = SAMPLE, suffix: str = RERUN_SUFFI
     base = F.regexp_replace(F.col(sample_col), suffix, "")
     replaced = df.filter(F.col(sample_col).rlike(suffix)).select(base.alias(sample_col)).distinct()
     kept = df.join(broadcast_if_small(replaced), sample_col, "left_anti")
-    return kept.withColumn(sample_col, base).select(*df.columns)
+    return kept.withColumn(sample_col, base).selectExpr(*idents(df.columns))
 
 
 def supersede_columns(columns: Sequence[str], suffix: str = RERUN_SUFFIX) -> dict[str, str]:

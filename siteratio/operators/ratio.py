@@ -119,4 +119,4 @@ def paired_ratio(
 def group_scalar(df: DataFrame, keys: Sequence[str], scalars: Mapping[str, str]) -> DataFrame:
     """Attach per-group aggregates (name -> expression text) to every row of the group."""
     per_group = df.groupBy(*keys).agg(*exprs(*[f"{e} AS {ident(n)}" for n, e in scalars.items()]))
-    return df.join(per_group, list(keys), "left").select(*df.columns, *scalars)
+    return df.join(per_group, list(keys), "left").selectExpr(*idents([*df.columns, *scalars]))

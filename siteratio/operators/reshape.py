@@ -54,7 +54,7 @@ def to_long(
         ids = [f.name for f in df.schema if not isinstance(f.dataType, T.NumericType)]
     typed = [f"{e} AS {ident(n)}" for n, e in measures(df, ids).items()]
     long = df.selectExpr(*idents(ids), *typed)
-    return long.unpivot(list(ids), None, sample_col, value_col)
+    return long.unpivot(idents(ids), None, sample_col, value_col)
 
 
 def to_keyed(

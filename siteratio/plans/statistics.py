@@ -34,17 +34,23 @@ BY_TIME = [ANALYTE, SITE, TIME]
 
 
 class StatisticsJob:
-    """Builds outputs on demand over one shared moments table."""
+    """Builds outputs on demand over one shared moments table.
+
+    Instead of the log2 matrix a long ``analysis`` table (analyte, site, time, value) may
+    be given, for studies with more samples than a table can have columns. It should hold
+    a row for every missing value that is to count.
+    """
 
     def __init__(
         self,
-        log2: DataFrame,
+        log2: DataFrame | None,
         cohort: Cohort,
+        analysis: DataFrame | None = None,
         p_digits: int | None = None,
         term: str = "numeric",
         bh_mode: str = "auto",
     ) -> None:
-        self.analysis = to_analysis(log2, cohort.minutes)
+        self.analysis = to_analysis(log2, cohort.minutes) if analysis is None else analysis
         self.cohort = cohort
         self.p_digits = p_digits
         self.term = term
@@ -186,7 +192,7 @@ class StatisticsJob:
 
 
 def job_statistics(
-    log2: DataFrame,
+    log2: DataFrame | None,
     cohort: Cohort,
     only: Sequence[str] | None = None,
     **options,

@@ -124,6 +124,14 @@ def test_statistics_outputs(log2):
             assert r.p is None or 0 <= r.p <= r.p_adj <= 1, name
 
 
+def test_statistics_from_a_long_table(log2):
+    wide = job_statistics(log2, SINGLE, only=["o1_time"])["o1_time"]
+    analysis = to_analysis(log2, SINGLE.minutes)
+    long = job_statistics(None, SINGLE, only=["o1_time"], analysis=analysis)["o1_time"]
+    key = lambda df: sorted(df.collect(), key=str)
+    assert key(wide) == key(long)
+
+
 def test_factor_time_and_digits(log2):
     only = ["o3_anova_time", "o3_2_ancova"]
     tables = job_statistics(log2, SINGLE, only=only, term="factor", p_digits=3)

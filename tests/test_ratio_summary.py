@@ -123,3 +123,35 @@ def test_group_scalar(frame):
     df = frame([("m", 1.0), ("m", 2.0)], "a string, v double")
     got = group_scalar(df, ["a"], {"top": "max(v)"}).collect()
     assert sorted((r.v, r.top) for r in got) == [(1.0, 2.0), (2.0, 2.0)]
+
+
+def test_a_group_with_a_third_of_the_rows_is_split(spark):
+    """Adaptive execution splits the hot group of a ratio join; results stay whole."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 60000, 1, 8).selectExpr(
+            "'s' AS subject", "'0' AS timepoint",
+            "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('m', id % 2000) END AS analyte",
+            "CASE WHEN id IN (0) OR (id % 3 > 0 AND id < 2000) THEN 'FA' ELSE 'P' END AS site",
+            "cast(id + 1 AS double) AS value",
+        )
+        ratio = paired_ratio(df, ref="FA", on_multi_ref="mean")
+        rows = ratio.filter("analyte = 'hot'").count()
+        ratio.write.format("noop").mode("overwrite").save()
+        got = ratio.collect()
+        plan = ratio._jdf.queryExecution().executedPlan().toString()
+        assert len(got) == 60000 and rows == 20000
+        assert "skew=true" in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
