@@ -18,7 +18,12 @@ def main() -> None:
     parser.add_argument("--format", default="parquet")
     parser.add_argument("--p-digits", type=int, default=None)
     args = parser.parse_args()
-    spark = SparkSession.builder.appName("siteratio").getOrCreate()
+    spark = (
+        SparkSession.builder.appName("siteratio")
+        # Split hot join partitions even where the next step could reuse the partitioning.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .getOrCreate()
+    )
     where = run_study(
         spark, args.counts, args.out, args.design, args.analyte, args.format, p_digits=args.p_digits
     )

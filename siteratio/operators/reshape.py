@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteratio.functions.scalars import name_parts_text, to_double_text
+from siteratio.functions.scalars import NUMERIC_SHAPE, name_parts_text, to_double_text
 from siteratio.functions.sqltext import ident, idents, number, text
-from siteratio.schema import ANALYTE, ON_DUPLICATE, SAMPLE, VALUE, check_choice
+from siteratio.schema import ANALYTE, ON_DUPLICATE, SAMPLE, SITE, TIME, VALUE, check_choice
 
 
 def drop_cols_like(df: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
@@ -52,9 +52,8 @@ def to_long(
     """
     if ids is None:
         ids = [f.name for f in df.schema if not isinstance(f.dataType, T.NumericType)]
-    typed = [f"{e} AS {ident(n)}" for n, e in measures(df, ids).items()]
-    long = df.selectExpr(*idents(ids), *typed)
-    return long.unpivot(idents(ids), None, sample_col, value_col)
+    cells = measures(df, ids)
+    return unstack(df, ids, list(cells.values()), [sample_col], [[text(n)] for n in cells], value_col)
 
 
 def to_keyed(
@@ -71,7 +70,7 @@ def to_keyed(
     """
     cells = measures(df, ids)
     fields = [sample_col, *parts]
-    keys = [[n, *name_parts_text(n, len(parts))] for n in cells]
+    keys = [[text(v) for v in (n, *name_parts_text(n, len(parts)))] for n in cells]
     return unstack(df, ids, list(cells.values()), fields, keys, value_col)
 
 
@@ -83,10 +82,14 @@ def unstack(
     keys: Sequence[Sequence[str]],
     value_col: str,
 ) -> DataFrame:
-    """One row per cell expression, tagged with that cell's constant key fields."""
+    """One row per cell expression, tagged with that cell's key fields (SQL literals).
+
+    The cells become one array and the keys one constant array, so the plan stays small
+    for thousands of columns (an unpivot expands into one projection per column).
+    """
     structs = [
         "named_struct("
-        + ", ".join(f"{text(f)}, {text(v)}" for f, v in zip(fields, values))
+        + ", ".join(f"{text(f)}, {v}" for f, v in zip(fields, values))
         + ")"
         for values in keys
     ]
@@ -183,7 +186,7 @@ def densify(
         .agg(F.expr(_one_value(value_col)))
     )
     long = unstack(
-        wide, row_keys, idents(map(str, range(len(names)))), ["_g"], [[n] for n in names], value_col
+        wide, row_keys, idents(map(str, range(len(names)))), ["_g"], [[text(n)] for n in names], value_col
     )
     schema = ", ".join(f"{ident(k)} {df.schema[k].dataType.simpleString()}" for k in col_keys)
     parsed = long.selectExpr(
@@ -195,13 +198,20 @@ def densify(
 
 
 def to_analysis(wide: DataFrame, labels: dict[str, float], analyte_col: str = ANALYTE) -> DataFrame:
-    """log2 matrix to (analyte, site, time, sample, value), empty cells as NULL rows."""
-    minutes = ", ".join(f"{text(k)}, {number(v)}" for k, v in labels.items())
-    known = f"try_element_at(map({minutes}), timepoint)"
-    return to_keyed(wide, [analyte_col], ["site", "timepoint", "subject"]).selectExpr(
-        f"{ident(analyte_col)} AS {ANALYTE}",
-        "site",
-        f"coalesce({known}, {to_double_text('timepoint')}) AS time",
-        SAMPLE,
-        VALUE,
+    """log2 matrix to (analyte, site, time, sample, value), empty cells as NULL rows.
+
+    ``labels`` maps time labels to minutes; another label counts if it is a number.
+    """
+    cells = measures(wide, [analyte_col])
+    keys = []
+    for name in cells:
+        site, label, _ = name_parts_text(name, 3)
+        minutes = labels.get(label)
+        if minutes is None and re.match(NUMERIC_SHAPE, label):
+            minutes = float(label)
+        time = "cast(NULL AS double)" if minutes is None else number(minutes)
+        keys.append([text(site), time, text(name)])
+    long = unstack(
+        wide, [analyte_col], list(cells.values()), [SITE, TIME, SAMPLE], keys, VALUE
     )
+    return long.withColumnRenamed(analyte_col, ANALYTE)

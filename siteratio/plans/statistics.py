@@ -55,6 +55,7 @@ class StatisticsJob:
         self.p_digits = p_digits
         self.term = term
         self.bh_mode = bh_mode
+        self._medians: DataFrame | None = None
         self.moments = freeze(st.cell_moments(self.analysis, BY_TIME))
         # No output has more tests than cells x pairs (or x effects).
         self.tests_bound = self.moments.count() * len(BASELINE_PAIRS)
@@ -77,9 +78,15 @@ class StatisticsJob:
         counted = self.moments.selectExpr("*", f"sum(rows) {over(BY_SITE)} AS _rows")
         return counted.filter(f"_rows > {MORE_ROWS_THAN}").drop("_rows")
 
-    def _median(self, keys: list[str], strict: bool, out: str) -> DataFrame:
-        sizes = self.moments.withColumnRenamed("n", "_present").withColumnRenamed("rows", "n")
-        return group_median(self.analysis, keys, VALUE, out, strict, sizes=sizes)
+    def _median(self, keys: list[str], strict: bool) -> DataFrame:
+        sizes = self.moments.selectExpr(*keys, "rows AS n")
+        return group_median(self.analysis, keys, VALUE, "median", strict, sizes=sizes)
+
+    def _time_medians(self) -> DataFrame:
+        """Computed once: two outputs need them."""
+        if self._medians is None:
+            self._medians = freeze(self._median(BY_TIME, strict=True))
+        return self._medians
 
     def _site_tests(self, fed_only: bool = False) -> DataFrame:
         cells = self.moments.filter(f"{TIME} != 0") if fed_only else self.moments
@@ -111,7 +118,7 @@ class StatisticsJob:
 
     def o1_site_fam(self) -> DataFrame:
         tests = self._adjust(self._site_tests(), [SITE])
-        return natural_join(self._median(BY_SITE, False, "median"), tests)
+        return natural_join(self._median(BY_SITE, strict=False), tests)
 
     def o1_fed(self) -> DataFrame:
         return self._adjust(self._site_tests(fed_only=True), [])
@@ -123,8 +130,7 @@ class StatisticsJob:
         return self._adjust(self._time_tests(), [])
 
     def o2_time_fam(self) -> DataFrame:
-        medians = self._median(BY_TIME, True, "median")
-        told = medians.withColumn("direction", flag_direction(F.col("median")))
+        told = self._time_medians().withColumn("direction", flag_direction(F.col("median")))
         return natural_join(self.o8_time_fam(), told)
 
     def o8_time_fam(self) -> DataFrame:
@@ -170,7 +176,7 @@ class StatisticsJob:
         means = self._sites_over_time().select(
             *BY_TIME, F.when(F.col("n") == F.col("rows"), F.col("mean")).alias("mean")
         )
-        summary = natural_join(means, self._median(BY_TIME, True, "median"))
+        summary = natural_join(means, self._time_medians())
         change = baseline_delta(
             summary, BY_SITE, TIME, {"median": "median_change", "mean": "mean_change"}
         ).select(

@@ -48,11 +48,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting no more than ``max_rows`` rows.
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Hint a broadcast only after counting no more than ``max_rows`` (BROADCAST_ROWS) rows.
 
     Above the bound the frame comes back unhinted and the join shuffles (adaptive
     execution then splits skewed partitions).
     """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    bound = BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

@@ -43,6 +43,16 @@ def test_supersede_with_and_without_reruns(frame):
         supersede_columns(["a_20210101", "a_20210202"])
 
 
+def test_name_joins_also_work_shuffled(frame, monkeypatch):
+    """Beyond the broadcast bound the same results come from a shuffle join."""
+    monkeypatch.setattr("siteratio.runtime.BROADCAST_ROWS", 0)
+    df = frame([(i, "same" if i % 3 == 0 else f"n{i}") for i in range(60)], "row_id long, name string")
+    got = dict(rows(dup_label(df, "name", "row_id"), "row_id", "name"))
+    assert len(got) == 60 and got[0] == "same" and sum(v == "same_duplicate" for v in got.values()) == 19
+    names = [("a_1_b", 1.0), ("a_1_b_20210101", 2.0), ("c_1_b", 3.0)]
+    assert rows(supersede(frame(names, "sample string, value double")), "sample", "value") == [("a_1_b", 2.0), ("c_1_b", 3.0)]
+
+
 def test_split_name_is_greedy_and_keeps_unmatched_names(frame):
     df = frame([("a_b_c_d",), ("noparts",), (None,)], "sample string")
     got = rows(split_name(df, "sample", ["x", "y", "z"]), "x", "y", "z")
