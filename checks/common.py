@@ -347,3 +347,42 @@ def sql_ancova(source: str, out: str, keys: str) -> str:
   SELECT {keys}, 'time', 1, nn - k - 1, s_time, r_site - s_time, mean FROM {out}_b),"""
         + sql_f_table(f"{out}_e", out, keys)
     )
+
+
+def sql_ancova_factors(source: str, out: str, keys: str) -> str:
+    """value ~ site + time with four time levels as a factor.
+
+    Sites are projected out by centring; the three remaining time contrasts are solved
+    through the explicit inverse of their 3 x 3 cross products.
+    """
+    within = f"OVER (PARTITION BY {keys}, site)"
+    contrasts = ", ".join(
+        f"(_t = {m})::INT::DOUBLE - avg((_t = {m})::INT::DOUBLE) {within} AS x{i}"
+        for i, m in enumerate((30, 60, 120), 1)
+    )
+    products = ", ".join(f"sum(x{i} * x{j}) AS a{i}{j}" for i in (1, 2, 3) for j in range(i, 4))
+    return (
+        f"""
+{out}_c AS (
+  SELECT {keys}, site, value AS _v, value - avg(value) {within} AS _y,
+         value - avg(value) OVER (PARTITION BY {keys}, _t) AS _z, {contrasts}
+  FROM (SELECT *, "time" AS _t FROM {source} WHERE value IS NOT NULL AND "time" IS NOT NULL)),
+{out}_b AS (
+  SELECT {keys}, count(DISTINCT site) AS k, count(*) AS nn, avg(_v) AS mean, sum(_y * _y) AS r_site,
+         sum(_z * _z) AS r_time, {products},
+         sum(x1 * _y) AS b1, sum(x2 * _y) AS b2, sum(x3 * _y) AS b3
+  FROM {out}_c GROUP BY {keys}),
+{out}_q AS (
+  SELECT *, (b1 * b1 * (a22 * a33 - a23 * a23) + b2 * b2 * (a11 * a33 - a13 * a13)
+             + b3 * b3 * (a11 * a22 - a12 * a12) + 2 * b1 * b2 * (a13 * a23 - a12 * a33)
+             + 2 * b1 * b3 * (a12 * a23 - a13 * a22) + 2 * b2 * b3 * (a12 * a13 - a11 * a23))
+         / (a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13)
+            + a13 * (a12 * a23 - a22 * a13)) AS s_time
+  FROM {out}_b),
+{out}_e AS (
+  SELECT {keys}, 'site' AS effect, k - 1 AS dfn, nn - k - 3 AS dfd,
+         r_time - (r_site - s_time) AS ss, r_site - s_time AS sse, mean FROM {out}_q
+  UNION ALL
+  SELECT {keys}, 'time', 3, nn - k - 3, s_time, r_site - s_time, mean FROM {out}_q),"""
+        + sql_f_table(f"{out}_e", out, keys)
+    )

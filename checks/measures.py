@@ -12,9 +12,9 @@ from checks.common import (
     SQL_SINGLE,
     check,
     sql_ancova,
+    sql_ancova_factors,
     sql_arms,
     sql_bh,
-    sql_f_table,
     sql_limits,
     sql_one_sample,
     sql_oneway,
@@ -294,7 +294,10 @@ def ancova_site_time(spark, sf):
     return st.ancova(line_log2(spark, sf), ["analyte"], "value", "site", "time")
 
 
-@check("ancova_site_time_factor")
+@check(
+    "ancova_site_time_factor",
+    sql_select(SQL_LINE_LOG2 + "," + sql_ancova_factors("l2", "t", "analyte"), "t", f"analyte {EFFECT}"),
+)
 def ancova_site_time_factor(spark, sf):
     return st.ancova(line_log2(spark, sf), ["analyte"], "value", "site", "time", term="factor")
 

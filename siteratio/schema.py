@@ -11,7 +11,6 @@ SAMPLE = "sample"
 VALUE = "value"
 TIME = "time"
 RATIO = "ratio"
-LOG2_RATIO = "log2_ratio"
 ROW_ID = "row_id"
 
 #: The group inside which a site is compared with its reference site.

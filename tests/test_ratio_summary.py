@@ -134,6 +134,7 @@ def test_a_group_with_a_third_of_the_rows_is_split(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
         "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     }
     old = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
@@ -152,6 +153,10 @@ def test_a_group_with_a_third_of_the_rows_is_split(spark):
         plan = ratio._jdf.queryExecution().executedPlan().toString()
         assert len(got) == 60000 and rows == 20000
         assert "skew=true" in plan
+        # Also where the next grouping could have reused the partitioning of the join.
+        sums = ratio.groupBy("subject", "timepoint", "analyte", "site").agg(F.count("value").alias("n"))
+        assert sum(r.n for r in sums.collect()) == 60000
+        assert "skew=true" in sums._jdf.queryExecution().executedPlan().toString()
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
