@@ -175,16 +175,9 @@ def densify(
     group = f"to_json(struct({', '.join(idents(col_keys))}), map('ignoreNullFields', 'false')) AS _g"
     tagged = df.selectExpr(*idents(row_keys), ident(value_col), group)
     names = observed_values(tagged, "_g")
-    # The columns are numbered: labels may hold characters a column name must not.
-    places = ", ".join(f"{text(n)}, {i}" for i, n in enumerate(names))
-    numbered = tagged.selectExpr(
-        *idents(row_keys), ident(value_col), f"element_at(map({places}), _g) AS _n"
-    )
-    wide = (
-        numbered.groupBy(*row_keys)
-        .pivot("_n", list(range(len(names))))
-        .agg(F.expr(_one_value(value_col)))
-    )
+    wide = tagged.groupBy(*row_keys).pivot("_g", names).agg(F.expr(_one_value(value_col)))
+    # Numbered by position: labels may hold characters a column name must not.
+    wide = wide.toDF(*row_keys, *map(str, range(len(names))))
     long = unstack(
         wide, row_keys, idents(map(str, range(len(names)))), ["_g"], [[text(n)] for n in names], value_col
     )
