@@ -241,7 +241,8 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), seed: int = SEED) -> tuple
     placed, plan = streams(docs, carry)
     placed = stored(placed, "placed")
     slots = deal_slots(docs.sparkSession, plan, seed)
-    return placed, block_pieces(placed).join(slots, ["source_no", "block"]), plan
+    # slots come from a small table of draws but are as many as the blocks: never broadcast them
+    return placed, block_pieces(placed).hint("merge").join(slots, ["source_no", "block"]), plan
 
 
 def mixed_texts(docs: DataFrame, seed: int = SEED) -> DataFrame:

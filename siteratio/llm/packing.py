@@ -30,7 +30,7 @@ from siteratio.llm.store import stored
 #: Tokens of a sequence.
 CAPACITY = 2048
 #: Pieces of one length that are ranked together, on average.
-RANKED = 20_000
+RANKED = 2_000
 #: Slots that one row of the plan stands for at most.
 CHUNK = 10_000
 
@@ -170,4 +170,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: b
     pieces = stored(cut_pieces(docs, vocabulary, capacity, with_ids), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = plan_runs(histogram, capacity)
-    return ranked(pieces, histogram).join(slots(spark, runs), ["length", "rank"]).drop("rank")
+    # the slots come from a small plan but are as many as the pieces: never broadcast them
+    return ranked(pieces, histogram).hint("merge").join(slots(spark, runs), ["length", "rank"]).drop("rank")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteratio.llm import archive, mix, packing, pii, quality
+from siteratio.llm import archive, embed, jaccard, mix, packing, pii, quality
 from siteratio.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_partenum_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op7_pii_anchors")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -86,3 +91,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read_archive(spark, path).select(
         "page_id", "payload_bytes", F.col("stored_digest").alias("payload_digest"), "record_type", "refers_to"
     )
+
+
+@query(
+    "op10_p_stable_vectors",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+        AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+        AND list_cosine_similarity(a.x, b.x) >= 0.98),
+    reach AS (
+      SELECT a AS id, a AS root FROM links
+      UNION
+      SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+    least_id AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+    degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, e.vec_id)::BIGINT AS component_id,
+           coalesce(root, e.vec_id) = e.vec_id AS kept
+    FROM embeddings e LEFT JOIN degree d ON d.id = e.vec_id LEFT JOIN least_id r ON r.id = e.vec_id
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_vectors(table(spark, sf_dir, "embeddings"))
