@@ -40,7 +40,7 @@ SHARE = 1.5
 MOST = 2
 SEED = 20_240_601
 #: Documents of a source whose place in the stream is found together, on average.
-GROUP = 20_000
+GROUP = 2_000
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 

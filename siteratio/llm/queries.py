@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteratio.llm import archive, embed, jaccard, mix, packing, pii, quality
+from siteratio.llm import archive, embed, jaccard, licenses, mix, orderhash, packing, pii, quality
 from siteratio.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken_words(table(spark, sf_dir, "documents"))
 
 
+@query("op2_license_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+@query("op9_order_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
