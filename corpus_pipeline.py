@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteratio.llm import mix, packing, pii, quality
+from siteratio.llm import jaccard, mix, packing, pii, quality
 from siteratio.llm.queries import VOCABULARY
 from siteratio.runtime import scratch_path
 
@@ -23,6 +23,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, labels).select(*COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies, that with the smallest id."""
+    return jaccard.keep_one(docs).select(*COLUMNS)
+
+
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -40,12 +45,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", keep_good),
+    ("n-gram jaccard join", drop_near_copies),
     ("pii", redact),
     ("mix sources", mix_sources),
     ("best-fit packing", pack),
 ]
 
-#: The tokenizer, the mixing draws and the classifier have no SQL form.
+#: The classifier, the tokenizer and the mixing draws have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL: str | None = None
 
 

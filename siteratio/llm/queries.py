@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteratio.llm import archive, embed, jaccard, licenses, mix, orderhash, packing, pii, quality
+from siteratio.llm import archive, embed, jaccard, katz, licenses, mix, orderhash, packing, pii, quality
 from siteratio.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query("op6_katz_backoff")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return katz.Model(documents).score(documents)
+
+
 @query("op7_pii_anchors")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
