@@ -51,6 +51,8 @@ SAMPLED_FROM = 128
 CERTAINTY = 35.0
 #: Rows of candidate pairs that are broadcast (16 bytes each); beyond it they are shuffled.
 BROADCAST_PAIRS = 1_000_000
+#: Column that names a row by its id and text, while it is one.
+ROW_KEY = "_id_and_text"
 #: Rounds of comparisons with one set of each group.
 STAR_ROUNDS = 3
 
@@ -110,11 +112,11 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
                      pa.array(key2, pa.int64()), pa.array(looked, pa.int64()), _lists(shown), _lists(mine)],
-                    names=["doc_id", "row_key", "n", "key", "key2", "looked", "shown", "mine"],
+                    names=["doc_id", ROW_KEY, "n", "key", "key2", "looked", "shown", "mine"],
                 )
 
-    columns = "doc_id long, row_key long, n long, key long, key2 long, looked long, shown array<long>, mine array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(
+    columns = f"doc_id long, {ROW_KEY} long, n long, key long, key2 long, looked long, shown array<long>, mine array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias(ROW_KEY), "text").mapInArrow(
         compute, columns
     )
 
@@ -135,7 +137,7 @@ def _candidates(profiles: DataFrame) -> DataFrame:
         profiles.where("n > 0")
         .groupBy("key")
         .agg(
-            F.min("row_key").alias("row_key"),
+            F.min(ROW_KEY).alias(ROW_KEY),
             F.max("n").alias("n"),
             F.max("looked").alias("looked"),
         )
@@ -146,7 +148,7 @@ def _candidates(profiles: DataFrame) -> DataFrame:
         f"case when alone < looked then (1 - {share}) * ln((1 - {share}) / 0.75) else 0 end)"
     )
     set_aside = F.expr(f"coalesce(alone > 0.25 * looked and {surprise} >= {CERTAINTY}, false)")
-    return sets.join(_alone(shown.unionByName(mine)), "key", "left").where(~set_aside).select("key", "n", "row_key")
+    return sets.join(_alone(shown.unionByName(mine)), "key", "left").where(~set_aside).select("key", "n", ROW_KEY)
 
 
 def _shingles(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -164,11 +166,11 @@ def _shingles(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                     names=["key", "n", "shingles"],
                 )
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    wanted = candidates.select("key", "row_key")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias(ROW_KEY), "text")
+    wanted = candidates.select("key", ROW_KEY)
     if wanted.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
         wanted = F.broadcast(wanted)
-    return keyed.join(wanted, "row_key").select("key", "text").mapInArrow(compute, "key long, n long, shingles array<long>")
+    return keyed.join(wanted, ROW_KEY).select("key", "text").mapInArrow(compute, "key long, n long, shingles array<long>")
 
 
 def partitions(band: int) -> int:
@@ -310,10 +312,10 @@ def _classes(docs: DataFrame) -> DataFrame:
     alone = _alone(sets.select(F.explode("shingles").alias("shingle"), "key", F.lit(True).alias("counts")))
     partnered = sets.join(alone, "key", "left").where("100 * (n - coalesce(alone, 0)) >= 75 * n")
     found = components(link_sets(stored(partnered.select("key", "n", "shingles"), "partnered")))
-    rows = profiles.select("doc_id", "row_key", "n", F.expr("if(n > 0, key, null)").alias("key"))
+    rows = profiles.select("doc_id", ROW_KEY, "n", F.expr("if(n > 0, key, null)").alias("key"))
     return stored(
         rows.join(found.withColumnRenamed("id", "key"), "key", "left").select(
-            "doc_id", "row_key", "n", F.coalesce("component", "key").alias("component")
+            "doc_id", ROW_KEY, "n", F.coalesce("component", "key").alias("component")
         ),
         "classes",
     )
@@ -336,8 +338,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts without words join nothing and stay, but of rows alike in doc_id and text one stays.
     """
     rows = _classes(docs)
-    first = F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row_key")
-    kept = rows.where("n > 0").groupBy("component").agg(first).select("row_key")
-    kept = kept.unionByName(rows.where("n = 0").select("row_key").distinct())
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).drop("row_key")
+    first = F.min_by(ROW_KEY, F.struct(F.col("doc_id").isNull(), "doc_id", ROW_KEY)).alias(ROW_KEY)
+    kept = rows.where("n > 0").groupBy("component").agg(first).select(ROW_KEY)
+    kept = kept.unionByName(rows.where("n = 0").select(ROW_KEY).distinct())
+    keyed = docs.withColumn(ROW_KEY, F.xxhash64("doc_id", "text"))
+    return keyed.join(kept, ROW_KEY, "left_semi").dropDuplicates([ROW_KEY]).drop(ROW_KEY)
