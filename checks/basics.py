@@ -20,6 +20,7 @@ from siteratio.operators.ratio import paired_ratio
 from siteratio.operators.reshape import (
     assert_unique,
     densify,
+    expected_rows,
     drop_cols_like,
     lower_names,
     to_long,
@@ -313,6 +314,59 @@ def densify_q(spark, sf):
     return densify(fix.lineitem_keyed(spark, sf), ["analyte"], ["site", "time", "subject"])
 
 
+DAYS_SQL = """, e AS (
+  SELECT user_id // 12 AS analyte, ts::DATE AS day, event_type, event_id % 5 AS sample, avg(value) AS value
+  FROM events GROUP BY ALL)"""
+
+
+def daily(spark, sf):
+    """Averages by day and kind of event: keys of three types."""
+    return (
+        fix.table(spark, sf, "events")
+        .groupBy(
+            F.floor(F.col("user_id") / 12).alias("analyte"),
+            F.to_date("ts").alias("day"),
+            "event_type",
+            (F.col("event_id") % 5).alias("sample"),
+        )
+        .agg(F.avg("value").alias("value"))
+    )
+
+
+@check(
+    "densify_typed_keys",
+    sql_select(
+        "z AS (SELECT 1)"
+        + DAYS_SQL
+        + """, d AS (
+  SELECT a.analyte, g.day, g.event_type, g.sample, k.value
+  FROM (SELECT DISTINCT analyte FROM e) a CROSS JOIN (SELECT DISTINCT day, event_type, sample FROM e) g
+  LEFT JOIN e k ON k.analyte = a.analyte AND k.day = g.day AND k.event_type = g.event_type AND k.sample = g.sample)""",
+        "d",
+        "analyte:i day event_type sample:i value:d",
+    ),
+)
+def densify_typed_keys(spark, sf):
+    return densify(daily(spark, sf), ["analyte"], ["day", "event_type", "sample"])
+
+
+@check(
+    "expected_rows",
+    sql_select(
+        "z AS (SELECT 1)"
+        + DAYS_SQL
+        + """, x AS (
+  SELECT k.analyte, k.day, k.event_type, any_value(g.n) AS rows, count(k.value) AS present
+  FROM e k JOIN (SELECT day, event_type, count(DISTINCT sample) AS n FROM e GROUP BY ALL) g
+    ON g.day = k.day AND g.event_type = k.event_type GROUP BY ALL)""",
+        "x",
+        "analyte:i day event_type rows:i present:i",
+    ),
+)
+def expected_rows_q(spark, sf):
+    return expected_rows(daily(spark, sf), ["analyte"], ["day", "event_type"], ["sample"])
+
+
 # --------------------------------------------------------- names and their parts
 
 RERUN_SQL = (

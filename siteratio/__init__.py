@@ -7,6 +7,7 @@ from siteratio.operators.ratio import group_scalar, paired_ratio
 from siteratio.operators.reshape import (
     assert_unique,
     densify,
+    expected_rows,
     drop_cols_like,
     lower_names,
     to_analysis,
@@ -43,6 +44,7 @@ __all__ = [
     "baseline_delta",
     "bh_adjust",
     "densify",
+    "expected_rows",
     "drop_cols_like",
     "dup_label",
     "filter_group_size",

@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from siteratio.plans.study import DESIGNS, run_study
+from siteratio.schema import ON_MISSING_REF, TERMS
 
 
 def main() -> None:
@@ -17,16 +18,15 @@ def main() -> None:
     parser.add_argument("--analyte", default="analyte")
     parser.add_argument("--format", default="parquet")
     parser.add_argument("--p-digits", type=int, default=None)
+    parser.add_argument("--on-missing-ref", choices=ON_MISSING_REF, default="null")
+    parser.add_argument("--min-samples", type=int, default=None, help="single design only")
+    parser.add_argument("--term", choices=TERMS, default="numeric")
     args = parser.parse_args()
-    spark = (
-        SparkSession.builder.appName("siteratio")
-        # Split hot join partitions even where the next step could reuse the partitioning.
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-        .getOrCreate()
-    )
-    where = run_study(
-        spark, args.counts, args.out, args.design, args.analyte, args.format, p_digits=args.p_digits
-    )
+    options = {"p_digits": args.p_digits, "on_missing_ref": args.on_missing_ref, "term": args.term}
+    if args.min_samples is not None:
+        options["min_samples"] = args.min_samples
+    spark = SparkSession.builder.appName("siteratio").getOrCreate()
+    where = run_study(spark, args.counts, args.out, args.design, args.analyte, args.format, **options)
     for name, path in where.items():
         print(f"{name}\t{path}")
 

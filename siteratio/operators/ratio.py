@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siteratio.functions.scalars import divide_safe
 from siteratio.functions.sqltext import exprs, ident, idents, number, present, text
+from siteratio.operators.joins import null_safe_join
 from siteratio.schema import (
     CELL_KEYS,
     ON_MISSING_REF,
@@ -101,7 +102,7 @@ def paired_ratio(
         f"named_struct('reference', {text(label)}, 'v', _v{i})" for i, label in enumerate(conds)
     )
     kept = idents(df.columns)
-    joined = df.join(refs, list(keys), "left")
+    joined = null_safe_join(df, refs, keys, "left")
     if len(conds) == 1:
         dealt = joined.selectExpr(*kept, f"{text(name)} AS reference", "_v0 AS _v")
     else:
@@ -119,4 +120,4 @@ def paired_ratio(
 def group_scalar(df: DataFrame, keys: Sequence[str], scalars: Mapping[str, str]) -> DataFrame:
     """Attach per-group aggregates (name -> expression text) to every row of the group."""
     per_group = df.groupBy(*keys).agg(*exprs(*[f"{e} AS {ident(n)}" for n, e in scalars.items()]))
-    return df.join(per_group, list(keys), "left").selectExpr(*idents([*df.columns, *scalars]))
+    return null_safe_join(df, per_group, keys, "left").selectExpr(*idents([*df.columns, *scalars]))

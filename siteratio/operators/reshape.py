@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteratio.functions.scalars import NUMERIC_SHAPE, name_parts_text, to_double_text
-from siteratio.functions.sqltext import ident, idents, number, text
+from siteratio.functions.sqltext import ident, idents, number, over, present, text
+from siteratio.operators.joins import null_safe_join
+from siteratio.operators.summarise import RANGE_ROWS, before_range, ranged
+from siteratio.runtime import freeze
 from siteratio.schema import ANALYTE, ON_DUPLICATE, SAMPLE, SITE, TIME, VALUE, check_choice
 
 
@@ -115,7 +118,9 @@ def observed_values(df: DataFrame, col: str) -> list[str]:
     found = df.select(col).distinct().limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"more than {limit} values in {col}: keep the table in long form")
-    return sorted(r[0] for r in found if r[0] is not None)
+    if any(r[0] is None for r in found):
+        raise ValueError(f"{col} has missing labels: name them before they become columns")
+    return sorted(r[0] for r in found)
 
 
 def _one_value(value: str) -> str:
@@ -155,13 +160,32 @@ def to_wide(
     cols: Sequence[str] | None = None,
     on_duplicate: str = "error",
 ) -> DataFrame:
-    """Long to wide, one column per label in ``cols`` (found by a distinct when omitted)."""
+    """Long to wide, one column per label in ``cols`` (found by a distinct when omitted).
+
+    A missing label, or one that ``cols`` does not list, has no column to go to: an error.
+    """
     check_choice("on_duplicate", on_duplicate, ON_DUPLICATE)
     names = list(cols) if cols is not None else observed_values(df, col)
+    told = f"concat('no column for label ', coalesce(cast({ident(col)} AS string), 'NULL'))"
+    listed = f"{ident(col)} IN ({', '.join(map(text, names))})" if names else "false"
+    placed = df.withColumn(
+        col, F.expr(f"CASE WHEN {listed} THEN {ident(col)} ELSE cast(raise_error({told}) AS string) END")
+    )
     if on_duplicate == "count" and has_repeats(df, [row, col]):
-        wide = df.groupBy(row).pivot(col, names).agg(F.count(F.lit(1)).cast("double"))
+        wide = placed.groupBy(row).pivot(col, names).agg(F.count(F.lit(1)).cast("double"))
         return wide.fillna(0.0, names)
-    return df.groupBy(row).pivot(col, names).agg(F.expr(_one_value(value_col)))
+    return placed.groupBy(row).pivot(col, names).agg(F.expr(_one_value(value_col)))
+
+
+def numbered(df: DataFrame, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Distinct rows numbered 1, 2, ... in order, range by range, so no task sees them all."""
+    keys = df.columns
+    cut = ranged(df.distinct(), keys, range_rows)
+    before = before_range(cut.withColumn("_one", F.lit(1).cast("long")), [], "_one")
+    inside = over(["_range"], "ORDER BY " + ", ".join(idents(keys)))
+    return cut.join(before.select("_range", "_before"), "_range").selectExpr(
+        *idents(keys), f"_before + row_number() {inside} AS {ident(out)}"
+    )
 
 
 def densify(
@@ -169,25 +193,47 @@ def densify(
 ) -> DataFrame:
     """Complete the grid row_keys x observed col_keys, absent cells as NULL rows.
 
-    Done as the pivot and unpivot it stands for: one shuffle by row key. The column
-    combinations are a bounded schema (see ``observed_values``).
+    The distinct column keys are numbered, every row key gets all numbers, and the typed keys
+    and the values are joined back: any type of key, missing ones included, any number of
+    them. The grid is as large as it must be; where only its counts are wanted use
+    ``expected_rows``. A second row for a cell is an error.
     """
-    group = f"to_json(struct({', '.join(idents(col_keys))}), map('ignoreNullFields', 'false')) AS _g"
-    tagged = df.selectExpr(*idents(row_keys), ident(value_col), group)
-    names = observed_values(tagged, "_g")
-    wide = tagged.groupBy(*row_keys).pivot("_g", names).agg(F.expr(_one_value(value_col)))
-    # Numbered by position: labels may hold characters a column name must not.
-    wide = wide.toDF(*row_keys, *map(str, range(len(names))))
-    long = unstack(
-        wide, row_keys, idents(map(str, range(len(names)))), ["_g"], [[text(n)] for n in names], value_col
-    )
-    schema = ", ".join(f"{ident(k)} {df.schema[k].dataType.simpleString()}" for k in col_keys)
-    parsed = long.selectExpr(
-        *idents(row_keys), f"from_json(_g, {text(schema)}) AS _k", ident(value_col)
+    keyed = [*row_keys, *col_keys]
+    cells = df.groupBy(*keyed).agg(F.expr(f"{_one_value(value_col)} AS {ident(value_col)}"))
+    numbers = freeze(numbered(df.select(*col_keys), "_g"))
+    count = numbers.count()
+    if not count:
+        return cells
+    grid = (
+        df.select(*row_keys)
+        .distinct()
+        .withColumn("_g", F.explode(F.expr(f"sequence(1L, {count}L)")))
+        .join(numbers, "_g")
+        .select(*keyed)
     )
-    return parsed.selectExpr(
-        *idents(row_keys), *[f"_k.{ident(k)} AS {ident(k)}" for k in col_keys], ident(value_col)
+    return null_safe_join(grid, cells, keyed, "left").select(*keyed, value_col)
+
+
+def expected_rows(
+    df: DataFrame,
+    row_keys: Sequence[str],
+    group_keys: Sequence[str],
+    sample_keys: Sequence[str],
+    value_col: str = VALUE,
+) -> DataFrame:
+    """Per row key and group: the rows its completed grid would have, and the values present.
+
+    A group (a site and time, say) has as many rows for every row key as samples were seen in
+    it anywhere. This is what counts and strict medians need of the grid, without the grid:
+    ``rows`` - ``present`` cells are missing. Row keys that a group has no row for don't appear.
+    """
+    samples = df.select(*group_keys, *sample_keys).distinct()
+    size = samples.groupBy(*group_keys).agg(F.count(F.lit(1)).alias("rows"))
+    present_ = df.groupBy(*row_keys, *group_keys).agg(
+        F.expr(f"count({present(ident(value_col))}) AS present")
     )
+    joined = null_safe_join(present_, size, group_keys)
+    return joined.select(*row_keys, *group_keys, "rows", "present")
 
 
 def to_analysis(wide: DataFrame, labels: dict[str, float], analyte_col: str = ANALYTE) -> DataFrame:

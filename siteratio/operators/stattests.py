@@ -16,6 +16,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteratio.functions.sqltext import exprs, ident, idents, number, over, present, text
@@ -29,8 +30,22 @@ NO_SPREAD = 10 * 2.220446049250313e-16
 # --------------------------------------------------------------------- moments
 
 
+#: Columns of the tables below; a key of one of these names, or with an underscore first, would be ambiguous.
+RESERVED = frozenset(
+    "rows n mean css mx my sxx sxy syy group1 group2 n1 n2 m1 m2 s1 s2 estimate estimate1 estimate2 statistic"
+    " df p conf_low conf_high effect dfn dfd ss sse f ges".split()
+)
+
+
+def _check_keys(keys: Sequence[str]) -> None:
+    taken = sorted(k for k in keys if k.lower() in RESERVED or (k.startswith("_") and k != "_arm"))
+    if taken:
+        raise ValueError(f"rename the key columns {taken}: the tests use these names")
+
+
 def cell_moments(df: DataFrame, keys: Sequence[str], value: str = VALUE) -> DataFrame:
     """keys, rows, n, mean, css: the sufficient statistics of a value per group."""
+    _check_keys(keys)
     return (
         df.selectExpr(*idents(keys), f"{present(ident(value))} AS _v")
         .groupBy(*keys)
@@ -69,6 +84,7 @@ def merge_moments(m: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def xy_moments(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """keys, n, mx, my, sxx, sxy, syy over rows where both x and y are present."""
+    _check_keys(keys)
     return (
         df.selectExpr(
             *idents(keys), f"{present(ident(x))} AS _x", f"{present(ident(y))} AS _y"
@@ -193,32 +209,34 @@ def welch_from_moments(
     group_col: str,
     detailed: bool = False,
     conf: float = 0.95,
+    levels: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``m`` has one moments row per keys and level of ``group_col``."""
+    """``m`` has one moments row per keys and level of ``group_col``.
+
+    The two ``levels`` name the arms; without them they are the two labels of the whole column.
+    A group that lacks one keeps both labels, with no values in that arm.
+    """
     g = ident(group_col)
-    arm = f"named_struct('g', {g}, 'n', n, 'mean', mean, 'css', css)"
+    if levels is None:
+        found = m.filter(f"{g} IS NOT NULL").select(F.expr(f"cast({g} AS string)")).distinct()
+        levels = sorted(r[0] for r in found.limit(3).collect())
+    if len(levels) > 2:
+        raise ValueError("a two-sample test needs two levels")
+    labels = [text(str(v)) for v in levels] + ["cast(NULL AS string)"] * (2 - len(levels))
+    picks = [
+        f"max(CASE WHEN cast({g} AS string) = {label} THEN {c} END) AS {out}{k}"
+        for k, label in enumerate(labels, start=1)
+        for c, out in (("n", "n"), ("mean", "m"), ("css", "s"))
+    ]
+    other = "cast(raise_error('a two-sample test needs two levels') AS string)"
+    strange = f"count_if(cast({g} AS string) NOT IN ({', '.join(labels)}))"
     arms = (
         m.filter(f"{g} IS NOT NULL")
         .groupBy(*keys)
-        .agg(*exprs(f"min({arm}) AS a", f"max({arm}) AS b", "count(1) AS k"))
-    )
-    too_many = "cast(raise_error('a two-sample test needs two levels') AS string)"
-    return _welch(
-        arms.selectExpr(
-            *idents(keys),
-            f"CASE WHEN k > 2 THEN {too_many} ELSE cast(a.g AS string) END AS group1",
-            "CASE WHEN k > 1 THEN cast(b.g AS string) END AS group2",
-            "a.n AS n1",
-            "a.mean AS m1",
-            "a.css AS s1",
-            "CASE WHEN k > 1 THEN b.n END AS n2",
-            "CASE WHEN k > 1 THEN b.mean END AS m2",
-            "CASE WHEN k > 1 THEN b.css END AS s2",
-        ),
-        keys,
-        detailed,
-        conf,
+        .agg(*exprs(*picks, f"CASE WHEN {strange} > 0 THEN {other} ELSE {labels[0]} END AS group1"))
+        .selectExpr("*", f"{labels[1]} AS group2")
     )
+    return _welch(arms, keys, detailed, conf)
 
 
 def ttest_welch(
@@ -228,10 +246,11 @@ def ttest_welch(
     group_col: str,
     detailed: bool = False,
     conf: float = 0.95,
+    levels: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Two-sample test per group; group1 is the first label in sort order."""
+    """Two-sample test per group; group1 is the first label in sort order, or of ``levels``."""
     m = cell_moments(df, [*keys, group_col], value)
-    return welch_from_moments(m, keys, group_col, detailed, conf)
+    return welch_from_moments(m, keys, group_col, detailed, conf, levels)
 
 
 def pairs_from_moments(
@@ -366,24 +385,24 @@ def ancova_from_xy(
         .groupBy(*keys)
         .agg(
             *exprs(
-                "count_if(n > 0) AS k",
-                "sum(n) AS nn",
+                "count_if(n > 0) AS _k",
+                "sum(n) AS _nn",
                 "max(_gy) AS mean",
-                "sum(syy) AS wyy",
-                "try_divide(sum(sxy) * sum(sxy), sum(sxx)) AS ss_cov",
+                "sum(syy) AS _wyy",
+                "try_divide(sum(sxy) * sum(sxy), sum(sxx)) AS _ss_cov",
                 "sum(syy + n * _dy * _dy) - try_divide("
                 "sum(sxy + n * _dx * _dy) * sum(sxy + n * _dx * _dy), sum(sxx + n * _dx * _dx))"
-                " AS sse_cov_only",
+                " AS _sse_cov_only",
             )
         )
     )
     effects = (
-        f"explode(array(named_struct('effect', {text(factor)}, 'dfn', k - 1,"
-        " 'ss', sse_cov_only - (wyy - ss_cov)),"
-        f" named_struct('effect', {text(covariate)}, 'dfn', 1L, 'ss', ss_cov))) AS _e"
+        f"explode(array(named_struct('effect', {text(factor)}, 'dfn', _k - 1,"
+        " 'ss', _sse_cov_only - (_wyy - _ss_cov)),"
+        f" named_struct('effect', {text(covariate)}, 'dfn', 1L, 'ss', _ss_cov))) AS _e"
     )
     rows = solved.selectExpr(
-        *idents(keys), "nn - k - 1 AS dfd", "wyy - ss_cov AS sse", "mean", effects
+        *idents(keys), "_nn - _k - 1 AS dfd", "_wyy - _ss_cov AS sse", "mean", effects
     )
     return _f_rows(rows.selectExpr(*idents(keys), "_e.*", "dfd", "sse", "mean"), keys)
 

@@ -161,8 +161,7 @@ def baseline_delta(
         )
     )
     return (
-        df.filter(f"NOT ({at_base})")
-        .join(base, list(keys), "left")
+        null_safe_join(df.filter(f"NOT ({at_base})"), base, keys, "left")
         .selectExpr(
             *idents(df.columns),
             *[f"abs({ident(v)} - {ident('_b_' + v)}) AS {ident(o)}" for v, o in value_cols.items()],

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from siteratio.functions.scalars import name_parts_text
 from siteratio.functions.sqltext import ident, number
 from siteratio.operators.names import dup_label, supersede_columns
-from siteratio.operators.reshape import drop_cols_like, has_repeats, measures
+from siteratio.operators.reshape import drop_cols_like, measures
 from siteratio.plans.cohorts import LIVER_INFLOW, SITE_LABELS, TIME_LABELS
 from siteratio.schema import ANALYTE, ROW_ID
 
@@ -91,8 +91,10 @@ def _log2(x: str) -> str:
 
 
 def _require_unique(df: DataFrame, analyte_col: str) -> None:
-    if has_repeats(df, [analyte_col]):
-        raise ValueError(f"{analyte_col} repeats: a row per analyte is needed")
+    again = df.groupBy(analyte_col).count().filter("count > 1").limit(5).collect()
+    if again:
+        names = ", ".join(str(r[0]) for r in again)
+        raise ValueError(f"{analyte_col} repeats ({names}): a row per analyte is needed")
 
 
 def _named(out: Mapping[str, str]) -> list[str]:

@@ -105,7 +105,7 @@ class StatisticsJob:
     def _fast_fed(self) -> DataFrame:
         arms = self._sites_over_time().withColumn("_arm", flag_fed(F.col(TIME)))
         merged = st.merge_moments(arms.filter("_arm IS NOT NULL"), [*BY_SITE, "_arm"])
-        return st.welch_from_moments(merged, BY_SITE, "_arm")
+        return st.welch_from_moments(merged, BY_SITE, "_arm", levels=("Fast", "Fed"))
 
     def _pairs(self, detailed: bool) -> DataFrame:
         cells = self._sites_over_time()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from inspect import signature
+
 from pyspark.sql import SparkSession
 
 from siteratio.operators.summarise import sort_by_keys
 from siteratio.plans.cohorts import REPLICATED, SINGLE
 from siteratio.plans.ratios import job_ratio_replicate, job_ratio_single
 from siteratio.plans.statistics import job_statistics
-from siteratio.schema import ANALYTE
+from siteratio.schema import ANALYTE, ROW_ID
 from siteratio.sources.tables import read_log2, read_wide, write_stat, write_tables
 
 DESIGNS = {"single": SINGLE, "replicate": REPLICATED}
@@ -28,16 +30,19 @@ def run_study(
 ) -> dict[str, str]:
     """Run both stages and write ``out``/ion_counts, ``out``/log2va and ``out``/statistics/*.
 
-    The stages meet in the log2 matrix on disk. Returns output name -> location.
+    The stages meet in the log2 matrix on disk. ``options`` are those of the ratio job
+    (``on_missing_ref``, ``min_samples``; ``replicates``, ``secondary``) and of the statistics
+    (``only``, ``p_digits``, ``term``, ``bh_mode``). Returns output name -> location.
     """
     if design not in DESIGNS:
         raise ValueError(f"design must be one of {tuple(DESIGNS)}")
     cohort = DESIGNS[design]
     wide = read_wide(spark, counts, analyte_col, fmt)
-    if design == "single":
-        tables = job_ratio_single(wide, analyte_col)
-    else:
-        tables = job_ratio_replicate(wide.drop("row_id"), analyte_col)
+    job = job_ratio_single if design == "single" else job_ratio_replicate
+    own = {k: options.pop(k) for k in list(options) if k in signature(job).parameters}
+    # Hot join partitions are split also where the next step could reuse the partitioning.
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    tables = job(wide if design == "single" else wide.drop(ROW_ID), analyte_col, **own)
     where = write_tables(tables, out)
     log2 = read_log2(spark, where["log2va"])
     for name, table in job_statistics(log2, cohort, **options).items():

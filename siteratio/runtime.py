@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-#: Most rows a side may have to be broadcast; beyond it the join is shuffled.
+#: Most rows of names that are broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 100_000
 
 
@@ -49,10 +49,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Hint a broadcast only after counting no more than ``max_rows`` (BROADCAST_ROWS) rows.
+    """``df``, computed once, and broadcast if it has no more than ``max_rows`` rows.
 
-    Above the bound the frame comes back unhinted and the join shuffles (adaptive
-    execution then splits skewed partitions).
+    For short lists of names beside a wide matrix: a broadcast spares the matrix its shuffle,
+    which adaptive execution would find out only after both sides are shuffled.
     """
+    rows = freeze(df)
     bound = BROADCAST_ROWS if max_rows is None else max_rows
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    return F.broadcast(rows) if rows.count() <= bound else rows

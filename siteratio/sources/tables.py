@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteratio.functions.sqltext import ident, text
 from siteratio.schema import ANALYTE, ROW_ID
 
 #: Missing values are written as this text in CSV files.
 CSV_NULL = "NA"
 
 
-def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None) -> DataFrame:
-    if fmt == "csv":
-        reader = spark.read.option("header", True).option("nullValue", CSV_NULL)
-        return (reader.schema(schema) if schema else reader).csv(path)
-    if schema:
-        return spark.read.schema(schema).format(fmt).load(path)
-    return spark.read.format(fmt).load(path)
+def _read(
+    spark: SparkSession, path: str, fmt: str, schema: T.StructType | None, ids: Sequence[str]
+) -> DataFrame:
+    """A table; in CSV the text NA is missing in measures, but a name may be written NA."""
+    if fmt != "csv":
+        return (spark.read.schema(schema) if schema else spark.read).format(fmt).load(path)
+    reader = spark.read.option("header", True)
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    measured = [f.name for f in df.schema if f.name not in ids and isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.expr(f"nullif({ident(c)}, {text(CSV_NULL)})") for c in measured})
 
 
 def read_wide(
@@ -33,21 +37,22 @@ def read_wide(
 ) -> DataFrame:
     """Raw matrix: ``row_id``, the analyte column and one column per sample.
 
-    Row order decides which of several equal names counts as the first, so the file
-    should carry an ordinal column. Without one the rows are numbered in file order,
-    which is only defined for a single file; a dataset of several files is refused.
+    Row order decides which of several equal names counts as the first, so the table should
+    carry an ordinal column. Without one, ``row_id`` orders the rows by file name, block of
+    the file and place in it, for any number of files.
     CSV without a schema is read as text: measures are parsed when melted.
     """
-    df = _read(spark, path, fmt, schema)
+    df = _read(spark, path, fmt, schema, [analyte_col, order_col])
     samples = [c for c in df.columns if c not in (order_col, analyte_col)]
     if order_col in df.columns:
         row = F.col(order_col).cast("bigint")
-    elif len(df.inputFiles()) == 1:
-        row = F.monotonically_increasing_id()
     else:
-        raise ValueError(f"{path} has several files and no {order_col} column to order them")
-    quoted = ["`" + c.replace("`", "``") + "`" for c in samples]
-    return df.select(row.alias(ROW_ID), F.col(analyte_col), *quoted)
+        row = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"),
+        )
+    return df.select(row.alias(ROW_ID), F.col(ident(analyte_col)), *map(ident, samples))
 
 
 def read_log2(
@@ -58,18 +63,37 @@ def read_log2(
     schema: T.StructType | None = None,
 ) -> DataFrame:
     """The log2 ratio matrix: the analyte column and one column per site_time_subject."""
-    df = _read(spark, path, fmt, schema)
+    df = _read(spark, path, fmt, schema, [analyte_col])
     if analyte_col not in df.columns:
         raise ValueError(f"{path} has no column {analyte_col}")
     return df.withColumnRenamed(analyte_col, ANALYTE)
 
 
+def _root(spark: SparkSession, path: str) -> str:
+    """A path as its file system writes it, ending in a slash."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(target).toString().rstrip("/") + "/"
+
+
 def _refuse_self_overwrite(df: DataFrame, target: str) -> None:
-    inside = target.rstrip("/") + "/"
-    for f in df.inputFiles():
-        plain = f.split(":", 1)[1] if f.startswith("file:") else f
-        if inside.lstrip("/") in plain.lstrip("/") + "/":
-            raise ValueError(f"{target} is being read and cannot be overwritten")
+    """Refuse a target below or above a folder the plan reads; files are not listed."""
+    spark = df.sparkSession
+    inside = _root(spark, target)
+    plan = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(plan.size()):
+        leaf = plan.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() != "HadoopFsRelation":
+            continue
+        roots = relation.location().rootPaths()
+        for k in range(roots.size()):
+            source = _root(spark, roots.apply(k).toString())
+            if source.startswith(inside) or inside.startswith(source):
+                raise ValueError(f"{target} is being read and cannot be overwritten")
 
 
 def write_tables(tables: Mapping[str, DataFrame], path: str) -> dict[str, str]:

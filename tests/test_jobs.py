@@ -2,6 +2,7 @@ import math
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from siteratio.operators.joins import natural_join
 from siteratio.operators.reshape import to_analysis
@@ -162,13 +163,23 @@ def test_sources_and_sinks(spark, tmp_path, log2):
     path = write_stat(log2.selectExpr("analyte", "cast(NULL AS double) AS p"), str(tmp_path), "stat")
     text = "".join(r.value for r in spark.read.text(path).collect())
     assert "NA" in text
-    numbered = read_wide(spark, _one_file(log2, tmp_path / "one"))
-    assert sorted(r.row_id for r in numbered.select("row_id").collect()) == [0, 1, 2, 3]
-    with pytest.raises(ValueError, match="several files"):
-        log2.repartition(2).write.parquet(str(tmp_path / "two"))
-        read_wide(spark, str(tmp_path / "two"))
 
 
-def _one_file(df, path):
-    df.coalesce(1).write.parquet(str(path))
-    return str(path)
+def test_many_files_are_read_in_the_order_of_their_names(spark, tmp_path, log2):
+    order = [r.analyte for r in log2.orderBy("analyte").collect()]
+    for k, name in enumerate(order):
+        log2.filter(F.col("analyte") == name).coalesce(1).write.parquet(str(tmp_path / "many" / f"part={k}"))
+    numbered = read_wide(spark, str(tmp_path / "many" / "part=*"))
+    assert [r.analyte for r in numbered.orderBy("row_id").select("analyte").collect()] == order
+
+
+def test_a_name_may_be_written_na(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("analyte,s\nNA,1.5\nVal,NA\n")
+    got = read_wide(spark, str(tmp_path / "a.csv"), fmt="csv").select("analyte", "s").collect()
+    assert sorted(map(tuple, got), key=str) == [("NA", "1.5"), ("Val", None)]
+
+
+def test_a_path_that_only_looks_alike_may_be_written(spark, tmp_path, log2):
+    log2.write.parquet(str(tmp_path / "scout" / "log2va"))
+    where = write_tables({"log2va": spark.read.parquet(str(tmp_path / "scout" / "log2va"))}, str(tmp_path / "out"))
+    assert spark.read.parquet(where["log2va"]).count() == log2.count()

@@ -9,6 +9,7 @@ from siteratio.operators.names import dup_label, split_name, supersede, supersed
 from siteratio.operators.reshape import (
     assert_unique,
     densify,
+    expected_rows,
     drop_cols_like,
     lower_names,
     to_keyed,
@@ -144,3 +145,31 @@ def test_densify_equals_pivot_then_unpivot(frame):
     assert dense.count() == 14
     assert dense.filter("v IS NULL").count() == 6
     assert rows(dense.filter("v IS NOT NULL"), "a", "s", "t", "v") == rows(df, "a", "s", "t", "v")
+
+
+def test_labels_without_a_column_are_errors(frame):
+    df = frame([("m", "a", 1.0), ("m", None, 2.0)], "r string, c string, v double")
+    with pytest.raises(ValueError, match="missing labels"):
+        to_wide(df, "r", "c", "v")
+    with pytest.raises(PySparkException, match="no column for label"):
+        to_wide(df.fillna("b", ["c"]), "r", "c", "v", cols=["a"]).collect()
+
+
+def test_densify_keeps_typed_keys_apart(spark, frame):
+    day = "timestamp'2024-01-01 00:00:00"
+    df = spark.sql(f"SELECT * FROM VALUES ('m', {day}.123456', 1D), ('n', {day}.123999', 2D) AS t(a, t, v)")
+    dense = densify(df, ["a"], ["t"], "v")
+    assert dense.schema["t"].dataType == df.schema["t"].dataType
+    assert dense.count() == 4 and dense.select("t").distinct().count() == 2
+    assert sorted(r.v for r in dense.collect() if r.v is not None) == [1.0, 2.0]
+    twice = frame([("m", 1, 1.0), ("m", 1, 2.0)], "a string, t int, v double")
+    with pytest.raises(PySparkException):
+        densify(twice, ["a"], ["t"], "v").collect()
+
+
+def test_expected_rows_beyond_the_bound_of_a_table(spark):
+    # 12,000 samples in one group, far more than a table has columns
+    df = spark.range(12_000).selectExpr("'m' AS a", "id AS s", "'x' AS g", "1D AS v")
+    df = df.unionByName(df.where("s < 3").selectExpr("'n' AS a", "s", "g", "IF(s = 0, NULL, v) AS v"))
+    got = {r.a: (r.g, r.rows, r.present) for r in expected_rows(df, ["a"], ["g"], ["s"], "v").collect()}
+    assert got == {"m": ("x", 12_000, 12_000), "n": ("x", 12_000, 2)}

@@ -160,3 +160,12 @@ def test_a_group_with_a_third_of_the_rows_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_missing_keys_are_groups(frame):
+    df = frame([(None, "A", 2.0), (None, "B", 6.0), ("g", "A", 1.0)], "k string, site string, value double")
+    got = paired_ratio(df, ["k"], ref="A").filter("k IS NULL").select("site", "ratio").collect()
+    assert sorted(map(tuple, got)) == [("A", 1.0), ("B", 3.0)]
+    assert sorted(r.n for r in group_scalar(df, ["k"], {"n": "count(1)"}).collect()) == [1, 2, 2]
+    times = frame([(None, 0.0, 2.0), (None, 30.0, 5.0)], "k string, time double, v double")
+    assert [r.d for r in baseline_delta(times, ["k"], "time", {"v": "d"}).collect()] == [3.0]

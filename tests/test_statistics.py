@@ -242,3 +242,19 @@ def test_bh_after_rounding_to_three_digits(spark):
     df = spark.createDataFrame([(0.012344,), (0.0123449,), (0.5,), (None,)], "p double")
     got = sorted((r.p, r.p_adj) for r in bh_adjust(df, p_digits=3).filter("p IS NOT NULL").collect())
     assert got[0] == got[1] == (0.0123, pytest.approx(0.0123 * 3 / 2))
+
+
+def test_one_arm_groups_keep_both_labels(frame):
+    df = frame([("a", "Fed", 1.0), ("a", "Fed", 2.0), ("b", "Fast", 1.0), ("b", "Fed", 3.0)], "k string, arm string, v double")
+    for levels in (None, ("Fast", "Fed")):
+        got = {r.k: r for r in st.ttest_welch(df, ["k"], "v", "arm", levels=levels).collect()}
+        assert (got["a"].group1, got["a"].group2, got["a"].n1, got["a"].n2) == ("Fast", "Fed", 0, 2)
+        assert (got["b"].n1, got["b"].n2) == (1, 1)
+    with pytest.raises(ValueError, match="two levels"):
+        st.ttest_welch(df.union(df.selectExpr("k", "'third'", "v")), ["k"], "v", "arm").collect()
+
+
+def test_key_names_that_would_be_ambiguous_are_refused(frame):
+    df = frame([("a", 1.0)], "n string, v double")
+    with pytest.raises(ValueError, match="rename the key columns"):
+        st.ttest_one_sample(df, ["n"], "v")
