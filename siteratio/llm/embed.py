@@ -94,7 +94,7 @@ def compare(block: pd.DataFrame) -> pd.DataFrame:
     table = int(block["table"].iloc[0])
     x = np.stack(block["embedding"].to_numpy()).astype(np.float64)
     norm = np.sqrt((x * x).sum(axis=1))
-    alone = len(right) == 0
+    alone = int(block["low"].iloc[0]) == int(block["high"].iloc[0])
     if alone:
         right = left
     cosine = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :])
