@@ -34,6 +34,7 @@ from siteratio.operators.joins import natural_join
 from siteratio.operators.ratio import group_scalar, paired_ratio
 from siteratio.operators.summarise import baseline_delta, group_median
 from siteratio.plans.cohorts import BASELINE_PAIRS, LIVER_INFLOW
+from siteratio.runtime import freeze
 from siteratio.sources import fixtures as fix
 
 CELL = ["analyte", "site", "time"]
@@ -56,7 +57,7 @@ SITE_SQL = "analyte, site"
     ),
 )
 def ratio_single_ref(spark, sf):
-    return paired_ratio(fix.lineitem_keyed(spark, sf), LINE_KEYS, ref="AF")
+    return paired_ratio(freeze(fix.lineitem_keyed(spark, sf)), LINE_KEYS, ref="AF")
 
 
 _K = "(SELECT unnest(['1','2','3']) AS k) x"
@@ -173,9 +174,9 @@ def distinct_values(spark, sf):
 
 
 def summary(spark, sf):
-    l2 = line_log2(spark, sf)
+    l2 = freeze(line_log2(spark, sf))
     means = l2.groupBy(*CELL).agg(mean_strict(F.col("value")).alias("mean"))
-    return natural_join(group_median(l2, CELL, "value"), means)
+    return freeze(natural_join(group_median(l2, CELL, "value"), means))
 
 
 @check("natural_merge", sql_select(_MEDIANS, "m", "analyte site time:d median:d mean:d"))
@@ -329,7 +330,7 @@ def bh_by_family(spark, sf):
 
 @check("bh_scaled", sql_select(SQL_TESTS + "," + sql_bh("t", "u", "site"), "u", ADJUSTED))
 def bh_scaled(spark, sf):
-    return bh_adjust(cell_tests(spark, sf), family=["site"], mode="scaled", range_rows=200)
+    return bh_adjust(cell_tests(spark, sf), family=["site"], mode="scaled", per_halving=16)
 
 
 @check(

@@ -94,6 +94,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
         out[rows] = h
         keep = np.abs(step - 1.0) > 1e-16
         rows, a, b, x, c, d, h = (v[keep] for v in (rows, a, b, x, c, d, h))
+    out[rows] = np.nan  # not converged: no value rather than a partial one
     return out
 
 
@@ -155,7 +156,9 @@ def t_two_sided_quantile(alpha: float, dof: np.ndarray) -> np.ndarray:
         t = t + step
         out[rows] = t
         keep = np.abs(step) > 1e-13 * t
-        rows, t = rows[keep], t[keep]
+        rows, t, step = rows[keep], t[keep], step[keep]
+    if rows.size:  # still moving by more than rounding: no value
+        out[rows[np.abs(step) > 1e-9 * t]] = np.nan
     return out
 
 

@@ -10,38 +10,30 @@ from pyspark.sql import functions as F
 from siteratio.functions.scalars import signif_stars
 from siteratio.functions.sqltext import ident, idents, over, present
 from siteratio.operators.joins import null_safe_join
-from siteratio.operators.summarise import RANGE_ROWS, before_range, ranged
+from siteratio.operators.summarise import before_range
 from siteratio.runtime import freeze
 from siteratio.schema import BH_MODES, check_choice
 
-#: Tests that one window task may sort; larger tables are adjusted in ranges.
-WINDOW_ROWS = 2_000_000
+#: Ranges in each halving of p: more of them make smaller window tasks.
+RANGES_PER_HALVING = 1024
 
 
-def _by_window(df: DataFrame, family: Sequence[str], out: str) -> DataFrame:
-    """Step-up rule in two window sorts; each family is one task."""
-    up = over(family, "ORDER BY _p RANGE UNBOUNDED PRECEDING")
-    down = over(family, "ORDER BY _p DESC RANGE UNBOUNDED PRECEDING")
-    ranked = df.selectExpr("*", f"_p * count(_p) {over(family)} / count(_p) {up} AS _q")
-    lowest = f"CASE WHEN _p IS NOT NULL THEN least(1D, min(_q) {down}) END AS {out}"
-    return ranked.selectExpr("*", lowest).drop("_q")
+def _by_ranges(tests: DataFrame, family: Sequence[str], out: str, per_halving: int) -> DataFrame:
+    """Step-up rule with bounded tasks.
 
-
-def _by_ranges(
-    tests: DataFrame, family: Sequence[str], out: str, range_rows: int
-) -> DataFrame:
-    """The same rule with bounded tasks.
-
-    Distinct p-values with their counts are cut into ordered ranges. A rank is the
-    count in earlier ranges plus a running count inside the range; the step-up
-    minimum is the running minimum inside plus the least value of later ranges.
-    ``tests`` must be frozen: p is a join key here and must not be recomputed.
+    Distinct p-values with their counts fall into ranges fixed by the logarithm of p. A rank is the
+    count in earlier ranges plus a running count inside the range; the step-up minimum is the
+    running minimum inside plus the least value of later ranges. What is seen across a family is
+    one row per range. ``tests`` must be frozen: p is a join key here and must not be recomputed.
     """
     inside = [*family, "_range"]
-    counted = (
-        tests.filter("_p IS NOT NULL").groupBy(*family, "_p").agg(F.expr("count(1) AS _c"))
+    place = f"CASE WHEN _p > 0 THEN cast(floor(log2(_p) * {per_halving}) AS bigint) ELSE {-(1 << 40)}L END AS _range"
+    cut = (
+        tests.filter("_p IS NOT NULL")
+        .groupBy(*family, "_p")
+        .agg(F.expr("count(1) AS _c"))
+        .selectExpr("*", place)
     )
-    cut = ranged(counted, [*family, "_p"], range_rows)
     # One row per family and range: positions of the ranges and size of the family.
     places = before_range(cut, family, "_c").selectExpr("*", f"sum(_w) {over(family)} AS _m")
     ranked = (
@@ -60,7 +52,9 @@ def _by_ranges(
     adjusted = null_safe_join(ranked, least, inside).selectExpr(
         *idents(family), "_p", f"least(1D, _low, _later) AS {out}"
     )
-    return null_safe_join(tests, adjusted, [*family, "_p"], "left")
+    # tests without p would all meet under one missing key: they take no part in the join
+    found = null_safe_join(tests.filter("_p IS NOT NULL"), adjusted, [*family, "_p"], "left")
+    return found.unionByName(tests.filter("_p IS NULL").selectExpr("*", f"cast(NULL AS double) AS {out}"))
 
 
 def bh_adjust(
@@ -70,14 +64,12 @@ def bh_adjust(
     mode: str = "auto",
     p_digits: int | None = None,
     out: str = "p_adj",
-    tests_bound: int | None = None,
-    range_rows: int = RANGE_ROWS,
+    per_halving: int = RANGES_PER_HALVING,
 ) -> DataFrame:
     """Add the adjusted p-value; tests without a p-value stay outside the family.
 
-    ``window`` sorts each family in one task, ``scaled`` works in bounded ranges, and
-    ``auto`` chooses by the number of tests. ``tests_bound``, an upper bound the caller
-    knows, saves counting them. ``p_digits`` first rounds p to significant digits.
+    All modes give the same values in the same way, in ranges that are small whatever the size of
+    a family. ``p_digits`` first rounds p to significant digits.
     """
     check_choice("mode", mode, BH_MODES)
     value = present(ident(p))
@@ -86,17 +78,8 @@ def bh_adjust(
         rounded = f"cast(format_string('%.{p_digits - 1}e', {value}) AS double)"
         value = f"CASE WHEN {value} IS NOT NULL THEN {rounded} END"
     tests = df.selectExpr("*", f"{value} AS _p")
-    if mode == "auto" and tests_bound is not None:
-        mode = "window" if tests_bound <= WINDOW_ROWS else "scaled"
-    if mode != "window":
-        # The finished tests are computed once, here, and then counted and adjusted.
-        tests = freeze(tests)
-        if mode == "auto":
-            mode = "window" if tests.count() <= WINDOW_ROWS else "scaled"
-    if mode == "window":
-        adjusted = _by_window(tests, list(family), out)
-    else:
-        adjusted = _by_ranges(tests, list(family), out, range_rows)
+    # The finished tests are computed once, here.
+    adjusted = _by_ranges(freeze(tests), list(family), out, per_halving)
     if p_digits is not None:
         adjusted = adjusted.withColumn(p, F.col("_p"))
     return adjusted.selectExpr(*idents([*df.columns, out]))

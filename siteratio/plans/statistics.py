@@ -57,8 +57,6 @@ class StatisticsJob:
         self.bh_mode = bh_mode
         self._medians: DataFrame | None = None
         self.moments = freeze(st.cell_moments(self.analysis, BY_TIME))
-        # No output has more tests than cells x pairs (or x effects).
-        self.tests_bound = self.moments.count() * len(BASELINE_PAIRS)
 
     # -- shared pieces
 
@@ -69,7 +67,6 @@ class StatisticsJob:
                 family=family,
                 mode=self.bh_mode,
                 p_digits=self.p_digits,
-                tests_bound=self.tests_bound,
             )
         )
 

@@ -226,7 +226,7 @@ def test_bh_is_the_step_up_rule(spark, mode, family):
     rows.append((300, "alone", 0.2))
     rows.append((301, None, 0.3))
     df = spark.createDataFrame(rows, "i int, fam string, p double")
-    got = {r.i: r.p_adj for r in bh_adjust(df, family=family, mode=mode, range_rows=20).collect()}
+    got = {r.i: r.p_adj for r in bh_adjust(df, family=family, mode=mode, per_halving=4).collect()}
     groups = {}
     for i, fam, p in rows:
         groups.setdefault(fam if family else 0, []).append((i, p))
