@@ -42,7 +42,7 @@ from siteratio.llm.store import stored
 from siteratio.llm.words import mix, shingle_sets
 
 #: Sets that share a signature from which on it counts as common.
-COMMON = 32
+COMMON = 16
 #: Partitions beyond those that guarantee a shared signature, as a share of them.
 SLACK = 0.3
 #: Sets of fewer shingles are never set aside by the sample.
@@ -51,10 +51,12 @@ SAMPLED_FROM = 128
 CERTAINTY = 35.0
 #: Rows of candidate pairs that are broadcast (16 bytes each); beyond it they are shuffled.
 BROADCAST_PAIRS = 1_000_000
+#: Bytes of sketches that are broadcast.
+BROADCAST_SKETCHES = 1 << 25
 #: Column that names a row by its id and text, while it is one.
 ROW_KEY = "_id_and_text"
 #: Rounds of comparisons with one set of each group.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def _bits(n: float) -> int:
@@ -84,43 +86,61 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
 
 
-def _set_key(s: np.ndarray) -> tuple[int, int]:
-    if not len(s):
-        return 0, 0
-    return int(_long(mix(s).sum(dtype=np.uint64, keepdims=True))[0]), int(
-        _long(np.bitwise_xor.reduce(mix(s * np.uint64(0x9E3779B97F4A7C15)), keepdims=True))[0]
-    )
+def _set_key(s: np.ndarray) -> int:
+    """The name of a set: a hash of its size and of its shingles."""
+    total = mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)
+    return int(_long(mix(total))[0])
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Parities: bit i tells whether an odd number of shingles falls to i.
+
+    Two sets differ in at least as many shingles as their sketches of one length differ in bits. The
+    length is a power of two, and a sketch folded in half (by exclusive or) is that of half the length.
+    """
+    bits = 64 << max(0, (len(s) - 1).bit_length() - 5)
+    odd = np.bincount((mix(s ^ np.uint64(0xC0FFEE)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """Of each text: n (size of its set), key and key2 (of the set), looked (at so many sampled shingles), shown."""
+    """Of each text: n (size of its set), key (of the set), looked (at so many sampled shingles)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, key, key2, looked, shown, mine = [], [], [], [], [], []
-                for s in shingle_sets(part.column(2)):
-                    a, b = _set_key(s)
-                    some, own = _sample(s)
-                    n.append(len(s))
-                    key.append(a)
-                    key2.append(b)
-                    looked.append(int(own.sum()))
-                    shown.append(_long(some[~own]))
-                    mine.append(_long(some[own]))
+                found = [(len(s), _set_key(s), int(_sample(s)[1].sum())) for s in shingle_sets(part.column(2))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-                     pa.array(key2, pa.int64()), pa.array(looked, pa.int64()), _lists(shown), _lists(mine)],
-                    names=["doc_id", ROW_KEY, "n", "key", "key2", "looked", "shown", "mine"],
-                )
+                    [part.column(0), part.column(1), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))],
+                    names=["doc_id", ROW_KEY, "n", "key", "looked"],
+                )
 
-    columns = f"doc_id long, {ROW_KEY} long, n long, key long, key2 long, looked long, shown array<long>, mine array<long>"
+    columns = f"doc_id long, {ROW_KEY} long, n long, key long, looked long"
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias(ROW_KEY), "text").mapInArrow(
         compute, columns
     )
 
 
+def _sampled(docs: DataFrame) -> DataFrame:
+    """shingle, key, counts: the sampled shingles of every text; ``counts`` where its set looks at them."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                shown, own, keys = [], [], []
+                for s in shingle_sets(batch.slice(at, 500).column(0)):
+                    some, looked_at = _sample(s)
+                    shown.append(_long(some))
+                    own.append(looked_at)
+                    keys.append(np.full(len(some), _set_key(s), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in (shown, keys, own)], names=["shingle", "key", "counts"]
+                )
+
+    return docs.select("text").mapInArrow(compute, "shingle long, key long, counts boolean")
+
+
 def _alone(rows: DataFrame) -> DataFrame:
     """key and alone: how many shingles of ``rows`` (shingle, key, counts) no other set has."""
     owners = rows.groupBy("shingle").agg(
@@ -129,10 +149,8 @@ def _alone(rows: DataFrame) -> DataFrame:
     return owners.where("key = other and counts").groupBy("key").agg(F.count("*").alias("alone"))
 
 
-def _candidates(profiles: DataFrame) -> DataFrame:
+def _candidates(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """One row per set that may have a partner: key, n and the row to read it from."""
-    shown = profiles.select(F.explode("shown").alias("shingle"), "key", F.lit(False).alias("counts"))
-    mine = profiles.select(F.explode("mine").alias("shingle"), "key", F.lit(True).alias("counts"))
     sets = (
         profiles.where("n > 0")
         .groupBy("key")
@@ -148,29 +166,29 @@ def _candidates(profiles: DataFrame) -> DataFrame:
         f"case when alone < looked then (1 - {share}) * ln((1 - {share}) / 0.75) else 0 end)"
     )
     set_aside = F.expr(f"coalesce(alone > 0.25 * looked and {surprise} >= {CERTAINTY}, false)")
-    return sets.join(_alone(shown.unionByName(mine)), "key", "left").where(~set_aside).select("key", "n", ROW_KEY)
+    return sets.join(_alone(_sampled(docs)), "key", "left").where(~set_aside).select("key", "n", ROW_KEY)
 
 
 def _shingles(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """key, n and the set of each candidate, read again from its text."""
+    """key, n, the set and its sketch of each candidate, read again from its text."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 expected = part.column(0).to_pylist()
-                kept = [(k, s) for k, s in zip(expected, shingle_sets(part.column(1)), strict=True) if _set_key(s)[0] == k]
+                kept = [(k, s) for k, s in zip(expected, shingle_sets(part.column(1)), strict=True) if _set_key(s) == k]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()),
-                     _lists([_long(s) for _, s in kept])],
-                    names=["key", "n", "shingles"],
+                     _lists([_long(s) for _, s in kept]), _lists([_sketch(s) for _, s in kept])],
+                    names=["key", "n", "shingles", "sketch"],
                 )
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias(ROW_KEY), "text")
     wanted = candidates.select("key", ROW_KEY)
     if wanted.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
         wanted = F.broadcast(wanted)
-    return keyed.join(wanted, ROW_KEY).select("key", "text").mapInArrow(compute, "key long, n long, shingles array<long>")
+    return keyed.join(wanted, ROW_KEY).select("key", "text").mapInArrow(compute, "key long, n long, shingles array<long>, sketch array<long>")
 
 
 def partitions(band: int) -> int:
@@ -200,7 +218,7 @@ def signatures(hashes: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(sets: DataFrame) -> DataFrame:
-    """signature, key, n, band, part, sure: all signatures of all sets."""
+    """signature, key, n, band, part: all signatures of all sets."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,40 +233,88 @@ def _signed(sets: DataFrame) -> DataFrame:
                     same = lambda v, t, m=len(out): pa.array(np.full(m, v), t)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(_long(out)), same(key, pa.int64()), same(n, pa.int32()), same(band, pa.int32()),
-                         pa.array(part, pa.int32()), same(sure_matches(n, band), pa.int32())],
-                        names=["signature", "key", "n", "band", "part", "sure"],
+                         pa.array(part, pa.int32())],
+                        names=["signature", "key", "n", "band", "part"],
                     )
 
-    columns = "signature long, key long, n int, band int, part int, sure int"
+    columns = "signature long, key long, n int, band int, part int"
     return sets.select("key", "n", "shingles").mapInArrow(compute, columns)
 
 
-def _groups(sets: DataFrame) -> DataFrame:
-    """signature, key, n of the sets that share a signature, common signatures dropped where they may be."""
+#: SQL for the number of partitions of a band.
+_PARTITIONS = f"element_at(array({', '.join(str(partitions(b)) for b in range(31))}), band + 1)"
+#: SQL for ``sure_matches``.
+_SURE = f"{_PARTITIONS} - ((n + least(4 * n div 3, shiftleft(2, band) - 1)) div 7) div 2"
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has no more than BROADCAST_PAIRS rows (a few longs each)."""
+    return F.broadcast(df) if df.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else df
+
+
+def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets that share a signature, common signatures dropped where they may be; weak partitions of the sets.
+
+    The first has signature, key, n, band and ``low``, the key and n of the set with the least key; the
+    second key, band and ``weak``: in how many partitions the set has common signatures.
+    """
     signed = _signed(sets)
-    signed = signed.repartition("signature")
-    shared = signed.groupBy("signature").agg(
-        F.count("*").alias("members"), F.min("key").alias("low"), F.max("key").alias("high")
-    )
-    multi = stored(signed.join(shared.where("low < high"), "signature").drop("low", "high"), "shared")
+    lowest = F.min(F.struct("key", "n")).alias("low")
+    shared = signed.groupBy("signature").agg(F.count("*").alias("members"), lowest, F.max("key").alias("high"))
+    multi = stored(signed.join(shared.where("low.key < high"), "signature").drop("high"), "shared")
     common = F.col("members") > COMMON
-    crowded = (
-        multi.where(common)
-        .groupBy("key", "band")
-        .agg(F.count_distinct("part").alias("weak"), F.max("sure").alias("sure"))
-        .where("weak >= sure")
-        .select("key", "band", F.lit(True).alias("crowded"))
+    weak = multi.where(common).groupBy("key", "n", "band").agg(F.count_distinct("part").alias("weak"))
+    weak = stored(weak.withColumn("crowded", F.expr(f"weak >= {_SURE}")).drop("n"), "weak")
+    columns = ["signature", "key", "n", "band"]
+    # of a common signature the crowded sets stay: their lowest is found anew
+    crowded = weak.where("crowded").select("key", "band")
+    kept = multi.where(common).join(_few(crowded), ["key", "band"], "left_semi").select(columns)
+    again = kept.groupBy("signature").agg(lowest)
+    hot = kept.join(again, "signature").select(*columns, "low")
+    return multi.where(~common).select(*columns, "low").unionByName(hot), weak.select("key", "band", "weak")
+
+
+def _possible(met: DataFrame, weak: DataFrame) -> DataFrame:
+    """Of pairs that share signatures (a, b, an, bn, band) those that share enough: a, b, shared.
+
+    A linked pair shares a signature in all but half of the partitions in which its sets can differ,
+    and of these it has lost at most those that are weak for both.
+    """
+    counted = (
+        met.where("band = floor(log2(greatest(an, bn)))")
+        .groupBy("a", "b", "an", "bn", "band")
+        .agg(F.count("*").alias("shared"))
     )
-    kept = multi.join(crowded, ["key", "band"], "left").where(~common | F.col("crowded"))
-    return stored(kept.select("signature", "key", "n"), "groups")
+    weak = _few(weak)
+    for side in "ab":
+        own = weak.selectExpr(f"key as {side}", "band", f"weak as weak_{side}")
+        counted = counted.join(own, [side, "band"], "left")
+    lost = "least(coalesce(weak_a, 0), coalesce(weak_b, 0))"
+    return counted.where(f"shared >= {_PARTITIONS} - ((an + bn) div 7) div 2 - {lost}").select("a", "b", "shared")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that are linked, checked on their sets."""
-    pairs = stored(pairs, "pairs")
-    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda df: df
-    left = sets.join(few(pairs), sets["key"] == pairs["a"]).select("a", "b", F.col("shingles").alias("left"))
-    right = sets.join(few(pairs), sets["key"] == pairs["b"]).select("a", "b", F.col("shingles").alias("right"))
+    """The pairs (a, b) of ``pairs`` that are linked, checked on their sets.
+
+    Sketches, a bit or two per shingle, first rule out pairs that surely differ in too many shingles.
+    """
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    short = sets.select("key", "n", "sketch")
+    if short.agg(F.coalesce(F.sum(8 * F.size("sketch")), F.lit(0))).first()[0] <= BROADCAST_SKETCHES:
+        short = F.broadcast(short)
+    for side in "ab":
+        own = short.selectExpr(f"key as {side}", f"n as {side}n", f"sketch as {side}s")
+        pairs = pairs.join(own, side)
+    words = "least(size(as_), size(bs))"
+    pairs = pairs.withColumnRenamed("as", "as_")
+    # a sketch longer than the other is folded to its length; sizes of partners differ by one doubling at most
+    half = lambda c: (
+        f"if(size({c}) > {words}, zip_with(slice({c}, 1, {words}), slice({c}, {words} + 1, {words}), (x, y) -> x ^ y), {c})"
+    )
+    differ = f"aggregate(zip_with({half('as_')}, {half('bs')}, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
+    pairs = _few(stored(pairs.where(f"{differ} <= (an + bn) div 7").select("a", "b"), "alike"))
+    left = sets.join(pairs, sets["key"] == F.col("a")).select("a", "b", F.col("shingles").alias("left"))
+    right = sets.join(pairs, sets["key"] == F.col("b")).select("a", "b", F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - both
     return stored(left.join(right, ["a", "b"]).where(100 * both >= 75 * union).select("a", "b").distinct(), "links")
@@ -259,48 +325,41 @@ def _near(low: str, high: str) -> str:
     return f"100 * least({low}, {high}) >= 75 * greatest({low}, {high})"
 
 
-def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
+def _open(groups: DataFrame, links: DataFrame) -> DataFrame:
     """``groups`` with the label of each set's component so far; groups with one label are left out."""
-    found = components(links)
-    labelled = groups.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn(
-        "label", F.coalesce("component", "key")
-    )
+    found = components(links).selectExpr("id as key", "component")
+    labelled = groups.join(_few(found), "key", "left").withColumn("label", F.coalesce("component", "key"))
     mixed = labelled.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_ = mixed.where("low < high").select("signature", "low")
-    return stored(labelled.join(open_, "signature").select("signature", "key", "n", "label", "low"), "open")
+    mixed = mixed.where("low < high").select("signature", "low")
+    return stored(labelled.join(mixed, "signature").select("signature", "key", "n", "band", "label", "low"), "open")
 
 
 def link_sets(sets: DataFrame) -> DataFrame:
     """Links (a, b) between keys of ``sets`` (key, n, shingles) that connect all linked sets."""
-    groups = _groups(sets)
-    open_ = groups.withColumn("label", F.col("key"))
-    lows = open_.groupBy("signature").agg(F.min("label").alias("low"))
-    open_ = open_.join(lows, "signature")
-    links = tested = None
+    groups, weak = _groups(sets)
+    links = tested = open_ = None
     for _ in range(STAR_ROUNDS):
         # in each group, one set of the lowest component; each set is compared with the one it shares most with
-        hubs = open_.where("label = low").groupBy("signature").agg(
-            F.min(F.struct("key", "n")).alias("hub")
-        )
-        met = open_.where("label > low").join(hubs, "signature").where(_near("n", "hub.n"))
-        met = met.groupBy("key", "label", F.col("hub.key").alias("hub")).agg(F.count("*").alias("times"))
+        if links is None:
+            met = groups.where("key > low.key").selectExpr("key as a", "low.key as b", "n as an", "low.n as bn", "band")
+        else:
+            hubs = open_.where("label = low").groupBy("signature").agg(F.min(F.struct("key", "n")).alias("hub"))
+            met = open_.where("label > low").join(hubs, "signature")
+            met = met.selectExpr("key as a", "hub.key as b", "n as an", "hub.n as bn", "band")
+        met = _possible(met.where(_near("an", "bn")), weak)
         if tested is not None:
-            met = met.join(tested.selectExpr("a as key", "b as hub"), ["key", "hub"], "left_anti")
-        best = met.groupBy("key").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-        pairs = stored(best.selectExpr("key as a", "hub as b"), "star")
+            met = met.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "star")
         found = _linked(pairs, sets)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        open_ = _labelled(groups, links)
-        if found.limit(1).count() == 0:
-            break
-    one, two = open_.drop("low").alias("one"), open_.drop("low").alias("two")
-    rest = (
-        one.join(two, "signature")
-        .where("one.key < two.key and one.label <> two.label and " + _near("one.n", "two.n"))
-        .selectExpr("one.key as a", "two.key as b")
-        .distinct()
+        open_ = _open(groups.select("signature", "key", "n", "band") if open_ is None else open_.drop("label", "low"), links)
+    one, two = open_.alias("one"), open_.alias("two")
+    rest = one.join(two, "signature").where(
+        "one.key < two.key and one.label <> two.label and " + _near("one.n", "two.n")
     )
+    rest = rest.selectExpr("one.key as a", "two.key as b", "one.n as an", "two.n as bn", "one.band as band")
+    rest = _possible(rest, weak).select("a", "b")
     same = tested.selectExpr("least(a, b) as a", "greatest(a, b) as b")
     return links.unionByName(_linked(rest.join(same, ["a", "b"], "left_anti"), sets))
 
@@ -308,10 +367,11 @@ def link_sets(sets: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n and the component (null without shingles) of every row of ``docs``."""
     profiles = stored(_profiles(docs), "profiles")
-    sets = stored(_shingles(docs, stored(_candidates(profiles), "candidates")), "sets")
+    sets = stored(_shingles(docs, stored(_candidates(docs, profiles), "candidates")), "sets")
     alone = _alone(sets.select(F.explode("shingles").alias("shingle"), "key", F.lit(True).alias("counts")))
-    partnered = sets.join(alone, "key", "left").where("100 * (n - coalesce(alone, 0)) >= 75 * n")
-    found = components(link_sets(stored(partnered.select("key", "n", "shingles"), "partnered")))
+    partnered = sets.select("key", "n").join(alone, "key", "left").where("100 * (n - coalesce(alone, 0)) >= 75 * n")
+    partnered = _few(stored(partnered.select("key"), "partnered"))
+    found = components(link_sets(sets.join(partnered, "key", "left_semi")))
     rows = profiles.select("doc_id", ROW_KEY, "n", F.expr("if(n > 0, key, null)").alias("key"))
     return stored(
         rows.join(found.withColumnRenamed("id", "key"), "key", "left").select(

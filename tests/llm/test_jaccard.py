@@ -71,6 +71,19 @@ def test_similar_sets_share_signatures():
             assert same >= max(jaccard.sure_matches(len(x), band) for x in (a, b) if 4 * len(x) // 3 >= 1 << band) >= 1
 
 
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 20, 33, 64, 65, 300, 1025):
+        pool = np.unique(mix(rng.integers(1, 2**62, 2 * n).astype(np.uint64)))
+        for share in (0.0, 0.1, 0.4):
+            b = np.concatenate([pool[: int(n * (1 - share))], pool[n : n + int(n * share * 0.5)]])
+            one, two = sorted((jaccard._sketch(pool[:n]), jaccard._sketch(b)), key=len)
+            while len(two) > len(one):
+                two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+            bits = sum(int(x).bit_count() for x in (one ^ two).view(np.uint64))
+            assert bits <= len(set(pool[:n].tolist()) ^ set(b.tolist()))
+
+
 def test_threshold_is_exact(spark):
     # 3 of 4 shingles: exactly 0.75 links; 5 of 7 does not
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "p q r s t u v w x y"), (4, "p q r s t u v w x z z")]
