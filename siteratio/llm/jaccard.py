@@ -17,9 +17,10 @@ hash, a set counts how many of its thinned shingles no other set has, and is set
 would be found for a set with a partner with a chance below e**-35. Then exactly: a set more than a
 quarter of whose shingles no other remaining set has can't have a partner.
 
-Within a group of sets that share a signature, sets are first compared with one of them; what is
-linked already is not compared again, so a group of thousands of near copies costs as many
-comparisons and not all pairs. Remaining pairs from different components are all compared. Every link
+Within a group of sets that share a signature, sets are first compared with one of them, and what is
+linked already is not compared again. Remaining pairs from different components are all compared,
+after bounds from shared signatures and parity sketches have ruled out most; in a family of very many
+near copies that are not linked among each other their number still grows with its square. Every link
 is checked on the sets themselves (64-bit hashes of shingles).
 
 Defined cases: equal sets are always linked; a null or empty text, or one without words, has no
