@@ -86,31 +86,35 @@ def likeness(one: str, two: str) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(same / either)
 
 
-def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` with ``zone``, numbered from 0 by falling doc_id; how many rows there are."""
-    n = docs.count()
-    zones = min(RANGES, math.ceil(n / RANGE_ROWS))
-    cuts: list[int] = []
-    if zones > 1:
-        shares = [k / zones for k in range(1, zones)]
-        cuts = sorted(set(docs.select(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []))
+def _cuts(docs: DataFrame) -> list[int]:
+    """Bounds of ranges of doc_id. Approximate, and not the same when taken again: take them once."""
+    zones = min(RANGES, math.ceil(docs.count() / RANGE_ROWS))
+    if zones <= 1:
+        return []
+    shares = [k / zones for k in range(1, zones)]
+    return sorted(set(docs.select(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []))
+
+
+def _zoned(docs: DataFrame, cuts: list[int]) -> DataFrame:
+    """``docs`` with ``zone``, numbered from 0 by falling doc_id."""
     inside = F.lit(len(cuts))
     if cuts:
         bounds = F.array(*map(F.lit, cuts))
         inside = F.when(F.col("doc_id").isNull(), inside).otherwise(
             F.lit(len(cuts)) - F.size(F.filter(bounds, lambda c: c < F.col("doc_id")))
         )
-    return docs.withColumn("zone", inside), n
+    return docs.withColumn("zone", inside)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Add next_text and next_parts to ``docs`` (doc_id, text, parts), by falling doc_id."""
     spark = docs.sparkSession
-    zoned, _ = _ranges(docs)
+    cuts = _cuts(docs)
+    zoned = _zoned(docs, cuts)
     walk = Window.partitionBy("zone").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     walked = zoned.withColumn("following", F.lead(F.struct("text", "parts")).over(walk))
     # what follows the last row of a zone is the first row of the next zone that has any
-    texts = _ranges(docs.select("doc_id", "text"))[0]
+    texts = _zoned(docs.select("doc_id", "text"), cuts)
     first = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.bitwise_not(F.xxhash64("text")).alias("late"))
     heads = texts.groupBy("zone").agg(F.max_by("text", first).alias("text")).withColumn("parts", fingerprint("text"))
     zones = sorted(r["zone"] for r in texts.select("zone").distinct().collect())  # RANGES + 1 at most

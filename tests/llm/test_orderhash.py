@@ -92,3 +92,17 @@ def test_odd_rows(spark):
     prints = {r["doc_id"]: r["fingerprint"] for r in got if r["doc_id"]}
     assert prints[1] == prints[2] == prints[3] and prints[6] == prints[7]
     assert orderhash.fingerprints(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_seams_when_cuts_differ_from_call_to_call(spark, monkeypatch):
+    rows = [(i * i + 3, prose(i, 5 + i % 40)) for i in range(90)]
+    exact, calls = F.percentile_approx, []
+
+    def drifting(col, shares, accuracy):
+        calls.append(1)
+        return exact(col, [s / len(calls) for s in shares], accuracy)
+
+    monkeypatch.setattr(orderhash, "RANGE_ROWS", 4)
+    monkeypatch.setattr(F, "percentile_approx", drifting)
+    check(spark, rows)
+    assert calls
