@@ -31,13 +31,7 @@ BASE = (
     ("mit license", "mit"),
 )
 
-# Words one of which every rule needs.
-KEYWORDS = (
-    "license", "licence", "licensed", "licenses", "spdx", "copyright", "cc", "cc0", "gpl", "lgpl",
-    "agpl", "domain", "permission", "redistribution", "reserved", "unlicense", "wtfpl",
-)
-
-# label: its identifier as words; its full name; the keyword of the name
+# label: its identifier as words; its full name; the keyword of the name, a word of all its matches
 NAMES = {
     "apache-1.1": ("apache 1 1", "apache software license version? 1 1", "license"),
     "apache-2.0": ("apache 2 0", "apache license version? 2 0?", "license"),
@@ -65,9 +59,9 @@ NAMES = {
     "epl-2.0": ("epl 2 0", "eclipse public license *1 version? (?:2|v2) 0?", "license"),
     "cddl-1.0": ("cddl 1 0", "common development and distribution license", "license"),
     "cpl-1.0": ("cpl 1 0", "common public license", "license"),
-    "eupl-1.1": ("eupl 1 1", "european union public licen[cs]e *1 1 1", "licence"),
-    "eupl-1.2": ("eupl 1 2", "european union public licen[cs]e *1 1 2", "licence"),
-    "cc0-1.0": ("cc0 1 0", "creative commons zero", "cc0"),
+    "eupl-1.1": ("eupl 1 1", "european union public licen[cs]e *1 1 1", "european"),
+    "eupl-1.2": ("eupl 1 2", "european union public licen[cs]e *1 1 2", "european"),
+    "cc0-1.0": ("cc0 1 0", "creative commons zero", "commons"),
     "cc-by-3.0": ("cc by 3 0", "creative commons attribution 3 0 *2 license", "license"),
     "cc-by-4.0": ("cc by 4 0", "creative commons attribution 4 0 *2 license", "license"),
     "cc-by-sa": ("cc by sa", "creative commons attribution share ?alike *4 license", "license"),
@@ -84,7 +78,7 @@ NAMES = {
     "odbl-1.0": ("odbl 1 0", "open database license", "license"),
     "odc-by-1.0": ("odc by 1 0", "open data commons attribution license", "license"),
     "pddl-1.0": ("pddl 1 0", "public domain dedication and license", "license"),
-    "postgresql": ("postgresql", "postgresql licen[cs]e", "licence"),
+    "postgresql": ("postgresql", "postgresql licen[cs]e", "postgresql"),
     "psf-2.0": ("psf 2 0", "python software foundation license", "license"),
     "php-3.01": ("php 3 01", "php license *1 3 01", "license"),
     "ruby": ("ruby", "ruby license", "license"),
@@ -125,6 +119,15 @@ NOTICES = (
     ("royalty free license", "royalty-free", 2, 0.5, "license"),
 )
 
+# Words one of which every match of a rule has.
+KEYWORDS = tuple(
+    dict.fromkeys(
+        ["license", "cc", "spdx", "opensource"]
+        + [notice[4] for notice in NOTICES]
+        + [word for ident, _, keyword in NAMES.values() for word in (ident.split()[0], keyword)]
+    )
+)
+
 _GRANT = "(?:licensed|released|distributed|published|available|provided|covered|used)"
 
 # Bytes that separate words; A-Z belong to words before lower-casing.
@@ -160,19 +163,22 @@ def word_pattern(pattern: str) -> str:
 
 
 def rules() -> list[Rule]:
-    """All rules in order: base phrases, notices, then five forms for every license."""
+    """All rules in order: base phrases, notices, then seven forms for every license.
+
+    A rule's keyword is a whole word of each of its matches, so trying it only there loses none.
+    """
     rows: list[tuple] = [(p, label, 2, 0.8, "cc" if p.startswith("cc") else "license", True) for p, label in BASE]
     rows += [(*notice, False) for notice in NOTICES]
     for label, (ident, name, keyword) in NAMES.items():
-        own = next((w for w in ident.split() if w in KEYWORDS), "license")
+        own = ident.split()[0]
         rows += [
             (f"spdx license identifier {ident} (?:only|or)? later?", label, 0, 0.99, "spdx", False),
-            (f"opensource org licenses? {ident}", label, 0, 0.9, "licenses", False),
+            (f"opensource org licenses? {ident}", label, 0, 0.9, "opensource", False),
             (f"{_GRANT} *3 under *4 {name}", label, 1, 0.95, keyword, False),
-            (f"{_GRANT} *3 under *2 {ident}", label, 1, 0.9, own if own != "license" else "licensed", False),
+            (f"{_GRANT} *3 under *2 {ident}", label, 1, 0.9, own, False),
             (name, label, 2, 0.8, keyword, False),
-            (f"{ident} licen[cs]e", label, 2, 0.75, "license", False),
-            (f"licen[cs]e {ident}", label, 2, 0.7, "license", False),
+            (f"{ident} licen[cs]e", label, 2, 0.75, own, False),
+            (f"licen[cs]e {ident}", label, 2, 0.7, own, False),
         ]
     return [Rule(k, *row[1:5], word_pattern(row[0]), row[5]) for k, row in enumerate(rows)]
 

@@ -98,3 +98,40 @@ def test_odd_rows(spark):
     assert all(r["labels"] == [] and r["base_labels"] == [] and r["score"] == 0 and r["n_base"] == 0 for r in got)
     assert {r["doc_id"]: r["n_words"] for r in got}[9] == len(WORD.findall(lower(ODD[-1][1])))
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+GRANTED = [
+    "Released under Apache 2.0", "distributed under the MPL 2.0", "available under BSD 3-Clause", "MIT Licence",
+    "Licence: ISC", "European Union Public License v 1 2", "European Union Public Licence 1 1", "Creative Commons Zero",
+    "PostgreSQL License", "PostgreSQL Licence", "https://opensource.org/MIT", "covered under Zlib", "no words of it",
+]
+
+
+def test_keywords_lose_no_match(spark, monkeypatch):
+    patterns = []
+    monkeypatch.setattr(licenses, "word_pattern", lambda p, real=licenses.word_pattern: patterns.append(p) or real(p))
+    rules = licenses.rules()
+    monkeypatch.undo()
+
+    def written_out(pattern, pick, optional):
+        out = []
+        for word in pattern.split(" "):
+            if word.startswith("*") or (word.endswith("?") and not word.startswith("?") and not optional):
+                continue
+            word = word.replace("[0-9][0-9]", "99").replace("licen[cs]e", "(?:license|licence)").strip("?")
+            choices = word.split("(?:")[-1].replace(")", "|", 1).removesuffix("|").split("|")
+            out.append(choices[pick % len(choices)].replace("1999", "19") if "(?:" in word else word)
+        return " ".join(out)
+
+    texts = GRANTED + [written_out(p, pick, more) for p in patterns for pick in (0, 1) for more in (False, True)]
+    rows = list(enumerate(dict.fromkeys(texts)))
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, rows)).collect()}
+    seen = set()
+    for i, text in rows:
+        marked = "".join(f"\x01{w}\x02{k}" for k, w in enumerate(WORD.findall(lower(text)))) + "\x01"
+        want = {r.rank for r in rules if re.search(r.pattern, marked)}
+        seen |= want
+        assert {d["rank"] for d in got[i]["detections"] or []} == want, text
+    assert len(seen) > 0.98 * len(rules)
+    for i in range(len(GRANTED) - 1):
+        assert got[i]["labels"] and got[i]["score"] > 0, GRANTED[i]
