@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 #: Payloads of fewer bytes are always written in full.
 REVISIT_FROM = 100
 
+#: WARC-Date of all records unless another is given, so that equal pages make equal archives.
+DATE = "2000-01-01T00:00:00Z"
+
 CRLF = "\\r\\n"
 
 
@@ -35,33 +38,42 @@ def payload_digests(pages: DataFrame) -> DataFrame:
     ).withColumn("digest", F.sha2("payload", 256))
 
 
-def record_headers(keyed: DataFrame) -> DataFrame:
+def record_headers(keyed: DataFrame, date: str = DATE) -> DataFrame:
     """One header block per page, as response or as a revisit of the response with equal payload.
 
-    ``keyed`` has page_id, url, digest and size (bytes of the payload).
+    ``keyed`` has page_id, url, digest and size (bytes of the payload). A record's ID is made of its page_id, url
+    and digest and its number among the rows that have all of them alike.
     """
-    firsts = keyed.groupBy("digest").agg(F.min("page_id").alias("first_page"))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    firsts = keyed.groupBy("digest").agg(F.min(named).alias("first"))
+    firsts = firsts.select("digest", F.col("first.page_id").alias("first_page"), F.col("first.url").alias("first_url"))
+    counted = keyed.groupBy("page_id", "url", "digest", "size").agg(F.count("*").alias("times"))
+    keyed = counted.withColumn("number", F.explode(F.expr("sequence(1L, times)"))).drop("times")
     revisit = (F.col("size") >= REVISIT_FROM) & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     typed = keyed.join(firsts, "digest").withColumn("revisit", revisit)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.expr(f"'{CRLF}'"))
     target = F.regexp_replace("url", "[\\r\\n]", "")
-    identity = lambda page: F.concat(
-        F.lit("<urn:sha256:"), F.sha2(F.concat_ws(":", F.lit("page"), page.cast("string")), 256), F.lit(">")
+    page_text = lambda page: F.coalesce(page.cast("string"), F.lit(""))
+    identity = lambda page, url, number: F.concat(
+        F.lit("<urn:sha256:"),
+        F.sha2(F.concat_ws(":", F.lit("page"), page_text(page), "digest", number.cast("string"), url), 256),
+        F.lit(">"),
     )
     header = F.concat(
         F.expr(f"'WARC/1.1{CRLF}'"),
         line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", identity(F.col("page_id"))),
+        line("WARC-Record-ID", identity(F.col("page_id"), F.col("url"), F.col("number"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", target),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(
             F.col("revisit"),
             F.concat(
                 line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-                line("WARC-Refers-To", identity(F.col("first_page"))),
+                line("WARC-Refers-To", identity(F.col("first_page"), F.col("first_url"), F.lit(1))),
                 line("X-Refers-To-Page", F.col("first_page").cast("string")),
             ),
-        ).otherwise(F.lit("")),
+        ).otherwise(line("Content-Type", F.lit("text/html"))),
         F.when(F.col("page_id").isNull(), F.lit("")).otherwise(line("X-Page", F.col("page_id").cast("string"))),
         line("X-Payload-Length", F.col("size").cast("string")),
         line("Content-Length", F.when(F.col("revisit"), F.lit("0")).otherwise(F.col("size").cast("string"))),
@@ -70,12 +82,12 @@ def record_headers(keyed: DataFrame) -> DataFrame:
     return typed.select("digest", F.encode(header, "UTF-8").alias("header"))
 
 
-def write_archive(pages: DataFrame, path: str) -> None:
-    """Write the records of ``pages`` (page_id, url, html) below ``path``."""
+def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
+    """Write the records of ``pages`` (page_id, url, html) below ``path``, all with the WARC-Date ``date``."""
     digested = payload_digests(pages)
     digested.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
     keyed = digested.withColumn("size", F.octet_length("payload").cast("long")).drop("payload")
-    record_headers(keyed).write.parquet(f"{path}/headers")
+    record_headers(keyed, date).write.parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

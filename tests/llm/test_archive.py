@@ -55,3 +55,22 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(2, "response"), (2, "response"), (5, "revisit")]
     archive.write_archive(pages(spark, []), str(tmp_path / "none"))
     assert archive.read_archive(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_mandatory_headers_and_record_ids(spark, tmp_path):
+    rows = [*ROWS, ROWS[1], (2, "http://other", BIG), (2, "http://h/2", "x" * 150), (None, "u", BIG), (None, "v", "small")]
+    archive.write_archive(pages(spark, rows), str(tmp_path))
+    records = archive.read_archive(spark, str(tmp_path)).collect()
+    assert len(records) == len(rows)
+    heads = []
+    for r in records:
+        lines = bytes(r["header"]).decode().split("\r\n")[1:-2]
+        heads.append((r, dict(x.split(": ", 1) for x in lines)))
+    ids = {h["WARC-Record-ID"]: r for r, h in heads}
+    assert len(ids) == len(rows)
+    for r, h in heads:
+        assert h["WARC-Date"] == archive.DATE
+        assert ("Content-Type" in h) == (r["record_type"] == "response")
+        if r["record_type"] == "revisit":
+            first = ids[h["WARC-Refers-To"]]
+            assert (first["page_id"], first["digest"], first["record_type"]) == (r["refers_to"], r["digest"], "response")
