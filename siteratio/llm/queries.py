@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteratio.llm import archive, embed, jaccard, katz, licenses, mix, orderhash, packing, pii, quality
+from siteratio.llm import (
+    archive,
+    bytepairs,
+    embed,
+    jaccard,
+    katz,
+    licenses,
+    merkle,
+    mix,
+    oracles,
+    orderhash,
+    packing,
+    pii,
+    quality,
+    variants,
+)
 from siteratio.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +32,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -143,3 +159,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_kd_spelling", oracles.SPELLING)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_bitmap_merkle", oracles.MERKLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = merkle.document_leaves(table(spark, sf_dir, "documents"), merkle.without_newlines())
+    return merkle.manifest(leaves).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_heap_bpe_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = bytepairs.count_tokens(table(spark, sf_dir, "documents"), PIECES)
+    return counted.withColumn("over_limit", bytepairs.over_limit(4096))
