@@ -68,7 +68,7 @@ MERKLE = f"""
       FROM documents),
     leaves AS (
       SELECT doc_id, coalesce('s' || source, '') AS g, {_leaf('text')} AS leaf,
-             CASE WHEN odd = 1 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS now
+             CASE WHEN odd = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS now
       FROM d),
     placed AS (
       SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
