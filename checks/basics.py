@@ -582,7 +582,7 @@ def flag_fed(spark, sf):
     ),
 )
 def flag_direction(spark, sf):
-    from siteratio.operators.summarise import group_median
+    from siteratio.operators.selection import group_median
 
     medians = group_median(line_log2(spark, sf), ["analyte", "site", "time"], "value")
     return medians.withColumn("direction", fx.flag_direction(F.col("median")))

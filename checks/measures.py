@@ -32,7 +32,8 @@ from siteratio.operators import stattests as st
 from siteratio.operators.fdr import add_stars, bh_adjust
 from siteratio.operators.joins import natural_join
 from siteratio.operators.ratio import group_scalar, paired_ratio
-from siteratio.operators.summarise import baseline_delta, group_median
+from siteratio.operators.selection import group_median
+from siteratio.operators.summarise import baseline_delta
 from siteratio.plans.cohorts import BASELINE_PAIRS, LIVER_INFLOW
 from siteratio.runtime import freeze
 from siteratio.sources import fixtures as fix

@@ -15,6 +15,7 @@ from siteratio.operators.reshape import (
     to_long,
     to_wide,
 )
+from siteratio.operators.selection import group_median
 from siteratio.operators.stattests import (
     ancova,
     anova_oneway,
@@ -27,7 +28,6 @@ from siteratio.operators.summarise import (
     baseline_delta,
     filter_group_size,
     filter_regex,
-    group_median,
     sort_by_keys,
 )
 from siteratio.plans.ratios import job_ratio_replicate, job_ratio_single

@@ -1,4 +1,4 @@
-"""Filters by group size, exact medians at any group size, change from baseline."""
+"""Filters by group size, ordered ranges, change from baseline."""
 
 from __future__ import annotations
 
@@ -6,19 +6,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from siteratio.functions.aggregates import median_skip, median_strict
-from siteratio.functions.sqltext import exprs, ident, idents, number, over, present
+from siteratio.functions.sqltext import exprs, ident, idents, number, over
 from siteratio.operators.joins import null_safe_join
 from siteratio.operators.ratio import reference_value
 from siteratio.runtime import freeze
 
-#: A group with more rows than this has its median found by distributed ranking.
-HOT_ROWS = 500_000
-#: Most hot groups that are routed one by one; beyond it all groups are ranked.
-MAX_HOT_GROUPS = 1_000
-#: Rows one range of the distributed ranking should hold.
+#: Rows one ordered range should hold.
 RANGE_ROWS = 500_000
 
 
@@ -64,77 +58,6 @@ def before_range(
     return sums.selectExpr("*", f"coalesce(sum(_w) {earlier}, 0L) AS {out}")
 
 
-def _ranked_median(df: DataFrame, keys: Sequence[str], strict: bool, range_rows: int) -> DataFrame:
-    """Exact medians by global ranking: no task ever holds a whole group."""
-    rows = df.selectExpr(*idents(keys), f"{present('_x')} AS _x")
-    sizes = freeze(
-        rows.groupBy(*keys).agg(*exprs("count(_x) AS _present", "count(1) AS _rows"))
-    )
-    values = rows.filter("_x IS NOT NULL").groupBy(*keys, "_x").agg(F.expr("count(1) AS _c"))
-    cut = ranged(values, [*keys, "_x"], range_rows)
-    ranks = "(_present + 1) div 2 AS _lo", "_present div 2 + 1 AS _hi"
-    # Only the ranges that hold a middle rank are ranked value by value.
-    wanted = (
-        null_safe_join(before_range(cut, keys, "_c"), sizes, keys)
-        .selectExpr("*", *ranks)
-        .filter("_before < _hi AND _before + _w >= _lo")
-    )
-    ranked = null_safe_join(cut, wanted, [*keys, "_range"]).selectExpr(
-        "*", f"_before + sum(_c) {over([*keys, '_range'], 'ORDER BY _x')} AS _last"
-    )
-    at = "max(CASE WHEN _last - _c < {r} AND _last >= {r} THEN _x END)"
-    middle = ranked.groupBy(*keys).agg(
-        F.expr(f"({at.format(r='_lo')} + {at.format(r='_hi')}) / 2 AS _m")
-    )
-    whole = "_present = _rows" if strict else "true"
-    return null_safe_join(sizes, middle, keys, "left").selectExpr(
-        *idents(keys), f"CASE WHEN {whole} THEN _m END AS _median"
-    )
-
-
-def group_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    out: str = "median",
-    strict: bool = True,
-    sizes: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-    range_rows: int = RANGE_ROWS,
-    max_hot_groups: int = MAX_HOT_GROUPS,
-) -> DataFrame:
-    """Exact median per group, whatever the group sizes.
-
-    The built-in median keeps all distinct values of a group in one task. Groups are
-    therefore counted first (``sizes`` with columns keys and ``n`` saves that pass);
-    those above ``hot_rows`` go through a distributed ranking, the rest through the
-    built-in. Every row is used either way.
-    """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_x"))
-    plain = median_strict(F.col("_x")) if strict else median_skip(F.col("_x"))
-    counted = (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        if sizes is None
-        else sizes.groupBy(*keys).agg(F.sum("n").alias("n"))
-    )
-    hot = counted.filter(F.col("n") > hot_rows).drop("n").limit(max_hot_groups + 1).collect()
-    if not hot:
-        result = rows.groupBy(*keys).agg(plain.alias("_median"))
-    elif len(hot) > max_hot_groups:
-        result = _ranked_median(rows, keys, strict, range_rows)
-    else:
-        schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
-        listed = df.sparkSession.createDataFrame([tuple(r) for r in hot], schema)
-        cold = null_safe_join(rows, listed, keys, "left_anti", broadcast=True)
-        ranked = null_safe_join(rows, listed, keys, "left_semi", broadcast=True)
-        result = (
-            cold.groupBy(*keys)
-            .agg(plain.alias("_median"))
-            .unionByName(_ranked_median(ranked, keys, strict, range_rows))
-        )
-    return result.withColumnRenamed("_median", out)
-
-
 def baseline_delta(
     df: DataFrame,
     keys: Sequence[str],

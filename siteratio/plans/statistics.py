@@ -18,7 +18,8 @@ from siteratio.operators import stattests as st
 from siteratio.operators.fdr import add_stars, bh_adjust
 from siteratio.operators.joins import natural_join
 from siteratio.operators.reshape import to_analysis
-from siteratio.operators.summarise import baseline_delta, group_median
+from siteratio.operators.selection import group_median
+from siteratio.operators.summarise import baseline_delta
 from siteratio.plans.cohorts import (
     BASELINE_PAIRS,
     EXCLUDED_SITE,
@@ -76,8 +77,7 @@ class StatisticsJob:
         return counted.filter(f"_rows > {MORE_ROWS_THAN}").drop("_rows")
 
     def _median(self, keys: list[str], strict: bool) -> DataFrame:
-        sizes = self.moments.selectExpr(*keys, "rows AS n")
-        return group_median(self.analysis, keys, VALUE, "median", strict, sizes=sizes)
+        return group_median(self.analysis, keys, VALUE, "median", strict)
 
     def _time_medians(self) -> DataFrame:
         """Computed once: two outputs need them."""

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from siteratio.functions.aggregates import mean_strict, median_skip, median_strict
 from siteratio.operators.joins import natural_join
 from siteratio.operators.ratio import group_scalar, paired_ratio
+from siteratio.operators.selection import PER_HALVING, _by_size, group_median
 from siteratio.operators.summarise import (
     baseline_delta,
     filter_group_size,
     filter_regex,
-    group_median,
 )
 
 KEYED = "subject string, timepoint string, analyte string, site string, value double"
@@ -76,23 +76,43 @@ def test_medians_strict_and_skip(frame):
 
 
 @pytest.mark.parametrize("strict", [True, False])
-@pytest.mark.parametrize("max_hot", [1, 100])
-def test_ranked_median_equals_the_builtin(spark, strict, max_hot):
-    # Group 0 holds a third of all rows; values tie; some are missing.
-    df = spark.range(3000).selectExpr(
+@pytest.mark.parametrize("cuts", [(64, 1 << 20), (1, 2), (1, 1 << 20)])
+def test_selected_median_equals_the_builtin(spark, strict, cuts):
+    # Group 0 holds a third of all rows; values tie, some are missing, zero, negative or infinite.
+    df = spark.range(0, 3000, 1, 4).selectExpr(
         "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 40 END AS g",
-        "CASE WHEN id % 997 = 5 THEN NULL ELSE cast((id * 7919) % 211 AS double) / 7 END AS v",
+        "CASE WHEN id % 997 = 5 THEN NULL WHEN id % 991 = 7 THEN double('NaN') WHEN id % 701 = 3 THEN double('-Infinity')"
+        " ELSE cast((id * 7919) % 211 - 90 AS double) / 7 END AS v",
     )
-    plain = group_median(df, ["g"], "v", strict=strict)
-    hot = group_median(df, ["g"], "v", strict=strict, hot_rows=60, range_rows=100, max_hot_groups=max_hot)
+    plain = df.groupBy("g").agg((median_strict if strict else median_skip)(F.col("v")).alias("median"))
+    got = group_median(df, ["g"], "v", strict=strict, per_halving=cuts[0], splits=cuts[1])
     expect = {r.g: r.median for r in plain.collect()}
-    assert {r.g: r.median for r in hot.collect()} == expect and len(expect) > 20
-
-
-def test_ranked_median_with_a_null_key(spark):
-    df = spark.createDataFrame([(None, float(i)) for i in range(9)] + [("x", 1.0)], "g string, v double")
-    hot = group_median(df, ["g"], "v", hot_rows=2, range_rows=3)
-    assert {r.g: r.median for r in hot.collect()} == {None: 4.0, "x": 1.0}
+    assert {r.g: r.median for r in got.collect()} == expect and len(expect) > 20
+
+
+def test_selected_median_of_odd_groups(spark):
+    rows = [(None, float(i)) for i in range(9)] + [("x", 1.0), ("none", None), ("none", None)]
+    # neighbours a single bit apart, the whole range of doubles, one value many times
+    rows += [("near", 1 + k * 2.0**-52) for k in range(11)] + [("far", x) for x in (-1.7e308, 5e-324, -5e-324, 1.7e308)]
+    rows += [("same", 0.1)] * 50 + [("inf", float("inf"))] * 3 + [("inf", 2.0), ("inf", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r.g: r.median for r in group_median(df, ["g"], "v", strict=False).collect()}
+    assert got == {
+        None: 4.0, "x": 1.0, "none": None, "near": 1 + 5 * 2.0**-52, "far": 0.0, "same": 0.1, "inf": float("inf"),
+    }
+    assert group_median(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_no_task_of_a_median_holds_a_hot_group(spark):
+    """A third of all rows in one group leave each task as a few buckets."""
+    df = spark.range(0, 300_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('g', id % 500) END AS g", "cast(xxhash64(id) AS double) / 1e15 AS v"
+    )
+    buckets = df.selectExpr("g", f"{_by_size('v', PER_HALVING)} AS d").groupBy("g", "d").count()
+    assert buckets.filter("g = 'hot'").count() < 2000
+    values = sorted(r.v for r in df.filter("g = 'hot'").collect())
+    got = {r.g: r.median for r in group_median(df, ["g"], "v").collect()}
+    assert got["hot"] == statistics.median(values) and len(got) == 1 + len({k % 500 for k in range(300_000) if k % 3})
 
 
 def test_group_size_counts_missing_values(frame):

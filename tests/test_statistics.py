@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siteratio.functions import tails
 from siteratio.operators import stattests as st
-from siteratio.operators.fdr import bh_adjust
+from siteratio.operators.fdr import _cut, bh_adjust
 
 
 def close(a, b, tol=1e-10):
@@ -214,9 +214,9 @@ def step_up(ps):
     return [None if p is None else min(1.0, min(q * m / rank(q) for q in known if q >= p)) for p in ps]
 
 
-@pytest.mark.parametrize("mode", ["window", "scaled", "auto"])
+@pytest.mark.parametrize("mode,piece_rows", [("window", 1 << 20), ("scaled", 20), ("auto", 3)])
 @pytest.mark.parametrize("family", [[], ["fam"]])
-def test_bh_is_the_step_up_rule(spark, mode, family):
+def test_bh_is_the_step_up_rule(spark, mode, family, piece_rows):
     rng = np.random.default_rng(3)
     rows = []
     for i in range(300):
@@ -226,7 +226,7 @@ def test_bh_is_the_step_up_rule(spark, mode, family):
     rows.append((300, "alone", 0.2))
     rows.append((301, None, 0.3))
     df = spark.createDataFrame(rows, "i int, fam string, p double")
-    got = {r.i: r.p_adj for r in bh_adjust(df, family=family, mode=mode, per_halving=4).collect()}
+    got = {r.i: r.p_adj for r in bh_adjust(df, family=family, mode=mode, per_halving=4, piece_rows=piece_rows).collect()}
     groups = {}
     for i, fam, p in rows:
         groups.setdefault(fam if family else 0, []).append((i, p))
@@ -238,6 +238,29 @@ def test_bh_is_the_step_up_rule(spark, mode, family):
         assert got[i] == pytest.approx(q, abs=1e-15) if q is not None else got[i] is None
 
 
+def test_bh_pieces_stay_small_where_one_p_holds_a_third(spark):
+    """Equal p are dealt out by row, others by value; their order among each other changes nothing."""
+    df = spark.range(0, 9000, 1, 4).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 0.25 ELSE (id * 7919 % 9001) / 9001 END AS _p", "'f' AS fam"
+    )
+    tests, pieces = _cut(df, ["fam"], per_halving=1, piece_rows=100)
+    sizes = [r._c for r in pieces.collect()]
+    assert sum(sizes) == 9000 and max(sizes) <= 200
+    assert tests.groupBy("_range", "_sub").count().count() == len(sizes)
+    got = {r.id: r.p_adj for r in bh_adjust(df.withColumnRenamed("_p", "p"), per_halving=1, piece_rows=100).collect()}
+    whole = {r.id: r.p_adj for r in bh_adjust(df.withColumnRenamed("_p", "p")).collect()}
+    assert got == whole and len({got[i] for i in range(0, 9000, 3)}) == 1
+
+
+def test_bh_shuffles_the_tests_once(spark):
+    df = spark.range(2000).selectExpr("id", "(id * 7919 % 2003) / 2003 AS p", "id % 3 AS fam")
+    text = bh_adjust(df, family=["fam"])._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join" in line]
+    assert joins and not any("_p#" in line for line in joins)  # by piece, never by p
+    rows = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "_range" in line]
+    assert len(rows) <= 4  # tests and pieces, then the least quotients; the tests' is used twice
+
+
 def test_bh_after_rounding_to_three_digits(spark):
     df = spark.createDataFrame([(0.012344,), (0.0123449,), (0.5,), (None,)], "p double")
     got = sorted((r.p, r.p_adj) for r in bh_adjust(df, p_digits=3).filter("p IS NOT NULL").collect())
