@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from checks.common import (
     SQL_REPLICATE,
@@ -22,6 +23,7 @@ from checks.common import (
 from checks.measures import ADJ, CELL_SQL, DETAIL, EFFECT, SITE_SQL, TTEST1, TTEST2
 from siteratio.operators.reshape import to_long
 from siteratio.plans.cohorts import REPLICATED, SINGLE
+from siteratio.plans.long import complete, job_ratio_replicate_long, job_ratio_single_long, with_minutes
 from siteratio.plans.ratios import job_ratio_replicate, job_ratio_single
 from siteratio.plans.statistics import job_statistics
 from siteratio.runtime import scratch_path
@@ -113,6 +115,67 @@ def ratio_replicate(spark, sf):
     return to_long(tables["log2va"], ["analyte"])
 
 
+# ------------------------------------------------------------ the same jobs over rows
+
+
+def _long_tables(rows: DataFrame, job, **options) -> dict[str, DataFrame]:
+    """The tables of a long job, its ratios handed on as a dataset. Only cells that were measured have a row."""
+    counts = stored(rows.select("analyte", "sample", "value"), "counts")
+    tables = job(counts, **options)
+    return {"counts": counts, "samples": tables["samples"], "log2va": stored(tables["log2va"], "log2va")}
+
+
+def _grid(tables: dict[str, DataFrame]) -> DataFrame:
+    return complete(tables["log2va"], tables["samples"], tables["counts"]).select("analyte", "sample", "value")
+
+
+@check("job_ratio_single_long", sql_select(SQL_LOG2_SINGLE, "l2", "analyte sample value:d"))
+def ratio_single_long(spark, sf):
+    return _grid(_long_tables(fix.keyed_single(spark, sf), job_ratio_single_long))
+
+
+@check("job_ratio_replicate_long", sql_select(SQL_LOG2_REPLICATE, "l2", "analyte sample value:d"))
+def ratio_replicate_long(spark, sf):
+    return _grid(_long_tables(fix.keyed_replicate(spark, sf), job_ratio_replicate_long))
+
+
+_SQL_IEEE = SQL_LOG2_SINGLE.replace(
+    "value / nullif(CASE site WHEN 'P' THEN fa WHEN 'LV' THEN rv ELSE p * 0.8::DOUBLE + fa * 0.2::DOUBLE END, 0) AS ratio",
+    "value / CASE site WHEN 'P' THEN fa WHEN 'LV' THEN rv ELSE p * 0.8::DOUBLE + fa * 0.2::DOUBLE END AS ratio",
+).replace(
+    "CASE WHEN ratio > 0 THEN log2(ratio) END AS value",
+    "CASE WHEN isnan(ratio) OR ratio < 0 THEN 'NaN'::DOUBLE WHEN ratio = 0 THEN '-Infinity'::DOUBLE ELSE log2(ratio) END AS value",
+)
+#: Events with small values count as zeros, so that ratios are zero, infinite or undefined.
+_ZEROS = "CASE WHEN value < {cut} THEN 0 ELSE value END"
+
+
+@check(
+    "job_ratio_nonfinite_long",
+    sql_select(
+        _SQL_IEEE.replace("avg(value) AS value", f"avg({_ZEROS.format(cut=40)}) * (avg(value) > 40)::INT AS value"),
+        "(SELECT analyte, sample, CASE WHEN isnan(value) THEN 'NaN' WHEN isinf(value) THEN 'Inf' || sign(value)::INT END AS kind,"
+        " CASE WHEN isfinite(value) THEN value END AS value FROM l2)",
+        "analyte sample kind value:d",
+    ),
+)
+def ratio_nonfinite_long(spark, sf):
+    small = f"avg({_ZEROS.format(cut=40)}) * CASE WHEN avg(value) > 40 THEN 1 ELSE 0 END AS value"
+    keys = ["analyte", "subject", "timepoint", "site"]
+    events = fix.events_long(spark, sf).selectExpr(
+        "analyte", "concat('FP', number) AS subject", "timepoint", "site_single AS site", "value"
+    )
+    rows = events.groupBy(*keys).agg(F.expr(small)).selectExpr("*", "concat_ws('_', subject, timepoint, site) AS sample")
+    got = _grid(_long_tables(rows, job_ratio_single_long, nonfinite="ieee"))
+    infinite = "abs(value) = double('Infinity')"
+    return got.selectExpr(
+        "analyte",
+        "sample",
+        f"CASE WHEN isnan(value) THEN 'NaN' WHEN {infinite} THEN concat('Inf', cast(sign(value) AS int)) END AS kind",
+        f"CASE WHEN NOT isnan(value) AND NOT {infinite} THEN value END AS value",
+    )
+
+
 # ------------------------------------------------------------ statistics tables
 
 _MED_SITE = f", m AS (SELECT {SITE_SQL}, median(value) AS median FROM l2 GROUP BY ALL)"
@@ -204,6 +267,21 @@ _PLANS = {
 }
 
 
+def _register_long(key: str, output: str, cohort, base_sql: str, keyed, job) -> None:
+    """The same table from rows: absent cells are counted from the samples, never made."""
+    ctes, source, spec, recursive = _PLANS[output]
+    sql = sql_select(base_sql + ctes, source, spec)
+    if recursive:
+        sql = "WITH RECURSIVE" + sql[len("WITH"):]
+
+    @check(key, sql)
+    def run(spark, sf):
+        tables = _long_tables(keyed(spark, sf), job)
+        analysis, samples = (with_minutes(tables[k], cohort.minutes) for k in ("log2va", "samples"))
+        options = {"analysis": analysis, "samples": samples, "analytes": tables["counts"]}
+        return job_statistics(None, cohort, only=[output], **options)[output]
+
+
 def _register(key: str, output: str, cohort, base_sql: str, log2) -> None:
     ctes, source, spec, recursive = _PLANS[output]
     sql = sql_select(base_sql + ctes, source, spec)
@@ -229,3 +307,10 @@ for _name in SINGLE.outputs:
 for _name in REPLICATED.outputs:
     _key = f"{_name}_rep" if _name in SINGLE.outputs else _name
     _register(_key, _name, REPLICATED, SQL_LOG2_REPLICATE, _log2_replicate)
+
+#: Tables that depend on missing cells most: strict medians, sites by their rows, counts.
+for _name in ("o1_site_fam", "o2_time_fam", "o3_2_ancova", "o6_2_fold"):
+    _register_long(f"{_name}_long", _name, SINGLE, SQL_LOG2_SINGLE, fix.keyed_single, job_ratio_single_long)
+    _register_long(
+        f"{_name}_rep_long", _name, REPLICATED, SQL_LOG2_REPLICATE, fix.keyed_replicate, job_ratio_replicate_long
+    )

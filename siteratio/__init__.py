@@ -30,10 +30,11 @@ from siteratio.operators.summarise import (
     filter_regex,
     sort_by_keys,
 )
+from siteratio.plans.long import job_ratio_replicate_long, job_ratio_single_long
 from siteratio.plans.ratios import job_ratio_replicate, job_ratio_single
 from siteratio.plans.statistics import job_statistics
 from siteratio.plans.study import run_study
-from siteratio.sources.tables import read_log2, read_wide, write_stat, write_tables
+from siteratio.sources.tables import read_log2, read_long, read_wide, write_stat, write_tables
 
 __all__ = [
     "add_stars",
@@ -52,12 +53,15 @@ __all__ = [
     "group_median",
     "group_scalar",
     "job_ratio_replicate",
+    "job_ratio_replicate_long",
     "job_ratio_single",
+    "job_ratio_single_long",
     "job_statistics",
     "lower_names",
     "natural_join",
     "paired_ratio",
     "read_log2",
+    "read_long",
     "read_wide",
     "run_study",
     "sort_by_keys",

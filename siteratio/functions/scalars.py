@@ -75,6 +75,35 @@ def log2_safe(c: Column, nonfinite: str = "null") -> Column:
     )
 
 
+def quotient_text(a: str, b: str, nonfinite: str = "null") -> str:
+    """a / b as text that never raises. Under ``null``, results that are not finite are left to ``all_there_text``."""
+    check_choice("nonfinite", nonfinite, NONFINITE)
+    q = f"try_divide({a}, {b})"
+    if nonfinite == "null":
+        return q
+    at_zero = f"CASE WHEN isnan({a}) OR {a} = 0 THEN double('NaN') WHEN {a} > 0 THEN double('Infinity') WHEN {a} < 0 THEN double('-Infinity') END"
+    return f"CASE WHEN {b} = 0 THEN {at_zero} ELSE {q} END"
+
+
+def all_there_text(least: str, greatest: str, nonfinite: str = "null") -> str:
+    """Whether no quotient of a sorted array is missing (nor, under ``null``, not finite), by its two ends.
+
+    NULLs sort first and NaN last.
+    """
+    if nonfinite == "null":
+        return f"{least} > double('-Infinity') AND {greatest} < double('Infinity')"
+    return f"{least} IS NOT NULL AND NOT isnan({greatest})"
+
+
+def log2_text(x: str, nonfinite: str = "null") -> str:
+    """``log2_safe`` for an expression written as text (log2 itself is NULL from 0 down)."""
+    check_choice("nonfinite", nonfinite, NONFINITE)
+    if nonfinite == "null":
+        return f"CASE WHEN {x} < double('Infinity') THEN log2({x}) END"
+    below = f"WHEN isnan({x}) OR {x} < 0 THEN double('NaN') WHEN {x} = 0 THEN double('-Infinity')"
+    return f"CASE {below} ELSE log2({x}) END"
+
+
 def paste(*cols: Column, sep: str = "_") -> Column:
     """Join as text; a missing part is written 'NA'."""
     return F.concat_ws(sep, *[F.coalesce(c.cast("string"), F.lit("NA")) for c in cols])

@@ -26,13 +26,14 @@ def dup_label(
     """Suffix every occurrence of a name but the first, ignoring case.
 
     The first occurrence is a minimum per name, so names aggregate map-side and only
-    repeated names meet the table again; no window holds a whole name group.
+    repeated names meet the table again; no window holds a whole name group. In a long table
+    all rows with one value of ``order_col`` are one occurrence.
     """
     first = (
         df.groupBy(F.lower(name_col).alias("_name"))
-        .agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > 1)
-        .drop("_n")
+        .agg(F.min(order_col).alias("_first"), F.max(order_col).alias("_last"))
+        .filter(F.col("_last") > F.col("_first"))
+        .drop("_last")
     )
     marked = df.withColumn("_name", F.lower(name_col)).join(
         broadcast_if_small(first), "_name", "left"

@@ -17,6 +17,10 @@ from siteratio.runtime import freeze
 from siteratio.schema import ANALYTE, ON_DUPLICATE, SAMPLE, SITE, TIME, VALUE, check_choice
 
 
+#: Numbers of columns that a row of a grid gets at once.
+GRID_BLOCK = 1000
+
+
 def drop_cols_like(df: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
     """Drop columns whose name matches; the scan never reads them."""
     rx = re.compile(pattern, re.IGNORECASE if ignore_case else 0)
@@ -188,30 +192,36 @@ def numbered(df: DataFrame, out: str, range_rows: int = RANGE_ROWS) -> DataFrame
     )
 
 
+def grid(rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """Every row of ``rows`` with every row of ``cols``, both distinct, of any number and type.
+
+    The rows of ``cols`` are numbered; a row first gets the numbers of its blocks, each a row of its own that can
+    be dealt out, and a block the numbers inside it. No array is longer than a block or the number of blocks.
+    """
+    numbers = freeze(numbered(cols, "_g"))
+    count = numbers.count()
+    blocks = rows.selectExpr("*", f"explode(sequence(0L, {max(count - 1, 0)}L div {GRID_BLOCK})) AS _b")
+    if count > GRID_BLOCK:
+        blocks = blocks.repartition(*idents(rows.columns), "_b")
+    inside = f"explode(sequence(_b * {GRID_BLOCK} + 1, least((_b + 1) * {GRID_BLOCK}, {count}L))) AS _g"
+    placed = blocks.filter(F.lit(count > 0)).selectExpr(*idents(rows.columns), inside)
+    return placed.join(numbers, "_g").select(*idents(rows.columns), *idents(cols.columns))
+
+
 def densify(
     df: DataFrame, row_keys: Sequence[str], col_keys: Sequence[str], value_col: str = VALUE
 ) -> DataFrame:
     """Complete the grid row_keys x observed col_keys, absent cells as NULL rows.
 
-    The distinct column keys are numbered, every row key gets all numbers, and the typed keys
-    and the values are joined back: any type of key, missing ones included, any number of
+    The distinct column keys are numbered, every row key gets all numbers, block by block, and the typed
+    keys and the values are joined back: any type of key, missing ones included, any number of
     them. The grid is as large as it must be; where only its counts are wanted use
     ``expected_rows``. A second row for a cell is an error.
     """
     keyed = [*row_keys, *col_keys]
     cells = df.groupBy(*keyed).agg(F.expr(f"{_one_value(value_col)} AS {ident(value_col)}"))
-    numbers = freeze(numbered(df.select(*col_keys), "_g"))
-    count = numbers.count()
-    if not count:
-        return cells
-    grid = (
-        df.select(*row_keys)
-        .distinct()
-        .withColumn("_g", F.explode(F.expr(f"sequence(1L, {count}L)")))
-        .join(numbers, "_g")
-        .select(*keyed)
-    )
-    return null_safe_join(grid, cells, keyed, "left").select(*keyed, value_col)
+    whole = grid(df.select(*row_keys).distinct(), df.select(*col_keys))
+    return null_safe_join(whole, cells, keyed, "left").select(*keyed, value_col)
 
 
 def expected_rows(

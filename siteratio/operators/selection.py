@@ -21,7 +21,7 @@ from siteratio.operators.joins import null_safe_join
 from siteratio.runtime import freeze
 
 #: Buckets of the first pass for each halving of a value, and of a later pass between two bounds.
-PER_HALVING = 64
+PER_HALVING = 1024
 SPLITS = 1 << 20
 
 #: Beyond any logarithm of a double times the buckets of a halving.

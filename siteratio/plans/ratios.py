@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siteratio.functions.scalars import name_parts_text
+from siteratio.functions.scalars import all_there_text, log2_text, name_parts_text, quotient_text
 from siteratio.functions.sqltext import ident, number
 from siteratio.operators.names import dup_label, supersede_columns
 from siteratio.operators.reshape import drop_cols_like, measures
@@ -85,11 +85,6 @@ def _reference(
     return f"({' + '.join(terms)})"
 
 
-def _log2(x: str) -> str:
-    """log2 of a positive finite number, else NULL (log2 itself is NULL from 0 down)."""
-    return f"CASE WHEN {x} < double('Infinity') THEN log2({x}) END"
-
-
 def _require_unique(df: DataFrame, analyte_col: str) -> None:
     again = df.groupBy(analyte_col).count().filter("count > 1").limit(5).collect()
     if again:
@@ -124,6 +119,7 @@ def job_ratio_single(
     analyte_col: str = ANALYTE,
     min_samples: int = 3,
     on_missing_ref: str = "null",
+    nonfinite: str = "null",
 ) -> dict[str, DataFrame]:
     """One value per sample: cleaned counts and the log2 ratio matrix.
 
@@ -148,7 +144,8 @@ def job_ratio_single(
         ref = _reference(values, columns, sample, route.weights, "1", on_missing_ref)
         time_label = reduce(lambda t, ab: t.replace(*ab), TIME_LABELS.items(), timepoint)
         name = "_".join([SITE_LABELS.get(label, label), time_label, subject.replace("FP", "Ct")])
-        _put(out, name, _log2(f"try_divide({values[sample.column]}, {ref})"))
+        ratio = quotient_text(values[sample.column], ref, nonfinite)
+        _put(out, name, log2_text(f"({ratio})", nonfinite))
     log2 = counts.selectExpr(f"{ident(analyte_col)} AS {ANALYTE}", *_named(out))
     return {"ion_counts": counts, "log2va": log2}
 
@@ -170,6 +167,7 @@ def job_ratio_replicate(
     replicates: Sequence[str] = ("1", "2", "3"),
     secondary: Sequence[str] = ("1.2", "2.2", "3.2"),
     on_missing_ref: str = "null",
+    nonfinite: str = "null",
 ) -> dict[str, DataFrame]:
     """Replicated samples: log2 of the median over all pairs of sample and reference replicate.
 
@@ -198,17 +196,16 @@ def job_ratio_replicate(
             _reference(values, columns, measured[0], route.weights, k, on_missing_ref)
             for k in replicates
         ]
-        pairs = [f"try_divide({values[s.column]}, {r})" for s in measured for r in refs]
+        pairs = [quotient_text(values[s.column], r, nonfinite) for s in measured for r in refs]
         n = len(pairs)
         sorted_ratios[f"_c{i}"] = f"sort_array(array({', '.join(pairs)}))"
-        # NULLs sort first and NaN last: both ends finite means every ratio is there.
-        whole = f"_c{i}[0] > double('-Infinity') AND _c{i}[{n - 1}] < double('Infinity')"
+        whole = all_there_text(f"_c{i}[0]", f"_c{i}[{n - 1}]", nonfinite)
         low, high = f"_c{i}[{(n - 1) // 2}]", f"_c{i}[{n // 2}]"
         middle = low if n % 2 else f"({low} + {high}) / 2"
         _put(
             out,
             f"{label}_{timepoint}_{subject}".lower(),
-            f"CASE WHEN {whole} THEN log2({middle}) END",
+            f"CASE WHEN {whole} THEN {log2_text(middle, nonfinite)} END",
         )
     log2 = counts.selectExpr(
         f"{ident(analyte_col)} AS {ANALYTE}", *[f"{e} AS {c}" for c, e in sorted_ratios.items()]

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteratio.functions.scalars import flag_direction, flag_fed, number_label, paste
-from siteratio.functions.sqltext import over, text
+from siteratio.functions.sqltext import idents, over, text
 from siteratio.operators import stattests as st
 from siteratio.operators.fdr import add_stars, bh_adjust
-from siteratio.operators.joins import natural_join
-from siteratio.operators.reshape import to_analysis
+from siteratio.operators.joins import natural_join, null_safe_join
+from siteratio.operators.reshape import grid, to_analysis
 from siteratio.operators.selection import group_median
 from siteratio.operators.summarise import baseline_delta
 from siteratio.plans.cohorts import (
@@ -34,12 +34,25 @@ BY_SITE = [ANALYTE, SITE]
 BY_TIME = [ANALYTE, SITE, TIME]
 
 
+def _expected(moments: DataFrame, samples: DataFrame, analytes: DataFrame) -> DataFrame:
+    """Moments of every analyte in every site and time, with as many rows as there are samples."""
+    sizes = samples.groupBy(SITE, TIME).agg(F.count(F.lit(1)).alias("rows"))
+    cells = grid(analytes.select(ANALYTE).distinct(), sizes.select(SITE, TIME, F.col("rows").alias("_samples")))
+    joined = null_safe_join(cells, moments, BY_TIME, "left")
+    return joined.selectExpr(
+        *idents(BY_TIME), "_samples AS rows", "coalesce(n, 0L) AS n", "mean", "coalesce(css, 0D) AS css"
+    )
+
+
 class StatisticsJob:
     """Builds outputs on demand over one shared moments table.
 
     Instead of the log2 matrix a long ``analysis`` table (analyte, site, time, value) may
     be given, for studies with more samples than a table can have columns. It should hold
-    a row for every missing value that is to count.
+    a row for every missing value that is to count; or it may leave them out if ``samples``
+    (site, time: one row per sample) says how many values each site and time should have for
+    every analyte of ``analytes``. The grid is then made of finished cells, one per
+    analyte, site and time, and never of measurements.
     """
 
     def __init__(
@@ -50,6 +63,8 @@ class StatisticsJob:
         p_digits: int | None = None,
         term: str = "numeric",
         bh_mode: str = "auto",
+        samples: DataFrame | None = None,
+        analytes: DataFrame | None = None,
     ) -> None:
         self.analysis = to_analysis(log2, cohort.minutes) if analysis is None else analysis
         self.cohort = cohort
@@ -57,7 +72,10 @@ class StatisticsJob:
         self.term = term
         self.bh_mode = bh_mode
         self._medians: DataFrame | None = None
-        self.moments = freeze(st.cell_moments(self.analysis, BY_TIME))
+        moments = st.cell_moments(self.analysis, BY_TIME)
+        if samples is not None:
+            moments = _expected(moments, samples, self.analysis if analytes is None else analytes)
+        self.moments = freeze(moments)
 
     # -- shared pieces
 
@@ -77,7 +95,11 @@ class StatisticsJob:
         return counted.filter(f"_rows > {MORE_ROWS_THAN}").drop("_rows")
 
     def _median(self, keys: list[str], strict: bool) -> DataFrame:
-        return group_median(self.analysis, keys, VALUE, "median", strict)
+        """Of every group that has a row in the moments; strict if values are missing there."""
+        cells = self.moments.groupBy(*keys).agg(F.sum("n").alias("_have"), F.sum("rows").alias("_rows"))
+        found = group_median(self.analysis, keys, VALUE, "median", strict=False)
+        median = "CASE WHEN _have = _rows THEN median END" if strict else "median"
+        return null_safe_join(cells, found, keys, "left").selectExpr(*idents(keys), f"{median} AS median")
 
     def _time_medians(self) -> DataFrame:
         """Computed once: two outputs need them."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteratio.functions.sqltext import ident, text
-from siteratio.schema import ANALYTE, ROW_ID
+from siteratio.schema import ANALYTE, ROW_ID, SAMPLE, VALUE
 
 #: Missing values are written as this text in CSV files.
 CSV_NULL = "NA"
@@ -55,6 +55,27 @@ def read_wide(
     return df.select(row.alias(ROW_ID), F.col(ident(analyte_col)), *map(ident, samples))
 
 
+def read_long(
+    spark: SparkSession,
+    path: str,
+    analyte_col: str = ANALYTE,
+    sample_col: str = SAMPLE,
+    value_col: str = VALUE,
+    fmt: str = "parquet",
+    schema: T.StructType | None = None,
+) -> DataFrame:
+    """Raw counts in long form: analyte, sample and value, and ``row_id`` if the table has it.
+
+    CSV without a schema is read as text: values are parsed by the job. NA is a missing value, but may be a name.
+    """
+    df = _read(spark, path, fmt, schema, [analyte_col, sample_col, ROW_ID])
+    missing = [c for c in (analyte_col, sample_col, value_col) if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {missing[0]}")
+    row = [F.col(ROW_ID).cast("bigint").alias(ROW_ID)] if ROW_ID in df.columns else []
+    return df.select(*row, *map(ident, [analyte_col, sample_col, value_col]))
+
+
 def read_log2(
     spark: SparkSession,
     path: str,
