@@ -124,20 +124,30 @@ l2 AS (
 # --------------------------------------------------- distributions and tests in SQL
 
 
-def _series(x: str, y: str, a: str, b: str) -> str:
-    """I_x(a, b) by its hypergeometric series, good for x up to one half."""
-    front = (
-        f"exp({a} * ln({x}) + {b} * ln({y}) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) - ln({a}))"
-    )
+def _series(x: str, y: str, a: str, b: str, log: bool = False) -> str:
+    """I_x(a, b), or its natural logarithm, by its hypergeometric series: 800 terms are plenty up to x = 0.9."""
+    front = f"{a} * ln({x}) + {b} * ln({y}) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) - ln({a})"
     term = (
         f"exp(lgamma({a} + {b} + i) - lgamma({a} + {b}) - lgamma({a} + 1 + i)"
         f" + lgamma({a} + 1) + i * ln({x}))"
     )
-    return f"{front} * list_sum(list_transform(range(0, 800), lambda i: {term}))"
+    total = f"list_sum(list_transform(range(0, 800), lambda i: {term}))"
+    return f"{front} + ln({total})" if log else f"exp({front}) * {total}"
 
 
-def sql_tail(source: str, out: str, a: str, b: str, x: str, y: str, stat: str) -> str:
-    """CTEs adding p = I_x(a, b) to the rows of ``source``."""
+def sql_tail(source: str, out: str, a: str, b: str, x: str, y: str, stat: str, log10: bool = False) -> str:
+    """CTEs adding p = I_x(a, b), or its decimal logarithm as log10_p, to the rows of ``source``."""
+    if log10:
+        near = f"log10(1 - {_series('_y', '_x', '_b', '_a')})"
+        return f"""
+{out}_in AS (
+  SELECT *, ({a})::DOUBLE AS _a, ({b})::DOUBLE AS _b, ({x})::DOUBLE AS _x, ({y})::DOUBLE AS _y
+  FROM {source}),
+{out} AS (
+  SELECT * EXCLUDE (_a, _b, _x, _y),
+         CASE WHEN {stat} IS NULL THEN NULL WHEN _y = 0 THEN 0.0::DOUBLE
+              WHEN _x <= 0.9 THEN ({_series('_x', '_y', '_a', '_b', log=True)}) / ln(10) ELSE {near} END AS log10_p
+  FROM {out}_in)"""
     return f"""
 {out}_in AS (
   SELECT *, ({a})::DOUBLE AS _a, ({b})::DOUBLE AS _b, ({x})::DOUBLE AS _x, ({y})::DOUBLE AS _y
@@ -150,16 +160,16 @@ def sql_tail(source: str, out: str, a: str, b: str, x: str, y: str, stat: str) -
   FROM {out}_in)"""
 
 
-def sql_p_t(source: str, out: str) -> str:
+def sql_p_t(source: str, out: str, log10: bool = False) -> str:
     t2 = "statistic * statistic"
     return sql_tail(
-        source, out, "df / 2", "0.5", f"df / (df + {t2})", f"{t2} / (df + {t2})", "statistic"
+        source, out, "df / 2", "0.5", f"df / (df + {t2})", f"{t2} / (df + {t2})", "statistic", log10
     )
 
 
-def sql_p_f(source: str, out: str) -> str:
+def sql_p_f(source: str, out: str, log10: bool = False) -> str:
     return sql_tail(
-        source, out, "dfd / 2", "dfn / 2", "dfd / (dfd + dfn * f)", "dfn * f / (dfd + dfn * f)", "f"
+        source, out, "dfd / 2", "dfn / 2", "dfd / (dfd + dfn * f)", "dfn * f / (dfd + dfn * f)", "f", log10
     )
 
 

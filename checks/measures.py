@@ -406,6 +406,60 @@ def p_upper_f(spark, sf):
     return add_p_f(stats)
 
 
+#: Statistics whose tails reach far below what p itself can show in a few decimals.
+SQL_FAR_T = """
+s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS statistic, (l_suppkey % 90 + 1 + l_discount)::DOUBLE AS df
+      FROM lineitem),
+d AS (SELECT DISTINCT statistic, df FROM s)
+"""
+
+
+@check(
+    "p_two_sided_t_log10",
+    sql_select(
+        SQL_FAR_T + "," + sql_p_t("d", "t", log10=True) + ", j AS (SELECT s.*, t.log10_p FROM s JOIN t USING (statistic, df))",
+        "j",
+        "l_orderkey:i l_linenumber l_partkey:i statistic:d df:d log10_p:d",
+    ),
+)
+def p_two_sided_t_log10(spark, sf):
+    stats = fix.table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        F.col("l_quantity").cast("double").alias("statistic"),
+        (F.col("l_suppkey") % 90 + 1 + F.col("l_discount")).cast("double").alias("df"),
+    )
+    return add_p_t(stats, out="log10_p", log10=True)
+
+
+SQL_FAR_F = """
+s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / 100 AS f, (l_linenumber % 9 + 1)::DOUBLE AS dfn,
+             (l_suppkey % 90 + 2)::DOUBLE AS dfd FROM lineitem),
+d AS (SELECT DISTINCT f, dfn, dfd FROM s)
+"""
+
+
+@check(
+    "p_upper_f_log10",
+    sql_select(
+        SQL_FAR_F + "," + sql_p_f("d", "t", log10=True) + ", j AS (SELECT s.*, t.log10_p FROM s JOIN t USING (f, dfn, dfd))",
+        "j",
+        "l_orderkey:i l_linenumber l_partkey:i f:d dfn:d dfd:d log10_p:d",
+    ),
+)
+def p_upper_f_log10(spark, sf):
+    stats = fix.table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        (F.col("l_extendedprice") / 100).alias("f"),
+        (F.col("l_linenumber") % 9 + 1).cast("double").alias("dfn"),
+        (F.col("l_suppkey") % 90 + 2).cast("double").alias("dfd"),
+    )
+    return add_p_f(stats, out="log10_p", log10=True)
+
+
 @check(
     "t_quantile",
     "WITH RECURSIVE "

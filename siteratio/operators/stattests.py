@@ -13,14 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siteratio.functions.sqltext import exprs, ident, idents, number, over, present, text
 from siteratio.functions.tails import add_p_f, add_p_t, add_t_ci
+from siteratio.operators.joins import null_safe_join
 from siteratio.schema import TERMS, TIME, VALUE, check_choice
 
 #: Spread below this share of the mean counts as none (ten machine epsilons).
@@ -407,57 +405,110 @@ def ancova_from_xy(
     return _f_rows(rows.selectExpr(*idents(keys), "_e.*", "dfd", "sse", "mean"), keys)
 
 
-def _factor_fit(keys: Sequence[str], factor: str, covariate: str):
-    """Type II effects of two factors from the cell means of one group."""
-
-    def rest(design: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, int]:
-        root = np.sqrt(weight)
-        coef, _, rank, _ = np.linalg.lstsq(design * root[:, None], y * root, rcond=None)
-        return float(np.sum(weight * (y - design @ coef) ** 2)), int(rank)
-
-    def fit(cells: pd.DataFrame) -> pd.DataFrame:
-        y, weight = cells["mean"].to_numpy(float), cells["n"].to_numpy(float)
-        within = float(cells["css"].sum())
-        a = pd.get_dummies(cells[factor].astype(str)).to_numpy(float)
-        b = pd.get_dummies(cells[covariate].astype(str)).to_numpy(float)
-        full, rank = rest(np.hstack([a, b]), y, weight)
-        only_a, rank_a = rest(a, y, weight)
-        only_b, rank_b = rest(b, y, weight)
-        head = {k: [cells[k].iloc[0]] * 2 for k in keys}
-        return pd.DataFrame(
-            {
-                **head,
-                "effect": [factor, covariate],
-                "dfn": [rank - rank_b, rank - rank_a],
-                "dfd": [int(weight.sum()) - rank] * 2,
-                "ss": [only_b - full, only_a - full],
-                "sse": [within + full] * 2,
-                "mean": [float(np.average(y, weights=weight))] * 2,
-            }
-        )
+#: A pivot below this share of its level's values is rounding: the level is settled by the ones before it.
+_NO_PIVOT = 1e-9
 
-    return fit
+
+def _eliminated() -> str:
+    """Forward elimination of the symmetric system ``a`` x = ``b``; a level without a pivot is left out.
+
+    ``a`` is positive semidefinite, so where a pivot is zero its row is too, and no exchange of rows is needed.
+    """
+    state = "struct<a: array<array<double>>, b: array<double>, kept: array<boolean>>"
+    pivot = "s.a[k][k]"
+    ok = f"{pivot} > {_NO_PIVOT} * sizes[k]"
+    rows = f"transform(s.a, (r, i) -> if(i > k AND {ok}, transform(r, (v, j) -> v - s.a[i][k] * s.a[k][j] / {pivot}), r))"
+    right = f"transform(s.b, (v, i) -> if(i > k AND {ok}, v - s.a[i][k] * s.b[k] / {pivot}, v))"
+    return (
+        f"aggregate(sequence(0, size(b) - 1), cast(named_struct('a', a, 'b', b, 'kept', array()) AS {state}),"
+        f" (s, k) -> cast(named_struct('a', {rows}, 'b', {right}, 'kept', concat(s.kept, array({ok}))) AS {state}))"
+    )
+
+
+def _substituted() -> str:
+    """The solution of the eliminated system ``s``, last level first; levels left out are 0."""
+    known = "aggregate(zip_with(slice(s.a[k], k + 2, size(x)), x, (v, w) -> v * w), 0D, (t, v) -> t + v)"
+    value = f"if(s.kept[k], (s.b[k] - {known}) / s.a[k][k], 0D)"
+    return (
+        "aggregate(reverse(sequence(0, size(s.b) - 1)), cast(array() AS array<double>),"
+        f" (x, k) -> cast(concat(array({value}), x) AS array<double>))"
+    )
 
 
 def ancova_factors_from_moments(
     m: DataFrame, keys: Sequence[str], factor: str, covariate: str
 ) -> DataFrame:
-    """Both effects when the covariate is a factor too.
+    """Both effects of two factors, type II, from cell moments.
 
-    Least squares runs on cell moments: a group is its sites x times, a bounded few
-    dozen rows however many measurements lie behind them.
+    The levels of ``factor`` are projected out: centring each of them leaves one equation per level of
+    ``covariate``, whose coefficients are sums over the levels of ``factor`` and combine map-side. That small
+    system is solved in an expression. Residuals are then taken cell by cell, so a perfect fit leaves
+    no rounding behind. Layouts that fall apart (levels that share no cell) have the rank they have.
     """
-    schema = T.StructType(
-        [m.schema[k] for k in keys]
-        + [T.StructField("effect", T.StringType())]
-        + [T.StructField(c, T.LongType()) for c in ("dfn", "dfd")]
-        + [T.StructField(c, T.DoubleType()) for c in ("ss", "sse", "mean")]
+    inside, across = [*keys, "_f"], [*keys, "_c"]
+    mean_of = lambda by: f"sum(n * mean) {over(by)} / sum(n) {over(by)}"
+    cells = (
+        m.filter(f"n > 0 AND {ident(factor)} IS NOT NULL AND {ident(covariate)} IS NOT NULL")
+        .selectExpr(*idents(keys), f"{ident(factor)} AS _f", f"{ident(covariate)} AS _c", "cast(n AS double) AS n", "mean", "css")
+        .selectExpr("*", f"{mean_of(across)} AS _mc")
+        .selectExpr("*", f"{mean_of(inside)} AS _mf", f"sum(n) {over(inside)} AS _nf")
+    )
+    levels = cells.groupBy(*inside).agg(
+        F.expr("max(_nf) AS _nf"), F.expr("collect_list(struct(_c, n, mean - _mf AS d)) AS cs")
+    )
+    # for a level of the covariate and each it shares a level of the factor with: its coefficient
+    own = levels.selectExpr(*idents(keys), "_nf", "cs", "inline(cs)")
+    terms = own.selectExpr(
+        *idents(keys),
+        "_c",
+        "n * d AS _b",
+        "n",
+        "inline(transform(cs, e -> struct(e._c AS _k, if(e._c = _c, n, 0D) - n * e.n / _nf AS _v, e._c = _c AS _own)))",
+    )
+    entries = terms.groupBy(*keys, "_c", "_k").agg(
+        *exprs("sum(_v) AS _v", "sum(if(_own, _b, 0D)) AS _b", "sum(if(_own, n, 0D)) AS _n")
+    )
+    rows = entries.groupBy(*keys, "_c").agg(
+        *exprs("sum(_b) AS _b", "sum(_n) AS _n", "collect_list(struct(_k, _v)) AS _row")
+    )
+    system = rows.groupBy(*keys).agg(F.expr("sort_array(collect_list(struct(_c, _b, _n, _row))) AS _rows")).selectExpr(
+        *idents(keys),
+        "transform(_rows, r -> r._c) AS levels",
+        "transform(_rows, r -> r._b) AS b",
+        "transform(_rows, r -> r._n) AS sizes",
+        "transform(_rows, r -> transform(_rows, q -> coalesce(get(filter(r._row, e -> e._k = q._c), 0)._v, 0D))) AS a",
+    )
+    solved = (
+        system.selectExpr(*idents(keys), "levels", f"{_eliminated()} AS s")
+        .selectExpr(*idents(keys), "levels", "size(filter(s.kept, x -> x)) AS _rank", f"{_substituted()} AS x")
+        .selectExpr(*idents(keys), "size(levels) AS _levels", "_rank", "map_from_arrays(levels, x) AS _effects")
+    )
+    fitted = (
+        null_safe_join(cells, solved, keys)
+        .selectExpr("*", "element_at(_effects, _c) AS _e")
+        .selectExpr("*", f"sum(n * _e) {over(inside)} / _nf AS _ef")
+    )
+    summed = fitted.groupBy(*keys).agg(
+        *exprs(
+            "sum(n) AS _nn",
+            "cast(round(sum(n / _nf)) AS bigint) AS _sites",
+            "max(_levels) AS _times",
+            "max(_rank) AS _rank",
+            "sum(n * mean) / sum(n) AS mean",
+            "sum(css) AS _within",
+            "sum(n * pow(mean - _mf - _e + _ef, 2)) AS _full",
+            "sum(n * pow(mean - _mf, 2)) AS _only_f",
+            "sum(n * pow(mean - _mc, 2)) AS _only_c",
+        )
+    )
+    effects = (
+        f"inline(array(named_struct('effect', {text(factor)}, 'dfn', _sites + _rank - _times, 'ss', _only_c - _full),"
+        f" named_struct('effect', {text(covariate)}, 'dfn', cast(_rank AS bigint), 'ss', _only_f - _full)))"
+    )
+    told = summed.selectExpr(
+        *idents(keys), "mean", "_within + _full AS sse", "cast(_nn AS bigint) - _sites - _rank AS dfd", effects
     )
-    cells = m.filter(
-        f"n > 0 AND {ident(factor)} IS NOT NULL AND {ident(covariate)} IS NOT NULL"
-    ).select(*keys, factor, covariate, "n", "mean", "css")
-    fitted = cells.groupBy(*keys).applyInPandas(_factor_fit(list(keys), factor, covariate), schema)
-    return _f_rows(fitted, keys)
+    return _f_rows(told, keys)
 
 
 def ancova(

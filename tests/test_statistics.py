@@ -1,4 +1,6 @@
 import math
+from decimal import Decimal as D
+from decimal import localcontext
 
 import numpy as np
 import pytest
@@ -31,6 +33,64 @@ def test_f_tail_closed_forms():
     close(tails.f_upper(t * t, np.ones(3), v), tails.t_two_sided(t, v))
 
 
+def _log_gamma(z):
+    """Stirling's series in 50 digits."""
+    z, shift = D(z), D(0)
+    while z < 60:
+        shift, z = shift + z.ln(), z + 1
+    numbers = [(1, 6), (-1, 30), (1, 42), (-1, 30), (5, 66), (-691, 2730), (7, 6), (-3617, 510), (43867, 798)]
+    out = (z - D("0.5")) * z.ln() - z + (2 * D("3.14159265358979323846264338327950288419716939937510582")).ln() / 2
+    for k, (n, d) in enumerate(numbers, start=1):
+        out += D(n) / d / (2 * k * (2 * k - 1) * z ** (2 * k - 1))
+    return out - shift
+
+
+def _beta_in_digits(a, b, x, y):
+    """I_x(a, b) from its continued fraction in 50 digits, which leave room for what cancels."""
+    swap = x >= (a + 1) / (a + b + 2)
+    if swap:
+        a, b, x, y = b, a, y, x
+    c, d = D(1), 1 / (1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 100_000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + num * d)
+            c = 1 + num / c
+            h *= c * d
+        if abs(c * d - 1) < D("1e-30"):
+            break
+    part = (a * x.ln() + b * y.ln() - _log_gamma(a) - _log_gamma(b) + _log_gamma(a + b) - a.ln()).exp() * h
+    return 1 - part if swap else part
+
+
+@pytest.mark.parametrize("dof", [3, 900, 9_999, 10_001, 1e6, 1e9, 1e12])
+def test_tails_at_many_degrees_of_freedom(dof):
+    """Relative 1e-10, and the logarithm, up to 1e12 degrees of freedom."""
+    cases = [(1, t * t) for t in (0.01, 1.0, 1.5, 5.0, 30.0)] + [(d1, f) for d1 in (2, 7, 200) for f in (0.2, 1.0, 4.0, 30.0)]
+    with localcontext() as context:
+        context.prec = 50
+        for d1, f in cases:
+            whole = D(dof) + D(d1) * D(f)
+            want = _beta_in_digits(D(dof) / 2, D(d1) / 2, D(dof) / whole, D(d1) * D(f) / whole)
+            args = np.array([f]), np.array([float(d1)]), np.array([float(dof)])
+            if want > D("1e-300"):
+                assert abs(D(float(tails.f_upper(*args)[0])) / want - 1) < D("1e-10"), (d1, f)
+            assert tails.f_upper(*args, log10=True)[0] == pytest.approx(float(want.log10()), rel=1e-10, abs=1e-12)
+            if d1 == 1:
+                t = np.array([f**0.5]), np.array([float(dof)])
+                close(tails.t_two_sided(*t), tails.f_upper(*args), 1e-9)
+                close(tails.t_two_sided(*t, log10=True), tails.f_upper(*args, log10=True), 1e-9)
+
+
+def test_logarithms_keep_tails_below_the_smallest_double():
+    args = np.array([5000.0]), np.array([2.0]), np.array([4000.0])
+    assert tails.f_upper(*args)[0] == 0.0 or tails.f_upper(*args)[0] < 1e-300
+    close(tails.f_upper(*args, log10=True), -2000 * np.log10(1 + 2.5), 1e-12)
+    close(tails.t_two_sided(np.array([60.0]), np.array([1e12]), log10=True), -784.0, 1e-2)
+    edge = tails.t_two_sided(np.array([0.0, np.inf, np.nan]), np.full(3, 5.0), log10=True)
+    assert edge[0] == 0 and edge[1] == -np.inf and np.isnan(edge[2])
+
+
 def test_tails_match_the_jvm_library(spark):
     rows = [(t, v) for t in (0.01, 0.7, 2.2, 8.0, 30.0) for v in (1.0, 2.7, 9.0, 63.5, 400.0)]
     df = spark.createDataFrame(rows, "statistic double, df double")
@@ -153,6 +213,51 @@ def test_ancova_against_least_squares(cells, term):
             assert (r.dfn, r.dfd) == (dfn, dfd)
 
 
+def _rank(columns):
+    return int(np.linalg.matrix_rank(np.column_stack(columns)))
+
+
+def test_factor_ancova_of_layouts_that_fall_apart(spark):
+    """Unbalanced, empty and disconnected cells: ranks and sums of squares of the full design."""
+    rng = np.random.default_rng(11)
+    layouts = {
+        "whole": [(s, t) for s in "abcd" for t in range(5)],
+        "holes": [(s, t) for i, s in enumerate("abcdef") for t in range(6) if (i + t) % 3],
+        "apart": [(s, t) for s, ts in (("a", (0, 1)), ("b", (0, 1)), ("c", (2, 3)), ("d", (2, 3, 4)), ("e", (5,))) for t in ts],
+        "one_time": [(s, 0) for s in "abc"],
+        "one_site": [("a", t) for t in range(4)],
+        "many": [(f"s{k}", t) for k in range(40) for t in range(12) if (k * 5 + t) % 4],
+    }
+    rows = []
+    for name, cells_ in layouts.items():
+        for s, t in cells_:
+            for _ in range(int(rng.integers(1, 4))):
+                rows.append((name, s, t * 30.0, float(rng.normal() + 1e4 * (name == "holes"))))
+    rows += [("perfect", s, float(t), {"a": 1.0, "b": 4.0, "c": 9.0}[s] + t / 3) for s in "abc" for t in range(4) for _ in (1, 2)]
+    rows += [("void", "a", 0.0, None), (None, "a", 0.0, 1.0), (None, "b", 1.0, 2.0), (None, "a", 1.0, 2.5), (None, "b", 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "g string, site string, time double, value double").repartition(3)
+    result = st.ancova(df, ["g"], "value", "site", "time", "factor")
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "CartesianProduct" not in plan
+    got = {(r.g, r.effect): r for r in result.collect()}
+    assert {g for g, _ in got} == {*layouts, "perfect", None}
+    for name in (*layouts, None):
+        mine = [r for r in rows if r[0] == name]
+        site, t, y = (np.array([r[i] for r in mine]) for i in (1, 2, 3))
+        a, b = _dummies(site), _dummies(t)
+        rank, full = _rank(a + b), _rss(a + b, y)
+        for effect, rest in (("site", b), ("time", a)):
+            r, dfn, dfd = got[(name, effect)], rank - _rank(rest), len(y) - rank
+            if dfn < 1 or dfd < 1:
+                assert (r.f, r.dfn, r.dfd) == (None, None, None)
+                continue
+            ss = _rss(rest, y) - full
+            assert (r.dfn, r.dfd) == (dfn, dfd), name
+            close(r.f, (ss / dfn) / (full / dfd), 1e-6)
+            close(r.ges, ss / (ss + full), 1e-6)
+    assert got[("perfect", "site")].f is None or got[("perfect", "site")].f > 1e20
+
+
 @pytest.mark.parametrize("term", ["numeric", "factor"])
 def test_anova_time_against_least_squares(cells, term):
     got = {r.analyte: r for r in st.anova_time(cells, ["analyte"], "value", term=term).collect()}
