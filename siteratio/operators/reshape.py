@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,17 +143,17 @@ def assert_unique(
     """
     check_choice("on_duplicate", on_duplicate, ON_DUPLICATE)
     if on_duplicate == "error":
-        cell = _one_value(value_col)
-    elif has_repeats(df, keys):
-        cell = "cast(count(1) AS double)"
-    else:
-        cell = f"first({ident(value_col)})"
-    return df.groupBy(*keys).agg(F.expr(f"{cell} AS {ident(value_col)}"))
+        return df.groupBy(*keys).agg(F.expr(f"{_one_value(value_col)} AS {ident(value_col)}"))
+    cells, repeated = _counted(df, keys, value_col)
+    cell = F.when(repeated, F.col("_count").cast("double")).otherwise(F.col("_value"))
+    return cells.select(*keys, cell.alias(value_col))
 
 
-def has_repeats(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether any key occurs twice (one aggregate over the keys alone)."""
-    return bool(df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).count())
+def _counted(df: DataFrame, keys: Sequence[str], value_col: str) -> tuple[DataFrame, Column]:
+    """Per key its rows and one of its values, and whether any key repeats: a subquery over the same aggregate,
+    which runs when the result does."""
+    cells = df.groupBy(*keys).agg(F.expr("count(1) AS _count"), F.expr(f"first({ident(value_col)}) AS _value"))
+    return cells, cells.agg(F.expr("coalesce(max(_count), 0L) > 1")).scalar()
 
 
 def to_wide(
@@ -175,9 +175,13 @@ def to_wide(
     placed = df.withColumn(
         col, F.expr(f"CASE WHEN {listed} THEN {ident(col)} ELSE cast(raise_error({told}) AS string) END")
     )
-    if on_duplicate == "count" and has_repeats(df, [row, col]):
-        wide = placed.groupBy(row).pivot(col, names).agg(F.count(F.lit(1)).cast("double"))
-        return wide.fillna(0.0, names)
+    if on_duplicate == "count":
+        cells, repeated = _counted(placed, [row, col], value_col)
+        wide = cells.groupBy(row).pivot(col, names).agg(F.first(F.struct("_count", "_value")))
+        cell = lambda c: F.when(repeated, F.coalesce(F.col(f"{ident(c)}._count"), F.lit(0)).cast("double")).otherwise(
+            F.col(f"{ident(c)}._value")
+        )
+        return wide.select(row, *[cell(c).alias(c) for c in names])
     return placed.groupBy(row).pivot(col, names).agg(F.expr(_one_value(value_col)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from siteratio.functions.sqltext import ident, text
 from siteratio.schema import ANALYTE, ROW_ID, SAMPLE, VALUE
+from siteratio.sources.staged import current, publish
 
 #: Missing values are written as this text in CSV files.
 CSV_NULL = "NA"
@@ -18,7 +19,8 @@ CSV_NULL = "NA"
 def _read(
     spark: SparkSession, path: str, fmt: str, schema: T.StructType | None, ids: Sequence[str]
 ) -> DataFrame:
-    """A table; in CSV the text NA is missing in measures, but a name may be written NA."""
+    """A table, published or plain; in CSV the text NA is missing in measures, but a name may be written NA."""
+    path = current(spark, path)
     if fmt != "csv":
         return (spark.read.schema(schema) if schema else spark.read).format(fmt).load(path)
     reader = spark.read.option("header", True)
@@ -90,46 +92,14 @@ def read_log2(
     return df.withColumnRenamed(analyte_col, ANALYTE)
 
 
-def _root(spark: SparkSession, path: str) -> str:
-    """A path as its file system writes it, ending in a slash."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.makeQualified(target).toString().rstrip("/") + "/"
-
-
-def _refuse_self_overwrite(df: DataFrame, target: str) -> None:
-    """Refuse a target below or above a folder the plan reads; files are not listed."""
-    spark = df.sparkSession
-    inside = _root(spark, target)
-    plan = df._jdf.queryExecution().analyzed().collectLeaves()
-    for i in range(plan.size()):
-        leaf = plan.apply(i)
-        if leaf.getClass().getSimpleName() != "LogicalRelation":
-            continue
-        relation = leaf.relation()
-        if relation.getClass().getSimpleName() != "HadoopFsRelation":
-            continue
-        roots = relation.location().rootPaths()
-        for k in range(roots.size()):
-            source = _root(spark, roots.apply(k).toString())
-            if source.startswith(inside) or inside.startswith(source):
-                raise ValueError(f"{target} is being read and cannot be overwritten")
-
-
 def write_tables(tables: Mapping[str, DataFrame], path: str) -> dict[str, str]:
-    """Write each table as one Parquet dataset below ``path``; returns name -> location."""
-    where = {name: f"{path.rstrip('/')}/{name}" for name in tables}
-    for name, df in tables.items():
-        for target in where.values():
-            _refuse_self_overwrite(df, target)
-        df.write.mode("overwrite").parquet(where[name])
-    return where
+    """Write each table as one Parquet dataset below ``path``; returns name -> folder of its rows.
+
+    ``path``/name is replaced as a whole (see ``staged``) and can be given to the readers as it is.
+    """
+    return {name: publish(df, f"{path.rstrip('/')}/{name}") for name, df in tables.items()}
 
 
 def write_stat(df: DataFrame, path: str, name: str) -> str:
     """Write one statistics table as CSV with a header and NA for missing values."""
-    target = f"{path.rstrip('/')}/{name}"
-    _refuse_self_overwrite(df, target)
-    df.write.mode("overwrite").option("header", True).option("nullValue", CSV_NULL).csv(target)
-    return target
+    return publish(df, f"{path.rstrip('/')}/{name}", "csv", header=True, nullValue=CSV_NULL)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siteratio.functions import scalars as fx
 from siteratio.operators.names import dup_label, split_name, supersede, supersede_columns
+from siteratio.operators import reshape
 from siteratio.operators.reshape import (
     assert_unique,
     densify,
@@ -147,6 +148,32 @@ def test_densify_equals_pivot_then_unpivot(frame):
     assert rows(dense.filter("v IS NOT NULL"), "a", "s", "t", "v") == rows(df, "a", "s", "t", "v")
 
 
+def test_grid_is_made_of_blocks(spark, monkeypatch):
+    """More columns than a block holds, of two typed keys with a missing one: every pair once."""
+    monkeypatch.setattr(reshape, "GRID_BLOCK", 7)
+    rows_ = spark.range(5).selectExpr("nullif(id, 3) AS r")
+    cols = spark.range(40).selectExpr("nullif(concat('c', id), 'c9') AS c", "id * 0.5D AS t")
+    got = [tuple(x) for x in reshape.grid(rows_, cols).collect()]
+    assert len(got) == len(set(got)) == 5 * 40
+    assert {x[0] for x in got} == {0, 1, 2, None, 4} and (None, None, 4.5) in got
+    assert reshape.grid(rows_, cols.limit(0)).count() == 0 and reshape.grid(rows_.limit(0), cols).count() == 0
+
+
+def test_count_rule_is_decided_inside_the_plan(spark, frame):
+    """No job runs while the plan is made; without a repeat the values stay."""
+    df = frame([("m", "a", 1.5), ("n", "b", None)], "r string, c string, v double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    plain = assert_unique(df, ["r", "c"], "v", on_duplicate="count")
+    wide = to_wide(df, "r", "c", "v", cols=["a", "b"], on_duplicate="count")
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("other", "other")
+    assert rows(plain, "r", "c", "v") == rows(df, "r", "c", "v")
+    assert sorted(map(tuple, wide.collect())) == [("m", 1.5, None), ("n", None, None)]
+    twice = assert_unique(df.union(df), ["r", "c"], "v", on_duplicate="count")
+    assert {r.v for r in twice.collect()} == {2.0}
+
+
 def test_labels_without_a_column_are_errors(frame):
     df = frame([("m", "a", 1.0), ("m", None, 2.0)], "r string, c string, v double")
     with pytest.raises(ValueError, match="missing labels"):
