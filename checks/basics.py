@@ -27,6 +27,7 @@ from siteratio.operators.reshape import (
     to_wide,
 )
 from siteratio.operators.summarise import (
+    collapse_alternatives,
     filter_group_size,
     filter_regex,
     sort_by_keys,
@@ -416,7 +417,7 @@ def strip_rerun(spark, sf):
     ),
 )
 def str_collapse(spark, sf):
-    return reruns(spark, sf).groupBy("analyte").agg(fx.collapse_alternatives(F.col("sample")).alias("pattern"))
+    return collapse_alternatives(reruns(spark, sf), ["analyte"], "sample")
 
 
 @check(

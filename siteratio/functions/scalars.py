@@ -114,15 +114,6 @@ def number_label(c: Column) -> Column:
     return F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
 
 
-def collapse_alternatives(c: Column) -> Column:
-    """Aggregate: distinct texts as one anchored alternation, in text order.
-
-    Meant for bounded label columns; the engine itself matches by anti join.
-    """
-    anchored = F.concat(F.lit("^"), c, F.lit("$"))
-    return F.array_join(F.sort_array(F.collect_set(anchored)), "|")
-
-
 def strip_rerun(c: Column) -> Column:
     return F.regexp_replace(c, RERUN_SUFFIX, "")
 

@@ -12,6 +12,8 @@ from siteratio.operators.joins import null_safe_join
 from siteratio.operators.ratio import reference_value
 from siteratio.runtime import freeze
 
+#: Most bytes of a pattern made of labels.
+PATTERN_BYTES = 1 << 20
 #: Rows one ordered range should hold.
 RANGE_ROWS = 500_000
 
@@ -32,6 +34,26 @@ def filter_group_size(df: DataFrame, keys: Sequence[str], min_rows: int) -> Data
     return null_safe_join(df, big, keys, "left_semi")
 
 
+def collapse_alternatives(
+    df: DataFrame, keys: Sequence[str], col: str, out: str = "pattern", max_bytes: int = PATTERN_BYTES
+) -> DataFrame:
+    """Per group, the distinct texts of ``col`` as one anchored alternation, in text order.
+
+    Texts are made distinct before they are brought together, so a group of any size leaves its tasks as its labels. A
+    pattern of more than ``max_bytes`` is an error, raised before the texts beyond it are collected: match
+    against so many by an anti join. A group without texts gets the empty pattern.
+    """
+    c = ident(col)
+    texts = df.selectExpr(*idents(keys), f"{c} AS _text").distinct()
+    size = f"sum(coalesce(octet_length(_text) + 3, 0)) {over(keys, 'ORDER BY _text ROWS UNBOUNDED PRECEDING')}"
+    told = f"'a pattern of more than {max_bytes} bytes: use an anti join'"
+    within = f"CASE WHEN {size} > {max_bytes + 1} THEN cast(raise_error({told}) AS string) ELSE _text END"
+    anchored = texts.selectExpr(*idents(keys), f"{within} AS _text").selectExpr(
+        *idents(keys), "concat('^', _text, '$') AS _text"
+    )
+    return anchored.groupBy(*keys).agg(F.expr(f"array_join(array_sort(collect_list(_text)), '|') AS {ident(out)}"))
+
+
 def ranged(df: DataFrame, order: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Cut distinct rows into ordered ranges of bounded size, frozen with a ``_range`` number.
 

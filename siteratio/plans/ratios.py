@@ -1,7 +1,7 @@
 """Ion counts to log2 ratios, on the wide matrix.
 
-All samples of an analyte sit in one row, and so do their references. A ratio is
-therefore an expression over columns of the same row: the job is a scan, a projection
+All samples of an analyte sit in one row, and so do their references. The row's measures become
+one array and its ratios an expression over places in that array: the job is a scan, a projection
 and a write, with no shuffle of measurements, and samples that no output needs are
 never read.
 """
@@ -65,24 +65,63 @@ def _unique_lookup(samples: Sequence[Sample]) -> dict[tuple[str, str, str, str],
     return found
 
 
-def _reference(
-    values: Mapping[str, str],
-    columns: Mapping[tuple[str, str, str, str], str],
-    sample: Sample,
-    weights: Mapping[str, float],
-    replicate: str,
-    on_missing_ref: str,
-) -> str:
-    """Weighted sum of the reference columns of a sample's subject and timepoint."""
-    terms = []
-    for site, weight in weights.items():
-        name = columns.get((sample.subject, sample.timepoint, site, replicate))
-        if name is None:
-            if on_missing_ref == "error":
-                raise ValueError(f"{sample.column} has no reference {site} {replicate}")
-            return "cast(NULL AS double)"
-        terms.append(values[name] if weight == 1 else f"{values[name]} * {number(weight)}")
-    return f"({' + '.join(terms)})"
+class _Wide:
+    """The output columns of a job, as places in one array of measures.
+
+    A reference is a list of (place, weight), a cell a list of measured places and a list of references. They enter the
+    plan as constant arrays, so a row's ratios are one expression however many samples there are.
+    """
+
+    def __init__(self, values: Mapping[str, str], columns: Mapping[tuple[str, str, str, str], str]) -> None:
+        self.values, self.columns = values, columns
+        self.places: dict[str, int] = {}
+        self.refs: dict[tuple[tuple[int, float], ...], int] = {}
+        self.cells: dict[str, tuple[list[int], list[int]]] = {}
+
+    def _place(self, column: str) -> int:
+        return self.places.setdefault(column, len(self.places))
+
+    def reference(self, sample: Sample, weights: Mapping[str, float], replicate: str, on_missing_ref: str) -> int:
+        """Number of the weighted sum of the reference columns of a sample's subject and timepoint; -1 without them."""
+        terms = []
+        for site, weight in weights.items():
+            name = self.columns.get((sample.subject, sample.timepoint, site, replicate))
+            if name is None:
+                if on_missing_ref == "error":
+                    raise ValueError(f"{sample.column} has no reference {site} {replicate}")
+                return -1
+            terms.append((self._place(name), float(weight)))
+        return self.refs.setdefault(tuple(terms), len(self.refs))
+
+    def put(self, name: str, measured: Sequence[Sample], refs: Sequence[int]) -> None:
+        if name in self.cells:
+            raise ValueError(f"more than one value for {name}")
+        self.cells[name] = [self._place(s.column) for s in measured], list(refs)
+
+    def log2(self, counts: DataFrame, analyte_col: str, nonfinite: str) -> DataFrame:
+        """The analyte and, in name order, log2 of the median over all pairs of a cell's samples and references."""
+        analyte = f"{ident(analyte_col)} AS {ANALYTE}"
+        if not self.cells:
+            return counts.selectExpr(analyte)
+        names = sorted(self.cells)
+        numbers = lambda xs: f"array({', '.join(map(str, xs))})"
+        mixture = lambda terms: numbers(f"struct({i} AS i, {number(w)} AS w)" for i, w in terms)
+        refs = f"transform({numbers(map(mixture, self.refs))}, r -> aggregate(r, 0D, (t, x) -> t + v[x.i] * x.w))"
+        cells = numbers(f"struct({numbers(m)} AS m, {numbers(r)} AS r)" for m, r in (self.cells[n] for n in names))
+        pair = quotient_text("v[i]", "if(k < 0, NULL, f[k])", nonfinite)
+        pairs = f"transform({cells}, c -> sort_array(flatten(transform(c.m, i -> transform(c.r, k -> {pair})))))"
+        there = all_there_text("p[0]", "p[size(p) - 1]", nonfinite)
+        if nonfinite == "ieee":
+            there = f"({there} OR isnan(p[0]) AND size(p) = 1)"  # a single ratio may be undefined, a median not
+        low, high = "p[(size(p) - 1) div 2]", "p[size(p) div 2]"
+        middle = f"CASE WHEN {there} THEN if(size(p) % 2 = 1, {low}, ({low} + {high}) / 2) END"
+        return (
+            counts.selectExpr(analyte, f"array({', '.join(self.values[c] for c in self.places)}) AS v")
+            .selectExpr(ANALYTE, "v", f"{refs if self.refs else 'array(cast(NULL AS double))'} AS f")
+            .selectExpr(ANALYTE, f"transform({pairs}, p -> {middle}) AS m")
+            .selectExpr(ANALYTE, f"transform(m, x -> {log2_text('x', nonfinite)}) AS l")
+            .selectExpr(ANALYTE, *[f"l[{i}] AS {ident(n)}" for i, n in enumerate(names)])
+        )
 
 
 def _require_unique(df: DataFrame, analyte_col: str) -> None:
@@ -92,17 +131,6 @@ def _require_unique(df: DataFrame, analyte_col: str) -> None:
         raise ValueError(f"{analyte_col} repeats ({names}): a row per analyte is needed")
 
 
-def _named(out: Mapping[str, str]) -> list[str]:
-    """Output columns in name order."""
-    return [f"{out[n]} AS {ident(n)}" for n in sorted(out)]
-
-
-def _put(out: dict[str, str], name: str, expression: str) -> None:
-    if name in out:
-        raise ValueError(f"more than one value for {name}")
-    out[name] = expression
-
-
 def single_route(s: Sample) -> Route | None:
     """Lung against the right ventricle, liver against its inflow, the rest against FA."""
     if s.site == "LV":
@@ -136,18 +164,15 @@ def job_ratio_single(
     columns = _unique_lookup(samples)
     cells = _cells(samples, single_route)
     size = Counter((label, timepoint) for label, timepoint, _ in cells)
-    out: dict[str, str] = {}
+    out = _Wide(values, columns)
     for (label, timepoint, subject), (route, measured) in cells.items():
         if size[(label, timepoint)] < min_samples:
             continue
         (sample,) = measured
-        ref = _reference(values, columns, sample, route.weights, "1", on_missing_ref)
         time_label = reduce(lambda t, ab: t.replace(*ab), TIME_LABELS.items(), timepoint)
         name = "_".join([SITE_LABELS.get(label, label), time_label, subject.replace("FP", "Ct")])
-        ratio = quotient_text(values[sample.column], ref, nonfinite)
-        _put(out, name, log2_text(f"({ratio})", nonfinite))
-    log2 = counts.selectExpr(f"{ident(analyte_col)} AS {ANALYTE}", *_named(out))
-    return {"ion_counts": counts, "log2va": log2}
+        out.put(name, measured, [out.reference(sample, route.weights, "1", on_missing_ref)])
+    return {"ion_counts": counts, "log2va": out.log2(counts, analyte_col, nonfinite)}
 
 
 def replicate_route(s: Sample) -> Route | None:
@@ -187,27 +212,8 @@ def job_ratio_replicate(
         if replicate not in secondary and "qc" not in subject:
             samples.append(Sample(column, subject, timepoint, site, replicate))
     columns = _unique_lookup(samples)
-    sorted_ratios: dict[str, str] = {}
-    out: dict[str, str] = {}
-    for i, ((label, timepoint, subject), (route, measured)) in enumerate(
-        _cells(samples, replicate_route).items()
-    ):
-        refs = [
-            _reference(values, columns, measured[0], route.weights, k, on_missing_ref)
-            for k in replicates
-        ]
-        pairs = [quotient_text(values[s.column], r, nonfinite) for s in measured for r in refs]
-        n = len(pairs)
-        sorted_ratios[f"_c{i}"] = f"sort_array(array({', '.join(pairs)}))"
-        whole = all_there_text(f"_c{i}[0]", f"_c{i}[{n - 1}]", nonfinite)
-        low, high = f"_c{i}[{(n - 1) // 2}]", f"_c{i}[{n // 2}]"
-        middle = low if n % 2 else f"({low} + {high}) / 2"
-        _put(
-            out,
-            f"{label}_{timepoint}_{subject}".lower(),
-            f"CASE WHEN {whole} THEN {log2_text(middle, nonfinite)} END",
-        )
-    log2 = counts.selectExpr(
-        f"{ident(analyte_col)} AS {ANALYTE}", *[f"{e} AS {c}" for c, e in sorted_ratios.items()]
-    ).selectExpr(ANALYTE, *_named(out))
-    return {"ion_counts": counts, "log2va": log2}
+    out = _Wide(values, columns)
+    for (label, timepoint, subject), (route, measured) in _cells(samples, replicate_route).items():
+        refs = [out.reference(measured[0], route.weights, k, on_missing_ref) for k in replicates]
+        out.put(f"{label}_{timepoint}_{subject}".lower(), measured, refs)
+    return {"ion_counts": counts, "log2va": out.log2(counts, analyte_col, nonfinite)}

@@ -225,4 +225,8 @@ def job_statistics(
     """All statistics tables of a cohort (or those in ``only``), lazily built."""
     job = StatisticsJob(log2, cohort, **options)
     names = only or [*cohort.outputs, *REPEATED_OUTPUTS]
-    return {name: job.output(name) for name in names}
+    tables: dict[str, DataFrame] = {}
+    for name in names:  # a table delivered under two names is one table
+        same = REPEATED_OUTPUTS.get(name)
+        tables[name] = tables[same] if same in tables else job.output(name)
+    return tables

@@ -1,5 +1,6 @@
 import math
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,26 @@ def test_single_cohort_plan_has_no_shuffle_of_measurements(single):
     assert "hashpartitioning" not in plan.split("BroadcastExchange")[0]
 
 
+def test_wide_plans_stay_small_with_many_samples(spark):
+    """A sample adds its columns and constants to the plan, not an expression of its own; 5,400 of them compile in seconds."""
+    names = [f"HF{s}_{t}_{o}_{k}" for s in range(1, 91) for t in ("000m", "030m", "060m", "120m") for o in ("FA", "P", "H", "RV", "LV") for k in (1, 2, 3)]
+    assert len(names) == 5400
+    rows = spark.range(3).selectExpr("concat('m', id) AS Name", *[f"cast(id + {j % 17 + 1} AS double) AS `{n}`" for j, n in enumerate(names)])
+    spark.conf.set("spark.sql.debug.maxToStringFields", "25")
+    started = time.perf_counter()
+    log2 = job_ratio_replicate(rows, "Name")["log2va"]
+    plan = log2._jdf.queryExecution().executedPlan().toString()
+    spent = time.perf_counter() - started
+    assert spent < 60 and plan.count("try_divide") <= 2
+    value = dict(zip(names, (1 + j % 17 for j in range(5400))))
+    got = log2.filter("analyte = 'm0'").select("p_060m_7", "liver_120m_90").first()
+    pairs = lambda s, t, site, ref: [value[f"HF{s}_{t}_{site}_{i}"] / ref(k) for i in (1, 2, 3) for k in (1, 2, 3)]
+    fa = lambda s, t: lambda k: value[f"HF{s}_{t}_FA_{k}"]
+    inflow = lambda s, t: lambda k: 0.8 * value[f"HF{s}_{t}_P_{k}"] + 0.2 * value[f"HF{s}_{t}_FA_{k}"]
+    assert got[0] == pytest.approx(math.log2(statistics.median(pairs(7, "060m", "P", fa(7, "060m")))))
+    assert got[1] == pytest.approx(math.log2(statistics.median(pairs(90, "120m", "H", inflow(90, "120m")))))
+
+
 def test_repeated_analytes_are_refused(spark, single):
     wide, _ = single
     third = wide.union(wide.filter("analyte = 'Val'").selectExpr("99L AS row_id", "'val' AS analyte", *[f"`{c}`" for c in wide.columns[2:]]))

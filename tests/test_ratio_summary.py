@@ -10,6 +10,7 @@ from siteratio.operators.ratio import group_scalar, paired_ratio
 from siteratio.operators.selection import PER_HALVING, _by_size, group_median
 from siteratio.operators.summarise import (
     baseline_delta,
+    collapse_alternatives,
     filter_group_size,
     filter_regex,
 )
@@ -115,6 +116,19 @@ def test_no_task_of_a_median_holds_a_hot_group(spark):
     assert got["hot"] == statistics.median(values) and len(got) == 1 + len({k % 500 for k in range(300_000) if k % 3})
 
 
+def test_patterns_are_bounded(spark):
+    hot = spark.range(0, 30_000, 1, 4).selectExpr("CASE WHEN id % 3 = 0 THEN 'h' ELSE 'g' END AS g", "concat('x', id % 4) AS s")
+    odd = spark.createDataFrame([(None, "a|b"), ("none", None), ("dup", "é"), ("dup", "é")], "g string, s string")
+    df = hot.unionByName(odd)
+    got = {r.g: r.pattern for r in collapse_alternatives(df, ["g"], "s").collect()}
+    four = "|".join(f"^x{k}$" for k in range(4))
+    assert got == {"h": four, "g": four, None: "^a|b$", "none": "", "dup": "^é$"}
+    assert len(four) == 19
+    assert collapse_alternatives(df.filter("g = 'h'"), ["g"], "s", max_bytes=19).first().pattern == four
+    with pytest.raises(PySparkException, match="use an anti join"):
+        collapse_alternatives(df, ["g"], "s", max_bytes=18).collect()
+
+
 def test_group_size_counts_missing_values(frame):
     df = frame([("a", None), ("a", 1.0), ("b", 1.0), (None, 1.0), (None, 2.0)], "g string, v double")
     assert {r.g for r in filter_group_size(df, ["g"], 2).collect()} == {"a", None}
