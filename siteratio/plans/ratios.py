@@ -65,6 +65,14 @@ def _unique_lookup(samples: Sequence[Sample]) -> dict[tuple[str, str, str, str],
     return found
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for a value that is computed once.
+
+    A column of a select below could be put in its place, inside a loop, and be computed for every element.
+    """
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 class _Wide:
     """The output columns of a job, as places in one array of measures.
 
@@ -115,12 +123,10 @@ class _Wide:
             there = f"({there} OR isnan(p[0]) AND size(p) = 1)"  # a single ratio may be undefined, a median not
         low, high = "p[(size(p) - 1) div 2]", "p[size(p) div 2]"
         middle = f"CASE WHEN {there} THEN if(size(p) % 2 = 1, {low}, ({low} + {high}) / 2) END"
-        return (
-            counts.selectExpr(analyte, f"array({', '.join(self.values[c] for c in self.places)}) AS v")
-            .selectExpr(ANALYTE, "v", f"{refs if self.refs else 'array(cast(NULL AS double))'} AS f")
-            .selectExpr(ANALYTE, f"transform({pairs}, p -> {middle}) AS m")
-            .selectExpr(ANALYTE, f"transform(m, x -> {log2_text('x', nonfinite)}) AS l")
-            .selectExpr(ANALYTE, *[f"l[{i}] AS {ident(n)}" for i, n in enumerate(names)])
+        row = f"array({', '.join(self.values[c] for c in self.places)})"
+        medians = _let("v", row, _let("f", refs if self.refs else "array(cast(NULL AS double))", f"transform({pairs}, p -> {middle})"))
+        return counts.selectExpr(analyte, f"transform({medians}, x -> {log2_text('x', nonfinite)}) AS l").selectExpr(
+            ANALYTE, *[f"l[{i}] AS {ident(n)}" for i, n in enumerate(names)]
         )
 
 
