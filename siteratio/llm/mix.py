@@ -34,6 +34,8 @@ from siteratio.llm.words import mix as scatter
 #: Words of a block; blocks of a shard.
 BLOCK = 64
 SLOTS = 1024
+#: Slots that a task writes out, on average.
+SLOTS_A_TASK = 1 << 17
 #: Weights of the sources in order, repeating; share of all words to take; most uses of a block.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -229,7 +231,10 @@ def deal_slots(spark, plan: Mixture, seed: int = SEED) -> DataFrame:
                 yield pd.DataFrame({"shard": shard, "source_no": source, "epoch": epoch, "block": block})
 
     first = F.expr("sum(slots) over (partition by source_no order by shard) - slots")
-    return dealt.withColumn("first", first).mapInPandas(expand, "shard long, source_no int, epoch long, block long")
+    # the window brings a source's draws together, one row per shard; their slots are written out all over the cluster
+    parts = max(1, min(int(wanted.sum()) // SLOTS_A_TASK + 1, 2000))
+    placed = dealt.withColumn("first", first).repartition(parts, "source_no", "shard")
+    return placed.mapInPandas(expand, "shard long, source_no int, epoch long, block long")
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), seed: int = SEED) -> tuple[DataFrame, DataFrame, Mixture]:

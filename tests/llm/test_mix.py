@@ -1,5 +1,6 @@
 import numpy as np
 from llm_plain import ODD, SCHEMA, documents, prose, words
+from pyspark.sql import functions as F
 
 from siteratio.llm import mix
 
@@ -45,6 +46,17 @@ def test_shards_hold_a_multinomial_draw_of_blocks(spark):
     assert len(got) == -(-plan.slots.sum() // mix.SLOTS)
 
 
+def test_slots_of_one_source_are_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mix, "SLOTS_A_TASK", 2048)
+    docs = documents(spark, [(i, "a b c d " * 8000, "one") for i in range(60)])
+    _, plan = mix.streams(docs, ())
+    slots = mix.deal_slots(spark, plan)
+    sizes = [r[1] for r in slots.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == plan.slots.sum() > 20 * mix.SLOTS
+    assert len(sizes) > 6 and max(sizes) < sum(sizes) / 3
+    assert slots.distinct().count() == sum(sizes)
+
+
 def test_mixed_texts_are_stretches(spark):
     rows = [(i, prose(i, 30 + 40 * (i % 9)), "a" if i % 2 else "b") for i in range(80)]
     docs = documents(spark, rows)
