@@ -17,10 +17,12 @@ hash, a set counts how many of its thinned shingles no other set has, and is set
 would be found for a set with a partner with a chance below e**-35. Then exactly: a set more than a
 quarter of whose shingles no other remaining set has can't have a partner.
 
-Within a group of sets that share a signature, sets are first compared with one of them, and what is
-linked already is not compared again. Remaining pairs from different components are all compared,
-after bounds from shared signatures and parity sketches have ruled out most; in a family of very many
-near copies that are not linked among each other their number still grows with its square. Every link
+Within a group of sets that share a signature, sets are first compared with one of them, that which
+meets most others: a text and its edited copies are linked through the text. What is linked already is not
+compared again, nor are sets with too many shingles that no set of another component has. Of what remains,
+pairs of small groups are joined by their signatures. Large groups that have sets in common are a family; its sets are
+compared by blocks, parity sketches against parity sketches, and only pairs that these allow are written. In a family of very many
+near copies that are not linked among each other the work inside the blocks still grows with its square. Every link
 is checked on the sets themselves (64-bit hashes of shingles).
 
 Defined cases: equal sets are always linked; a null or empty text, or one without words, has no
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteratio.llm.components import components
@@ -54,6 +56,11 @@ CERTAINTY = 35.0
 BROADCAST_PAIRS = 1_000_000
 #: Bytes of sketches that are broadcast.
 BROADCAST_SKETCHES = 1 << 25
+#: Sets, and 64-bit words of their sketches, that a block of a family has on average at most.
+BLOCK_SETS = 1_000
+BLOCK_WORDS = 1 << 19
+#: Sizes of a class are within this factor: more than 4 / 3, so that partners are never two classes apart.
+CLASS = 1.34
 #: Column that names a row by its id and text, while it is one.
 ROW_KEY = "_id_and_text"
 #: Rounds of comparisons with one set of each group.
@@ -256,23 +263,35 @@ def _few(df: DataFrame) -> DataFrame:
 def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets that share a signature, common signatures dropped where they may be; weak partitions of the sets.
 
-    The first has signature, key, n, band and ``low``, the key and n of the set with the least key; the
-    second key, band and ``weak``: in how many partitions the set has common signatures.
+    The first has signature, key, n, band, met and ``hub``, the key and n of one of the sets; the
+    second key, band and ``weak``: in how many partitions the set has common signatures. ``met`` counts
+    the sets that a set shares common signatures with, once for each of them: of a text and its many
+    edited copies, which are often like that text but not like each other, the text itself has most.
     """
     signed = _signed(sets)
-    lowest = F.min(F.struct("key", "n")).alias("low")
+    lowest = F.min(F.struct("key", "n")).alias("hub")
     shared = signed.groupBy("signature").agg(F.count("*").alias("members"), lowest, F.max("key").alias("high"))
-    multi = stored(signed.join(shared.where("low.key < high"), "signature").drop("high"), "shared")
+    multi = stored(signed.join(shared.where("hub.key < high"), "signature").drop("high"), "shared")
     common = F.col("members") > COMMON
-    weak = multi.where(common).groupBy("key", "n", "band").agg(F.count_distinct("part").alias("weak"))
+    weak = (
+        multi.where(common)
+        .groupBy("key", "n", "band")
+        .agg(F.count_distinct("part").alias("weak"), F.sum("members").alias("met"))
+    )
     weak = stored(weak.withColumn("crowded", F.expr(f"weak >= {_SURE}")).drop("n"), "weak")
     columns = ["signature", "key", "n", "band"]
-    # of a common signature the crowded sets stay: their lowest is found anew
-    crowded = weak.where("crowded").select("key", "band")
-    kept = multi.where(common).join(_few(crowded), ["key", "band"], "left_semi").select(columns)
-    again = kept.groupBy("signature").agg(lowest)
-    hot = kept.join(again, "signature").select(*columns, "low")
-    return multi.where(~common).select(*columns, "low").unionByName(hot), weak.select("key", "band", "weak")
+    # of a common signature the crowded sets stay: their hub is found anew
+    crowded = weak.where("crowded").select("key", "band", "met")
+    kept = multi.where(common).join(_few(crowded), ["key", "band"]).select(*columns, "met")
+    again = kept.groupBy("signature").agg(_most_met("n"))
+    hot = kept.join(again, "signature").select(*columns, "met", "hub")
+    cold = multi.where(~common).select(*columns, F.lit(0).cast("long").alias("met"), "hub")
+    return cold.unionByName(hot), weak.select("key", "band", "weak")
+
+
+def _most_met(*columns: str) -> Column:
+    """The set of a group that met most (of equal ones that with the least key): key and ``columns``."""
+    return F.max_by(F.struct("key", *columns), F.struct("met", -F.col("key"))).alias("hub")
 
 
 def _possible(met: DataFrame, weak: DataFrame) -> DataFrame:
@@ -331,8 +350,27 @@ def _open(groups: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).selectExpr("id as key", "component")
     labelled = groups.join(_few(found), "key", "left").withColumn("label", F.coalesce("component", "key"))
     mixed = labelled.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = mixed.where("low < high").select("signature", "low")
-    return stored(labelled.join(mixed, "signature").select("signature", "key", "n", "band", "label", "low"), "open")
+    mixed = mixed.where("low < high").select("signature")
+    return stored(labelled.join(mixed, "signature").select("signature", "key", "n", "band", "met", "label"), "open")
+
+
+def _foreign(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """``open_`` with ``own``: how many shingles of a set no open set of another component has.
+
+    Two sets of different components differ in the own shingles of both at least, and similar ones in
+    (a + b) / 7 shingles at most. So sets with more own shingles than a partner of any size allows are left out.
+    """
+    labels = stored(open_.select("key", "label").distinct(), "labels")
+    rows = stored(sets.join(_few(labels), "key").select(F.explode("shingles").alias("shingle"), "key", "label"), "elements")
+    spread = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = rows.join(spread.where("low < high").select("shingle"), "shingle", "left_semi")
+    others = stored(shared.groupBy("key").agg(F.count("*").alias("others")), "others")
+    return (
+        open_.join(_few(others), "key")
+        .withColumn("own", F.expr("n - others"))
+        .where("100 * others >= 75 * n")
+        .drop("others", "met")
+    )
 
 
 def link_sets(sets: DataFrame) -> DataFrame:
@@ -340,31 +378,108 @@ def link_sets(sets: DataFrame) -> DataFrame:
     groups, weak = _groups(sets)
     links = tested = open_ = None
     for _ in range(STAR_ROUNDS):
-        # in each group, one set of the lowest component; each set is compared with the one it shares most with
+        # in each group, one set is the hub; each set is compared with the hub it shares most with
         if links is None:
-            met = groups.where("key > low.key").selectExpr("key as a", "low.key as b", "n as an", "low.n as bn", "band")
+            met = groups.where("key <> hub.key")
         else:
-            hubs = open_.where("label = low").groupBy("signature").agg(F.min(F.struct("key", "n")).alias("hub"))
-            met = open_.where("label > low").join(hubs, "signature")
-            met = met.selectExpr("key as a", "hub.key as b", "n as an", "hub.n as bn", "band")
+            fresh = open_.join(_few(tested.select(F.col("b").alias("key")).distinct()), "key", "left_anti")
+            hubs = fresh.groupBy("signature").agg(_most_met("n", "label"))
+            met = open_.join(hubs, "signature").where("label <> hub.label")
+        met = met.selectExpr("key as a", "hub.key as b", "n as an", "hub.n as bn", "band")
         met = _possible(met.where(_near("an", "bn")), weak)
         if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
+            for there, back in ("ab", "ba"):
+                done = tested.selectExpr(f"{there} as a", f"{back} as b")
+                met = met.join(done, ["a", "b"], "left_anti")
         pairs = stored(met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "star")
         found = _linked(pairs, sets)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        open_ = _open(groups.select("signature", "key", "n", "band") if open_ is None else open_.drop("label", "low"), links)
-    one, two = open_.alias("one"), open_.alias("two")
+        columns = ["signature", "key", "n", "band", "met"]
+        open_ = _open((groups if open_ is None else open_).select(columns), links)
+    open_ = _foreign(open_, sets)
+    hubs = open_.groupBy("signature").agg(F.count("*").alias("members"), F.min("key").alias("hub"))
+    open_ = stored(open_.join(hubs, "signature"), "foreign")
+    large = F.col("members") > COMMON
+    one, two = open_.where(~large).alias("one"), open_.where(~large).alias("two")
     rest = one.join(two, "signature").where(
-        "one.key < two.key and one.label <> two.label and " + _near("one.n", "two.n")
+        "one.key < two.key and one.label <> two.label and one.own + two.own <= (one.n + two.n) div 7 and "
+        + _near("one.n", "two.n")
     )
     rest = rest.selectExpr("one.key as a", "two.key as b", "one.n as an", "two.n as bn", "one.band as band")
-    rest = _possible(rest, weak).select("a", "b")
+    # two sets of a large group are of one family; of two others all that they share is in small groups
+    rest = _possible(rest, weak).select("a", "b").unionByName(_alike(open_.where(large), sets)).distinct()
     same = tested.selectExpr("least(a, b) as a", "greatest(a, b) as b")
     return links.unionByName(_linked(rest.join(same, ["a", "b"], "left_anti"), sets))
 
 
+def _alike(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of one family and of different components whose sketches allow a link.
+
+    A family is what ``groups`` connect. It is cut into classes of size, so that partners are in one class or
+    in neighbouring ones, and these into blocks of bounded size; every two such blocks are compared by one task, which
+    gives out no pair but those that pass.
+    """
+    edges = groups.where("key <> hub").selectExpr("key as a", "hub as b").distinct()
+    family = _few(components(edges).selectExpr("id as key", "component as family"))
+    who = groups.select("key", "label", "own").distinct().join(family, "key")
+    who = sets.join(_few(who), "key").withColumn("size", F.expr(f"cast(floor(ln(n) / ln({CLASS}D)) as int)"))
+    who = stored(who.select("family", "size", "key", "n", "label", "own", "sketch"), "family")
+    blocks = who.groupBy("family", "size").agg(
+        F.expr(f"greatest(count(*) div {BLOCK_SETS}, sum(size(sketch)) div {BLOCK_WORDS}) + 1").alias("blocks")
+    )
+    blocks = stored(blocks, "blocks")
+    placed = who
+    for name, step in (("blocks", 0), ("above", 1), ("below", -1)):
+        near = blocks.select("family", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
+        placed = placed.join(_few(near), ["family", "size"], "left")
+    placed = placed.withColumn("block", F.expr("pmod(xxhash64(key), blocks)"))
+    numbers = "transform(sequence(0L, {} - 1), i -> named_struct('ls', {}, 'lb', {}, 'rs', {}, 'rb', {}))"
+    beside = numbers.format("blocks", "size", "least(i, block)", "size", "greatest(i, block)")
+    above = numbers.format("above", "size", "block", "size + 1", "i")
+    below = numbers.format("below", "size - 1", "i", "size", "block")
+    none = "cast(array() as array<struct<ls:int,lb:bigint,rs:int,rb:bigint>>)"
+    cells = f"concat({beside}, coalesce({above}, {none}), coalesce({below}, {none}))"
+    placed = placed.withColumn("cell", F.explode(F.expr(cells))).select("*", "cell.*").drop("cell", "blocks", "above", "below")
+    return placed.groupBy("family", "ls", "lb", "rs", "rb").applyInArrow(_compare, "a long, b long")
+
+
+def _compare(cell: pa.Table) -> pa.Table:
+    """Pairs of a cell's left and right block that differ in few enough bits of their sketches."""
+    cell = cell.combine_chunks()
+    numbers = {c: cell[c].to_numpy() for c in ("size", "block", "ls", "lb", "rs", "rb", "key", "n", "label", "own")}
+    lists = cell["sketch"].combine_chunks()
+    words = np.diff(lists.offsets.to_numpy())
+    flat, starts = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()[:-1]
+    left = (numbers["size"] == numbers["ls"]) & (numbers["block"] == numbers["lb"])
+    right = (numbers["size"] == numbers["rs"]) & (numbers["block"] == numbers["rb"])
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for w in np.unique(words[left]):
+        for v in np.unique(words[right]):
+            one, two = np.flatnonzero(left & (words == w)), np.flatnonzero(right & (words == v))
+            short = min(w, v)
+            a, b = (_folded(flat[starts[x][:, None] + np.arange(m)], short) for x, m in ((one, w), (two, v)))
+            for i, bits in zip(one, a, strict=True):
+                both = numbers["n"][i] + numbers["n"][two]
+                fit = (numbers["label"][two] != numbers["label"][i]) & (numbers["own"][two] + numbers["own"][i] <= both // 7)
+                fit &= 100 * np.minimum(numbers["n"][two], numbers["n"][i]) >= 75 * np.maximum(numbers["n"][two], numbers["n"][i])
+                at = np.flatnonzero(fit)
+                at = at[np.bitwise_count(b[at] ^ bits).sum(axis=1, dtype=np.int64) <= both[at] // 7]
+                there = numbers["key"][two[at]]
+                here = np.full(len(at), numbers["key"][i])
+                out.append((np.minimum(here, there), np.maximum(here, there)))
+    columns = [np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in (0, 1)]
+    return pa.table({"a": pa.array(columns[0]), "b": pa.array(columns[1])})
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (one a row) as if they had been made with so many words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n and the component (null without shingles) of every row of ``docs``."""
     profiles = stored(_profiles(docs), "profiles")

@@ -48,12 +48,29 @@ def test_components_as_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON", 3)  # nearly every shared signature counts as common
     monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
     monkeypatch.setattr(jaccard, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 25)
+    monkeypatch.setattr(jaccard, "BLOCK_WORDS", 512)
     check(rows, jaccard.jaccard_components(docs).collect())
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_family_without_its_text(spark, monkeypatch):
+    # copies of very different length around the threshold, few of them linked; every pair must come up in some block
+    text = prose(41, 400).split()
+    rows = []
+    for i in range(90):
+        rng = random.Random(i)
+        cut = text[rng.randrange(0, 60) : 400 - rng.randrange(0, 60)]
+        rows.append((i, edited(" ".join(cut), 4 + i % 7, i)))
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "COMMON", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 9)
+    want = check(rows, jaccard.jaccard_components(documents(spark, rows)).collect())
+    assert 5 < len(set(want.values())) < 85
+
+
 def test_similar_sets_share_signatures():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 4, 7, 8, 15, 16, 40, 100, 255, 256, 700, 2100):
