@@ -258,16 +258,21 @@ def mixed_texts(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     placed, taken, _ = mix(docs, ("text", "lang", "source"), seed)
     turns = "partition by source_no, begin, epoch order by block"
-    stretch = (
+    stretches = (
         taken.withColumn("island", F.expr(f"block - row_number() over ({turns})"))
         .groupBy("source_no", "begin", "epoch", "island")
         .agg(F.min("at").alias("at"), F.sum("length").alias("length"))
+        .groupBy("source_no", "begin")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("stretches"))
     )
-    words = f"slice(regexp_extract_all(text, '{WORD}', 0), cast(at + 1 as int), cast(length as int))"
+    # the words of a document are found once, whatever the number of its stretches, and not where it is taken whole
+    words = f"if(exists(stretches, s -> s.length < size), regexp_extract_all(text, '{WORD}', 0), cast(array() as array<string>))"
+    cut = "array_join(slice(w, cast(s.at + 1 as int), cast(s.length as int)), ' ')"
+    texts = f"transform(array({words}), w -> transform(stretches, s -> if(s.length = size, text, {cut})))[0]"
     return (
         placed.where("size > 0")
-        .join(stretch, ["source_no", "begin"])
-        .withColumn("text", F.expr(f"case when length = size then text else array_join({words}, ' ') end"))
+        .join(stretches, ["source_no", "begin"])
+        .withColumn("text", F.explode(F.expr(texts)))
         .select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
     )
 
