@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,27 +51,29 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_
         from siteratio.llm.tokens import word_tokenizer
 
         tokenizer = word_tokenizer(vocabulary)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
             at = 0
-            while at < len(texts):  # about a million characters, or one longer text, at a time
+            while at < batch.num_rows:  # about 256 KB, or one longer text, at a time
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 1 << 20):
-                    size += len(texts[end])
+                while end < batch.num_rows and (end == at or size + sizes[end] < 1 << 18):
+                    size += sizes[end]
                     end += 1
+                part = batch.slice(at, end - at)
+                texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = []
-                for name, ids in zip(names[at:end], tokenizer.encode(texts[at:end]), strict=True):
+                for name, ids in zip(part.column(0).to_pylist(), tokenizer.encode(texts), strict=True):
                     ids = np.append(ids, np.uint32(0)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         raw = ids[start : start + capacity].tobytes()
                         rows.append((name, k, start, len(raw) // 4, zlib.crc32(raw), raw if with_ids else None))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
                 at = end
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 

@@ -16,9 +16,9 @@ import numpy as np
 from siteratio.llm.words import mix
 
 #: Code points of texts cut at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Distinct parts kept by a Python worker; beyond it the cache starts anew.
-CACHED = 600_000
+CACHED = 100_000
 
 _LIMIT = 0x250
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0)
@@ -43,6 +43,26 @@ def _plain(text: str) -> bool:
         return max(text) < chr(_LIMIT) and "\u0130" not in text
 
 
+def _pieces(text: str) -> list[str]:
+    """A long text cut at spaces into pieces of less than CHUNK signs; none if a run without a space is too long."""
+    out, at = [], 0
+    while len(text) - at >= CHUNK:
+        space = text.rfind(" ", at, at + CHUNK - 1)
+        if space < 0:
+            return []
+        out.append(text[at:space])
+        at = space + 1
+    return [*out, text[at:]]
+
+
+def _put(table: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``table`` with ``values`` from ``at`` on, twice as long if they have no room."""
+    if at + len(values) > len(table):
+        table = np.concatenate([table, np.zeros(max(len(table), len(values)), table.dtype)])
+    table[at : at + len(values)] = values
+    return table
+
+
 class WordTokenizer:
     """Ids of texts by the word-level vocabulary file at ``path``."""
 
@@ -63,9 +83,11 @@ class WordTokenizer:
 
     def clear(self) -> None:
         self.index: dict[int, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        #: parts and ids in the tables below, which have room to spare
+        self.parts = self.ids = 0
+        self.starts = np.zeros(2 * CACHED, np.int64)
+        self.sizes = np.zeros(2 * CACHED, np.int64)
+        self.flat = np.zeros(4 * CACHED, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32-bit) of each text."""
@@ -82,6 +104,8 @@ class WordTokenizer:
             group, size = [], 0
             if plain and len(text) < CHUNK:
                 group, size = [text], len(text) + 1
+            elif plain and "<|" not in text and (pieces := _pieces(text)):
+                out.append(np.concatenate([ids for piece in pieces for ids in self._cut([piece])]))
             else:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
         return out + self._cut(group)
@@ -134,11 +158,12 @@ class WordTokenizer:
             ids = np.concatenate([np.array(x.ids, dtype=np.uint32) for x in found])
             stops = np.flatnonzero(self.ends[ids]) + 1
             sizes = np.diff(stops, prepend=0)
-            base = len(self.sizes)
-            place[new] = base + np.arange(len(new))
-            self.starts = np.concatenate([self.starts, stops - sizes + len(self.flat)])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, ids])
+            place[new] = self.parts + np.arange(len(new))
+            self.starts = _put(self.starts, self.parts, stops - sizes + self.ids)
+            self.sizes = _put(self.sizes, self.parts, sizes)
+            self.flat = _put(self.flat, self.ids, ids)
+            self.parts += len(new)
+            self.ids += len(ids)
             self.index.update(zip(keys[new].tolist(), place[new].tolist(), strict=True))
         return place
 

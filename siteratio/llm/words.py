@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 #: Words of a shingle.
 SHINGLE = 5
 
