@@ -6,9 +6,13 @@ that share a bucket of any table are compared by exact cosine in double precisio
 a pair at the threshold shares one of the 32 buckets with probability 0.998 (nearer pairs more surely),
 and unrelated vectors share one with about 7e-5.
 
+Components keep their type: floats stay floats and anything else is taken as double, and all arithmetic is
+double. Vectors are scaled by powers of two first, which is exact, so very large and very small ones neither
+overflow nor vanish. Labels are compared as text.
+
 Equal vectors are one class and hashed once. The members of a bucket are split into blocks of bounded
 size and blocks are compared two by two, so a bucket of any size is compared completely by tasks of
-bounded memory. A pair counts in the first table where its buckets agree, so links are counted once
+bounded memory; a task sorts its rows by pair of blocks and walks through all of them. A pair counts in the first table where its buckets agree, so links are counted once
 without a table of pairs; for components each comparison hands on one edge per vector.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite components, and rows
@@ -22,10 +26,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from siteratio.llm.components import components
 from siteratio.llm.store import stored
@@ -38,6 +42,8 @@ COSINE = 0.98
 SEED = 7
 #: Members of a block.
 BLOCK = 256
+#: Numbers that are equal for the rows of one pair of blocks; ``pair`` stands for the label too.
+PAIR = ["pair", "table", "dim", "bucket", "low", "high"]
 
 
 def _projections(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +51,17 @@ def _projections(dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.normal(size=(dim, TABLES * PROJECTIONS)), rng.uniform(0, WIDTH, TABLES * PROJECTIONS)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The rows of ``vectors``, finite and not all zero, by powers of two that bring them near length one."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 def bucket_keys(vectors: np.ndarray) -> np.ndarray:
     """One 64-bit bucket key per table for each row of ``vectors``."""
     a, b = _projections(vectors.shape[1])
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = scaled(vectors)
+    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
     cells = np.floor((unit @ a + b) / WIDTH).astype(np.int64).astype(np.uint64)
     cells = cells.reshape(len(vectors), TABLES, PROJECTIONS)
     key = np.zeros((len(vectors), TABLES), dtype=np.uint64)
@@ -57,7 +70,7 @@ def bucket_keys(vectors: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
+def _classes(vectors: DataFrame, element: str) -> DataFrame:
     """id (smallest vec_id), label, dim, n and the buckets of each distinct usable vector."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +88,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
                         names=[*part.schema.names, "buckets"],
                     )
 
-    columns = "id long, class long, label long, dim int, n long, embedding array<float>, buckets array<long>"
+    columns = f"id long, class long, label string, dim int, n long, embedding array<{element}>, buckets array<long>"
     return vectors.mapInArrow(hashed, columns)
 
 
@@ -87,33 +100,34 @@ def _usable() -> str:
     )
 
 
-def compare(block: pd.DataFrame) -> pd.DataFrame:
-    """Links within a block pair: class, links (rows linked with it) and root (a class it reaches here)."""
-    left = np.flatnonzero(block["side"].to_numpy() == 0)
-    right = np.flatnonzero(block["side"].to_numpy() == 1)
-    table = int(block["table"].iloc[0])
-    x = np.stack(block["embedding"].to_numpy()).astype(np.float64)
+def _matrix(lists: pa.ListArray, rows: np.ndarray) -> np.ndarray:
+    """The given rows, all of one length, of a column of lists."""
+    return lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _links(x: np.ndarray, buckets: np.ndarray, side: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows with a cosine of at least COSINE that share none of ``buckets``, those of earlier tables."""
+    left = np.flatnonzero(side == 0)
+    right = left if alone else np.flatnonzero(side == 1)
+    x = scaled(x)
     norm = np.sqrt((x * x).sum(axis=1))
-    alone = int(block["low"].iloc[0]) == int(block["high"].iloc[0])
-    if alone:
-        right = left
     cosine = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :])
     i, j = np.nonzero(cosine >= COSINE)
     if alone:
         i, j = i[i < j], j[i < j]
     i, j = left[i], right[j]
-    if table and len(i):
-        keys = np.stack(block["buckets"].to_numpy())[:, :table]
+    if buckets.shape[1]:
         new = np.ones(len(i), dtype=bool)
         for at in range(0, len(i), 100_000):
-            new[at : at + 100_000] = ~(keys[i[at : at + 100_000]] == keys[j[at : at + 100_000]]).any(axis=1)
+            new[at : at + 100_000] = ~(buckets[i[at : at + 100_000]] == buckets[j[at : at + 100_000]]).any(axis=1)
         i, j = i[new], j[new]
-    names, n = block["class"].to_numpy(), block["n"].to_numpy()
-    links = np.zeros(len(block), dtype=np.int64)
-    np.add.at(links, i, n[j])
-    np.add.at(links, j, n[i])
-    root = np.arange(len(block))
-    while len(i):  # the smallest position that each one reaches
+    return i, j
+
+
+def _least_reached(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest position that each of ``size`` positions reaches by the links (i, j)."""
+    root = np.arange(size)
+    while len(i):
         low = root.copy()
         np.minimum.at(low, i, root[j])
         np.minimum.at(low, j, root[i])
@@ -121,16 +135,71 @@ def compare(block: pd.DataFrame) -> pd.DataFrame:
         if (low == root).all():
             break
         root = low
-    some = np.flatnonzero(links)
-    return pd.DataFrame({"class": names[some], "links": links[some], "root": names[root[some]]})
+    return root
+
+
+def _compared(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """class, links, root of the linked rows of each pair of blocks in ``rows``, which are sorted by pair."""
+    number = {c: rows[c].to_numpy() for c in (*PAIR, "side", "class", "n")}
+    embedding, buckets = rows["embedding"].combine_chunks(), rows["buckets"].combine_chunks()
+    for start, end in zip(*_ranges(number), strict=True):
+        at = np.arange(start, end)
+        table, alone = int(number["table"][start]), number["low"][start] == number["high"][start]
+        x = _matrix(embedding, at).astype(np.float64)
+        earlier = _matrix(buckets, at)[:, :table]
+        i, j = _links(x, earlier, number["side"][at], bool(alone))
+        if len(i):
+            n = number["n"][at]
+            links = np.zeros(len(at), dtype=np.int64)
+            np.add.at(links, i, n[j])
+            np.add.at(links, j, n[i])
+            some = np.flatnonzero(links)
+            names = number["class"][at]
+            yield names[some], links[some], names[_least_reached(len(at), i, j)[some]]
+
+
+def _ranges(number: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of rows with equal PAIR columns."""
+    size = len(number["pair"])
+    new = np.ones(size, dtype=bool)
+    new[1:] = np.any([number[c][1:] != number[c][:-1] for c in PAIR], axis=0)
+    starts = np.flatnonzero(new)
+    return starts, np.append(starts[1:], size)
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within pairs of blocks: class, links (rows linked with it) and root (a class it reaches here).
+
+    Rows come sorted by PAIR; the last pair of a batch may go on in the next and waits for it.
+    """
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if rest is not None:
+            rows = pa.concat_tables([rest, rows])
+        if not len(rows):
+            continue
+        last = int(_ranges({c: rows[c].to_numpy() for c in PAIR})[0][-1])
+        yield from _told(rows.slice(0, last))
+        rest = rows.slice(last)
+    if rest is not None:
+        yield from _told(rest)
+
+
+def _told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    found = list(_compared(rows)) if len(rows) else []
+    if found:
+        columns = [pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays(columns, names=["class", "links", "root"])
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label)."""
+    element = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "double"
     rows = vectors.select(
         F.col("vec_id").cast("long"),
-        F.col("label").cast("long"),
-        F.col("embedding").cast("array<float>"),
+        F.col("label").cast("string"),
+        F.col("embedding").cast(f"array<{element}>"),
     ).withColumn("embedding", F.expr(f"if({_usable()}, embedding, null)"))
     # equal vectors: compared by their components, named by a hash of label, vector and smallest id
     distinct = (
@@ -141,7 +210,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         .withColumn("class", F.xxhash64("label", "embedding"))
         .select("id", "class", "label", "dim", "n", "embedding")
     )
-    classes = stored(_classes(distinct), "vectors")
+    classes = stored(_classes(distinct, element), "vectors")
     members = classes.select(
         "class", "label", "dim", F.posexplode("buckets").alias("table", "bucket")
     )
@@ -158,10 +227,11 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         "least(own, other) as low", "greatest(own, other) as high",
         "if(own = other, 0, if(own < other, 0, 1)) as side",
     )
-    filled = met.join(classes.select("class", "n", "embedding", "buckets"), "class")
-    found = stored(
-        filled.groupBy(*where, "low", "high").applyInPandas(compare, "class long, links long, root long"), "links"
+    filled = met.join(classes.select("class", "n", "embedding", "buckets"), "class").withColumn(
+        "pair", F.xxhash64(*where, "low", "high")
     )
+    sorted_ = filled.select(*PAIR, "side", "class", "n", "embedding", "buckets").repartition(*PAIR).sortWithinPartitions(*PAIR)
+    found = stored(sorted_.mapInArrow(compare, "class long, links long, root long"), "links")
     edges = found.where("class <> root").selectExpr("class as a", "root as b")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     label = components(edges).withColumnRenamed("id", "class")

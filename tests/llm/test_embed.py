@@ -76,3 +76,37 @@ def test_odd_rows(spark):
     want += [(8, 4, 8), (8, 4, 8), (9, 4, 8), (12, 4, 8), (None, 4, 8), (None, 0, None)]
     assert got == sorted(want, key=str)
     assert embed.near_vectors(vectors(spark, [])).collect() == []
+
+
+def linked(spark, rows, schema):
+    got = embed.near_vectors(spark.createDataFrame(rows, schema)).collect()
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got}
+
+
+def test_doubles_stay_doubles(spark):
+    def pair(cosine):
+        return [1.0, 0.0], [cosine, float(np.sqrt(1 - cosine * cosine))]
+
+    (a, below), (_, above) = pair(0.98 - 1e-11), pair(0.98 + 1e-11)
+    rows = [(1, a, 1), (2, below, 1), (11, a, 2), (12, above, 2), (21, [1e300, 1e300], 3), (22, [1e300, 1e300], 3),
+            (23, [1e-60, 1e-60], 3), (24, [5e-324, 5e-324], 3), (25, [-1e300, 1e300], 3)]
+    got = linked(spark, rows, "vec_id long, embedding array<double>, label int")
+    assert got[1] == (0, 1) and got[2] == (0, 2)
+    assert got[11] == (1, 11) and got[12] == (1, 11)
+    assert [got[i] for i in (21, 22, 23, 24)] == [(3, 21)] * 4 and got[25] == (0, 25)
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (3, [1.0, 0.0], "y"), (4, [1.0, 0.0], None)]
+    assert linked(spark, rows, "vec_id long, embedding array<float>, label string") == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_pairs_of_blocks_across_batches(spark, monkeypatch):
+    rows = clustered(3, 6, 40, 60)
+    want = sum(r["n_links"] for r in embed.near_vectors(vectors(spark, rows)).collect())
+    monkeypatch.setattr(embed, "BLOCK", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sum(r["n_links"] for r in embed.near_vectors(vectors(spark, rows)).collect()) == want > 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
