@@ -18,7 +18,7 @@ from siteratio.llm.words import mix
 #: Code points of texts cut at once.
 CHUNK = 1 << 18
 #: Distinct parts kept by a Python worker; beyond it the cache starts anew.
-CACHED = 100_000
+CACHED = 600_000
 
 _LIMIT = 0x250
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0)
@@ -82,7 +82,9 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        #: sorted keys of the parts and their places
+        self.keys = np.zeros(0, np.uint64)
+        self.order = np.zeros(0, np.int64)
         #: parts and ids in the tables below, which have room to spare
         self.parts = self.ids = 0
         self.starts = np.zeros(2 * CACHED, np.int64)
@@ -144,12 +146,15 @@ class WordTokenizer:
         return np.split(ids, total[np.searchsorted(marks, bounds[1:-1])])
 
     def _places(self, keys: np.ndarray, low: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Where the cache has the ids of each distinct part."""
-        if len(self.index) > CACHED:
+        """Where the cache has the ids of each distinct part; ``keys`` are sorted."""
+        if len(self.keys) > CACHED:
             self.clear()
-        get = self.index.get
-        place = np.array([get(k, -1) for k in keys.tolist()], dtype=np.int64)
-        new = np.flatnonzero(place < 0)
+        near = np.searchsorted(self.keys, keys)
+        known = near < len(self.keys)
+        known[known] = self.keys[near[known]] == keys[known]
+        place = np.empty(len(keys), dtype=np.int64)
+        place[known] = self.order[near[known]]
+        new = np.flatnonzero(~known)
         if len(new):
             parts = [low[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
             # parts beside each other, a blank between them: the last id of each ends a word
@@ -164,7 +169,8 @@ class WordTokenizer:
             self.flat = _put(self.flat, self.ids, ids)
             self.parts += len(new)
             self.ids += len(ids)
-            self.index.update(zip(keys[new].tolist(), place[new].tolist(), strict=True))
+            self.keys = np.insert(self.keys, near[new], keys[new])
+            self.order = np.insert(self.order, near[new], place[new])
         return place
 
 
