@@ -76,3 +76,17 @@ def test_odd_rows(spark):
     got = pii.find_spans(documents(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r["spans"] == [] for r in got)
     assert pii.find_spans(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_query_counts_and_digest(spark, tmp_path):
+    from siteratio.llm import queries
+
+    texts = ["a@b.de 10.0.0.1 a@b.de, +1 (607) 555-1595", "4539 1488 0343 6467 or 256.1.1.1", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op7(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        spans = base(text or "")
+        assert [got[i][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in spans) for k in pii.BASE_KINDS]
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert got[i]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+    assert (got[0]["n_email"], got[0]["n_ip"], got[0]["n_phone"], got[1]["n_card"]) == (2, 1, 1, 1)
