@@ -2,8 +2,8 @@
 
 A rule is a regular expression over words with a keyword, a tier (0 before 2), a confidence and a
 label. Texts without any keyword are passed over by one search; in the others every word gets its
-number attached, only the rules whose keyword occurs are tried, and their matches carry their word
-positions with them. Detections are then resolved in one pass by start: one that lies inside another
+number attached, only the rules all of whose fixed words occur are tried, and their matches carry their
+word positions with them. Detections are then resolved in one pass by start: one that lies inside another
 of the same or a better tier (of equal stretches, inside the earlier rule's) is suppressed, partial
 overlaps stay. All of it is DataFrame expressions on one row at a time.
 
@@ -18,6 +18,7 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -130,9 +131,11 @@ KEYWORDS = tuple(
 
 _GRANT = "(?:licensed|released|distributed|published|available|provided|covered|used)"
 
-# Bytes that separate words; A-Z belong to words before lower-casing.
-_GAP = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_WORD = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+# Bytes that separate words; A-Z belong to words before lower-casing. Written out one by one, as
+# regular expressions look single signs up in a table and try ranges one after the other.
+_BETWEEN = "".join(rf"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+_GAP = f"[{_BETWEEN}]+"
+_WORD = f"[^{_BETWEEN}]+"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -144,6 +147,7 @@ class Rule(NamedTuple):
     keyword: str
     pattern: str
     base: bool
+    words: tuple[str, ...]
 
 
 def word_pattern(pattern: str) -> str:
@@ -162,10 +166,18 @@ def word_pattern(pattern: str) -> str:
     return joined.replace("\x02[0-9]+(?:\x02[0-9]+\x01)?", "(?:\x02[0-9]+\x01)?") + "(?=\x01)"
 
 
+def fixed_words(pattern: str) -> list[str]:
+    """The whole words that every match of a pattern of words has."""
+    words = pattern.split(" ")
+    joined = [word.startswith("?") for word in (*words[1:], "")]  # those may be one word with the next
+    return [w for w, j in zip(words, joined, strict=True) if re.fullmatch("[0-9a-z]+", w) and not j]
+
+
 def rules() -> list[Rule]:
     """All rules in order: base phrases, notices, then seven forms for every license.
 
-    A rule's keyword is a whole word of each of its matches, so trying it only there loses none.
+    A rule's keyword and fixed words are whole words of each of its matches, so trying it only where all
+    of them occur loses none.
     """
     rows: list[tuple] = [(p, label, 2, 0.8, "cc" if p.startswith("cc") else "license", True) for p, label in BASE]
     rows += [(*notice, False) for notice in NOTICES]
@@ -180,27 +192,41 @@ def rules() -> list[Rule]:
             (f"{ident} licen[cs]e", label, 2, 0.75, own, False),
             (f"licen[cs]e {ident}", label, 2, 0.7, own, False),
         ]
-    return [Rule(k, *row[1:5], word_pattern(row[0]), row[5]) for k, row in enumerate(rows)]
+    return [
+        Rule(k, *row[1:5], word_pattern(row[0]), row[5], tuple(dict.fromkeys([row[4], *fixed_words(row[0])])))
+        for k, row in enumerate(rows)
+    ]
+
+
+def _gate() -> str:
+    """The search for any keyword, by first letters."""
+    tails: dict[str, list[str]] = {}
+    for word in KEYWORDS:
+        tails.setdefault(word[0], []).append(word[1:])
+    return "(?i)(?<![0-9a-z])(?:" + "|".join(f"{c}(?:{'|'.join(t)})" for c, t in tails.items()) + ")(?![0-9a-z])"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections."""
-    gate = "(?i)(?<![0-9a-z])(?:" + "|".join(KEYWORDS) + ")(?![0-9a-z])"
     kind = (
-        "array<struct<rank:int,label:string,tier:int,confidence:double,keyword:string,pattern:string,base:boolean>>"
+        "array<struct<rank:int,label:string,tier:int,confidence:double,pattern:string,base:boolean,words:array<string>>>"
     )
-    text = json.dumps([r._replace(keyword=f"\x01{r.keyword}\x02")._asdict() for r in rules()])
-    table = F.from_json(F.lit(text), kind)
+    table = F.from_json(F.lit(json.dumps([r._asdict() for r in rules()])), kind)
+    all_fixed = F.array(*[F.lit(w) for w in dict.fromkeys(w for r in rules() for w in r.words)])
     lower = f"translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}')"
-    numbered = (
-        f"concat(array_join(transform(filter(split({lower}, '{_GAP}'), w -> w <> ''), "
-        "(w, i) -> concat(char(1), w, char(2), i)), ''), char(1))"
-    )
+    words = f"filter(split({lower}, '{_GAP}'), w -> w <> '')"
+    numbered = "concat(array_join(transform(words, (w, i) -> concat(char(1), w, char(2), i)), ''), char(1))"
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = plain.select(
+    split = plain.select(
         "doc_id",
         F.expr(f"cast(regexp_count(text, '{_WORD}') as long)").alias("n_words"),
-        F.when(F.col("text").rlike(gate), F.expr(numbered)).alias("marked"),
+        F.when(F.col("text").rlike(_gate()), F.expr(words)).alias("words"),
+    )
+    marked = split.select(
+        "doc_id",
+        "n_words",
+        F.expr(numbered).alias("marked"),
+        F.array_intersect("words", all_fixed).alias("occur"),
     )
     found = marked.select(
         "doc_id",
@@ -209,7 +235,7 @@ def scan(docs: DataFrame) -> DataFrame:
             F.col("marked").isNotNull(),
             F.flatten(
                 F.transform(
-                    F.filter(table, lambda r: F.contains(F.col("marked"), r["keyword"])),
+                    F.filter(table, lambda r: F.forall(r["words"], lambda w: F.array_contains(F.col("occur"), w))),
                     lambda r: F.transform(
                         F.regexp_extract_all(F.col("marked"), r["pattern"], F.lit(0)),
                         lambda m: F.struct(

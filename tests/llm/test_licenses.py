@@ -135,3 +135,16 @@ def test_keywords_lose_no_match(spark, monkeypatch):
     assert len(seen) > 0.98 * len(rules)
     for i in range(len(GRANTED) - 1):
         assert got[i]["labels"] and got[i]["score"] > 0, GRANTED[i]
+
+
+def test_rules_tried_only_where_all_their_fixed_words_occur(spark):
+    rules = licenses.rules()
+    assert licenses.fixed_words("gnu license *3 version? (?:2|v2) 0?") == ["gnu", "license"]
+    assert licenses.fixed_words("attribution share ?alike *4 license") == ["attribution", "license"]
+    by_keyword = [r for r in rules if r.keyword == "license"]
+    tried = [r for r in by_keyword if set(r.words) <= set("a license to the work under this agreement".split())]
+    assert len(by_keyword) > 100 and len(tried) < 10
+    text = "".join(f"a{chr(c)}" for c in range(128)) + " commons\x7fAttribution\x00ShareAlike"
+    got = licenses.scan(documents(spark, [(1, text), (2, "creative commons attribution share-alike license")])).collect()
+    assert {r["doc_id"]: r["n_words"] for r in got} == {1: len(WORD.findall(lower(text))), 2: 6}
+    assert {r["doc_id"]: {d["label"] for d in r["detections"] or []} for r in got} == {1: set(), 2: {"creative-commons", "cc-by-sa"}}
