@@ -1,19 +1,22 @@
 """Katz backoff language model over words.
 
-The model has two orders. Pairs of words seen at least ``CUTOFF`` times in the training texts have
-Good-Turing discounted probabilities d(c) c(hw) / c(h); what they leave of a history's mass goes to all
+The model has two orders. All pairs of words seen in the training texts, also those seen once, have
+discounted probabilities d(c) c(hw) / c(h), with Katz's Good-Turing discounts for the counts from 1 to 5:
+what these take from all pairs is n_1, the estimate for the pairs never seen. Larger counts, and those for which the
+formula is no discount, are discounted by 1 / 2. What the pairs leave of a history's mass goes to all
 other words in proportion to their single-word probability (c(w) + 1) / (N + V + 1), which keeps one
 share for words never seen. The weight of that, alpha(h), is exactly what makes the probabilities after h
-sum to one. The cutoff is 2 at every size, so equal evidence counts alike in small and large corpora.
+sum to one. No pair is left out, at any size.
 
-Tables are keyed by 64-bit hashes of words. A text's probability is a sum over its tokens,
+Tables are keyed by codes of words: small numbers for the most frequent ones (at most NUMBERED, whatever the
+corpus), so that rows of pairs take few bytes in shuffles, and 64-bit hashes for the others. A text's probability is a sum over its tokens,
 
     log P_1(w) + log alpha(w)      for each word, as what is predicted and as the next history,
     + gain(h, w)                   for each pair in the table: the log of its probability over alpha(h) P_1(w),
 
 so scoring is two lookups per token. Frequent words (at most FREQUENT_WORDS, whatever the corpus) and
-frequent pairs (at most FREQUENT) are broadcast; rare words and pairs are joined by shuffles. Counting adds up inside tasks first, and pairs with a word rarer than the cutoff never
-leave their task while the other words can be broadcast.
+frequent pairs (at most FREQUENT) are broadcast; rare words and pairs are joined by shuffles. Counting adds up
+inside tasks first.
 
 Defined cases: a null or empty text is the end token alone; repeated rows have equal scores; without
 training texts every token has probability 1 / (V + 1) with V = 0; rows with a null doc_id train; an
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +40,17 @@ from siteratio.llm.words import word_hashes
 #: Most rows of a broadcast table of pairs, and of words.
 FREQUENT = 1_000_000
 FREQUENT_WORDS = 200_000
-#: Least count of a pair in the table, whatever the corpus.
-CUTOFF = 2
+#: Most words that get a small number for a code.
+NUMBERED = 500_000
+#: Least count of a pair in the table, whatever the corpus: all pairs are in it.
+CUTOFF = 1
 #: Counts from the cutoff on that get Good-Turing discounts.
 DISCOUNTED = 5
-#: Names of the end token and of the history at a text's start; they can't be hashes of words but by chance.
+#: Codes of the end token and of the history at a text's start, and the least number of a word; they can't be hashes
+#: of words but by chance.
 END = 1
 START = 2
+FIRST = 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,14 +96,45 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return training.mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def token_rows(docs: DataFrame) -> DataFrame:
-    """row, doc_id (at the end token), held, h, w: one row per token."""
+class Numbers:
+    """Codes of words: numbers for the words given, from FIRST on in their order, hashes for the others."""
+
+    def __init__(self, words: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.codes = words[order], order.astype(np.int64) + FIRST
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return words
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.codes[at], words)
+
+
+def numbered(counts: DataFrame, most: int) -> tuple[Broadcast, DataFrame]:
+    """Numbers of the words that occur most (no more than ``most``), and ``counts`` by codes."""
+    often = counts.where((F.col("c") >= Model.frequent(counts, most)) & (F.col("word") != END)).toArrow().sort_by(
+        [("c", "descending"), ("word", "ascending")]
+    )
+    numbers = counts.sparkSession.sparkContext.broadcast(Numbers(often["word"].to_numpy()))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = numbers.value(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(codes), batch.column(1)], names=["word", "c"])
+
+    return numbers, counts.select("word", "c").mapInArrow(code, "word long, c long")
+
+
+def token_rows(docs: DataFrame, numbers: Broadcast) -> DataFrame:
+    """row, doc_id (at the end token), held, h, w: one row per token, words by their codes."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 history, word, text = _tokens(part)
+                word = numbers.value(word)
+                history = np.where(history == START, START, np.roll(word, 1))
                 ends = pa.array(word == END)
                 doc = part.column("doc_id").take(pa.array(text))
                 yield pa.RecordBatch.from_arrays(
@@ -108,24 +147,24 @@ def token_rows(docs: DataFrame) -> DataFrame:
 
 
 def discounts(of_count: dict[int, int], least: int) -> dict[int, float]:
-    """Good-Turing factors of the counts from ``least``; where they are no discount, 1 - 1 / (2 c)."""
+    """Katz's discount factors of the counts from ``least``; where they are no discount, 1 - 1 / (2 c).
+
+    ``of_count`` has how many pairs were seen how often. The factors are (c* / c - m) / (1 - m), with Turing's
+    c* = (c + 1) n_(c + 1) / n_c and the share m of the pairs seen least that the larger counts would have to give.
+    """
+    top = least + DISCOUNTED
+    rest = top * of_count.get(top, 0) / (least * of_count[least]) if of_count.get(least) else 1.0
     out = {}
-    for c in range(least, least + DISCOUNTED):
+    for c in range(least, top):
         turing = (c + 1) * of_count.get(c + 1, 0) / (c * of_count[c]) if of_count.get(c) else 0.0
-        out[c] = turing if 0.0 < turing < 1.0 else 1 - 0.5 / c
+        katz = (turing - rest) / (1 - rest) if rest < 1 else 0.0
+        out[c] = katz if 0.0 < katz < 1.0 else 1 - 0.5 / c
     return out
 
 
-def pair_counts(docs: DataFrame, words: DataFrame, least: int, starts: int, most: int = FREQUENT) -> DataFrame:
-    """h, w, c of the pairs that occur at least ``least`` times in the training texts."""
-    spark = docs.sparkSession
-    rows = token_rows(docs).where(~F.col("held")).select("h", "w")
-    often = words.where(F.col("c") >= least).select("word")
-    if often.limit(most + 1).count() <= most:  # both words must occur as often as the pair
-        rows = rows.join(F.broadcast(often.withColumnRenamed("word", "w")), "w", "left_semi")
-        begins = spark.range(1).select(F.lit(START).cast("long").alias("h")).where(F.lit(starts >= least))
-        rows = rows.join(F.broadcast(often.select(F.col("word").alias("h")).unionByName(begins)), "h", "left_semi")
-    return rows.groupBy("h", "w").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+def pair_counts(docs: DataFrame, numbers: Broadcast) -> DataFrame:
+    """h, w, c of all pairs in the training texts."""
+    return token_rows(docs, numbers).where(~F.col("held")).groupBy("h", "w").agg(F.count("*").alias("c"))
 
 
 class Model:
@@ -133,14 +172,16 @@ class Model:
 
     def __init__(self, docs: DataFrame, most: int = FREQUENT):
         spark = docs.sparkSession
-        counts = stored(word_counts(docs), "words")
+        hashed = stored(word_counts(docs), "words")
+        self.numbers, counts = numbered(hashed, min(most, NUMBERED))
+        counts = stored(counts, "codes")
         n, v, starts = counts.agg(
             F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))
         ).first()
         self.tokens, self.distinct = int(n), int(v)
         self.total = self.tokens + self.distinct + 1
         self.least = CUTOFF
-        pairs = stored(pair_counts(docs, counts, self.least, int(starts), most), "pairs")
+        pairs = stored(pair_counts(docs, self.numbers), "pairs")
         top = self.least + DISCOUNTED
         of_count = {r["c"]: r["count"] for r in pairs.where(F.col("c") <= top).groupBy("c").count().collect()}
         factor = F.lit(1.0) - 0.5 / F.col("c")
@@ -196,11 +237,11 @@ class Model:
         ]
         often_pairs = self.frequent(self.pairs, self.most)
         head_pairs = F.broadcast(self.pairs.where(F.col("c") >= often_pairs).drop("c"))
-        rows = token_rows(docs).join(head_pairs, ["h", "w"], "left").join(head, "w", "left")
+        rows = token_rows(docs, self.numbers).join(head_pairs, ["h", "w"], "left").join(head, "w", "left")
         main = rows.groupBy("row").agg(*sums, F.sum(F.coalesce("gain", F.lit(0.0))).alias("gain"))
         # rare words: what the first pass took for unseen is made good
         rare = (
-            token_rows(docs)
+            token_rows(docs, self.numbers)
             .select("row", "w")
             .join(head, "w", "left_anti")
             .groupBy("row", "w")
@@ -215,7 +256,7 @@ class Model:
         )
         if often_pairs > self.least:  # rare pairs likewise: the tokens no broadcast pair has
             rare_pairs = (
-                token_rows(docs)
+                token_rows(docs, self.numbers)
                 .select("row", "h", "w")
                 .join(head_pairs, ["h", "w"], "left_anti")
                 .join(self.pairs.where(F.col("c") < often_pairs).drop("c"), ["h", "w"])

@@ -88,3 +88,24 @@ def test_frequent_pairs_broadcast_and_rare_ones_shuffled(spark):
     sizes = [model.pairs.where(c).count() for c in (f"c >= {least}", f"c < {least}")]
     assert least > model.least and 0 < sizes[0] <= 60 and sizes[1] > 0
     check(ROWS, docs, most=60)
+
+
+def test_pairs_seen_once_are_counted_and_discounted(spark):
+    model = katz.Model(documents(spark, ROWS))
+    training = [[*words(t), "</s>"] for i, t in ROWS if not held(i)]
+    of_pair = Counter(p for t in training for p in zip(["<s>", *t[:-1]], t, strict=True))
+    got = {r["c"]: r["count"] for r in model.pairs.groupBy("c").count().collect()}
+    assert got == Counter(of_pair.values()) and got[1] > 0
+    once = next((h, w) for (h, w), c in of_pair.items() if c == 1 and h != "<s>" and w != "</s>")
+    name = next(i for i in range(1000, 1100) if held(i))
+    other = [(name, " ".join(once))]
+    check([*ROWS, *other], documents(spark, [*ROWS, *other]))
+
+
+def test_discounts_free_the_mass_of_pairs_seen_once():
+    of_count = {1: 1000, 2: 300, 3: 140, 4: 80, 5: 50, 6: 35}
+    factor = katz.discounts(of_count, 1)
+    assert all(0 < factor[c] < 1 for c in range(1, 6))
+    assert sum(of_count[c] * c * (1 - factor[c]) for c in range(1, 6)) == pytest.approx(of_count[1])
+    assert factor[1] == pytest.approx((0.6 - 0.21) / (1 - 0.21))
+    assert katz.discounts({}, 1) == {c: 1 - 0.5 / c for c in range(1, 6)}
