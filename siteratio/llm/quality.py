@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +121,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
                     pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())
                 )
                 yield pa.RecordBatch.from_arrays([part.column(0), values], names=["doc_id", "x"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, x array<double>")
 
@@ -209,16 +209,16 @@ def trained(statistics_: DataFrame, labels: DataFrame) -> Discriminant:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``, as they are."""
-    model = trained(with_statistics(docs), labels)
+    # stored, so that no stage has two steps in Python: each would take a worker more for every core
+    model = trained(stored(with_statistics(docs), "statistics"), labels)
 
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            parts = [batch.iloc[at : at + 1000] for at in range(0, len(batch), 1000)]
-            yield pd.Series(
-                np.concatenate([model.scores(statistics(pa.array(p, pa.large_string()))) for p in parts] or [[]])
-            )
+            parts = [batch.slice(at, 1000) for at in range(0, len(batch), 1000)]
+            yield pa.array(np.concatenate([model.scores(statistics(p)) for p in parts] or [np.zeros(0)]))
+        pa.default_memory_pool().release_unused()
 
-    return docs.where(F.pandas_udf(score, T.DoubleType())(F.col("text")) >= threshold)
+    return docs.where(F.arrow_udf(score, T.DoubleType())(F.col("text")) >= threshold)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

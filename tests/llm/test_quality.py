@@ -58,3 +58,16 @@ def test_odd_rows_and_labels(spark):
     assert set(quality.quality_scores(docs, spark.createDataFrame([], LABELS)).toPandas()["score"]) == {0.5}
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.quality_scores(empty, spark.createDataFrame([], LABELS)).collect() == []
+
+
+def test_no_stage_of_the_filter_has_two_python_steps(spark, monkeypatch):
+    rows, labels = mixed(40)
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(quality, "fit", lambda rows, real=quality.fit: plans.append(plan(rows)) or real(rows))
+    kept = quality.keep_good(documents(spark, rows), spark.createDataFrame(labels, LABELS))
+    python = ("MapInArrow", "EvalPython", "MapInPandas")
+    assert [sum(p.count(name) for name in python) for p in plans] == [0]  # fit adds up in Python itself
+    assert sum(plan(kept).count(name) for name in python) == 1
+    got = {r["doc_id"] for r in kept.collect()}
+    assert got == {i for i, q, _ in labels if q}
