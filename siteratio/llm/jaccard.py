@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteratio.llm.components import components
-from siteratio.llm.store import stored
+from siteratio.llm.store import stored, temporary
 from siteratio.llm.words import mix, shingle_sets
 
 #: Sets that share a signature from which on it counts as common.
@@ -485,7 +485,15 @@ def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n and the component (null without shingles) of every row of ``docs``."""
+    """doc_id, row_key, n and the component (null without shingles) of every row of ``docs``.
+
+    Only this table stays, the many others on the way to it are deleted.
+    """
+    with temporary(docs.sparkSession):
+        return stored(_labelled(docs), "classes", keep=True)
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
     profiles = stored(_profiles(docs), "profiles")
     sets = stored(_shingles(docs, stored(_candidates(docs, profiles), "candidates")), "sets")
     alone = _alone(sets.select(F.explode("shingles").alias("shingle"), "key", F.lit(True).alias("counts")))
@@ -493,11 +501,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     partnered = _few(stored(partnered.select("key"), "partnered"))
     found = components(link_sets(sets.join(partnered, "key", "left_semi")))
     rows = profiles.select("doc_id", ROW_KEY, "n", F.expr("if(n > 0, key, null)").alias("key"))
-    return stored(
-        rows.join(found.withColumnRenamed("id", "key"), "key", "left").select(
-            "doc_id", ROW_KEY, "n", F.coalesce("component", "key").alias("component")
-        ),
-        "classes",
+    return rows.join(found.withColumnRenamed("id", "key"), "key", "left").select(
+        "doc_id", ROW_KEY, "n", F.coalesce("component", "key").alias("component")
     )
 
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteratio.llm.store import stored
+from siteratio.llm.store import stored, temporary
 from siteratio.llm.words import mix as scatter
 
 #: Words of a block; blocks of a shard.
@@ -243,8 +243,9 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), seed: int = SEED) -> tuple
     A taken piece is a stretch of one document in one slot: shard, source_no, epoch, block, doc_id,
     begin, at, length. (source_no, begin) names the row of the placed documents it is from.
     """
-    placed, plan = streams(docs, carry)
-    placed = stored(placed, "placed")
+    with temporary(docs.sparkSession):  # the sizes hold the carried texts once more
+        placed, plan = streams(docs, carry)
+        placed = stored(placed, "placed", keep=True)
     slots = deal_slots(docs.sparkSession, plan, seed)
     # slots come from a small table of draws but are as many as the blocks: never broadcast them
     return placed, block_pieces(placed).hint("merge").join(slots, ["source_no", "block"]), plan

@@ -8,7 +8,8 @@ rank within their length and take the slot with that rank by an equi-join.
 
 Ranks come from small groups (a hash of the document within a length, as many groups as the
 histogram asks for), so a length that a third of all pieces share is ranked by many tasks; slots are
-written out from the runs in chunks of bounded size.
+written out from the runs in chunks of bounded size. The ids themselves stay out of this: places are
+found for the pieces' numbers, and only the join of places and pieces shuffles ids, once.
 
 Defined cases: a null or empty text is the one id 0; repeated rows are packed as often as they occur;
 documents with a null doc_id are packed too; an empty table gives no rows; further columns are
@@ -36,22 +37,28 @@ RANKED = 2_000
 CHUNK = 10_000
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary"
+#: Number of a row among all pieces: the task that cut it, and its place there.
+NUMBER = "task int, nth long"
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """Tokens of every text, the id 0 behind them, cut into pieces of at most ``capacity``.
+    """Tokens of every text, the id 0 behind them, cut into pieces of at most ``capacity``: PIECES and NUMBER.
 
-    ``ids`` are unsigned little-endian 32-bit integers; without ``with_ids`` it is null.
+    ``ids`` are unsigned little-endian 32-bit integers; without ``with_ids`` it is null. The numbers are
+    distinct within one computation of the table, so it has to be stored before they are used.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
+        from pyspark import TaskContext
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from siteratio.llm.tokens import word_tokenizer
 
         tokenizer = word_tokenizer(vocabulary)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        task, cut_before = TaskContext.get().partitionId(), 0
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
             at = 0
@@ -69,13 +76,15 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_
                         raw = ids[start : start + capacity].tobytes()
                         rows.append((name, k, start, len(raw) // 4, zlib.crc32(raw), raw if with_ids else None))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
-                )
+                    [*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)),
+                     pa.array(np.full(len(rows), task, dtype=np.int32)), pa.array(cut_before + np.arange(len(rows)))],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "nth"],
+                )
+                cut_before += len(rows)
                 at = end
         pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"{PIECES}, {NUMBER}")
 
 
 def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -174,4 +183,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: b
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = plan_runs(histogram, capacity)
     # the slots come from a small plan but are as many as the pieces: never broadcast them
-    return ranked(pieces, histogram).hint("merge").join(slots(spark, runs), ["length", "rank"]).drop("rank")
+    light = ranked(pieces.drop("ids"), histogram).hint("merge").join(slots(spark, runs), ["length", "rank"]).drop("rank")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    if not with_ids:
+        return light.withColumn("ids", F.lit(None).cast("binary")).select(columns)
+    places = light.select("task", "nth", "sequence_id", "offset")
+    return pieces.hint("merge").join(places, ["task", "nth"]).select(columns)
