@@ -14,8 +14,11 @@ corpus), so that rows of pairs take few bytes in shuffles, and 64-bit hashes for
     log P_1(w) + log alpha(w)      for each word, as what is predicted and as the next history,
     + gain(h, w)                   for each pair in the table: the log of its probability over alpha(h) P_1(w),
 
-so scoring is two lookups per token. Frequent words (at most FREQUENT_WORDS, whatever the corpus) and
-frequent pairs (at most FREQUENT) are broadcast; rare words and pairs are joined by shuffles. Counting adds up
+so scoring is two lookups per token. The gain of a pair follows from its count and from the rows of its two words, so only
+counts of pairs are stored. Numbered words and the frequent pairs of them (at most FREQUENT, whatever the corpus) are looked
+up in broadcast arrays; gains of pairs with a rare word are found by shuffle joins. All tokens without a frequent pair then
+meet the other pairs in a shuffle join, and rare words their rows in the same join, as pairs behind no word. That join is done in
+SLICES parts, one after the other and each over its own pairs, so that its files are never on disk all at once. Counting adds up
 inside tasks first.
 
 Defined cases: a null or empty text is the end token alone; repeated rows have equal scores; without
@@ -29,25 +32,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteratio.llm.store import stored
-from siteratio.llm.words import word_hashes
+from siteratio.llm.store import stored, temporary
+from siteratio.llm.words import mix, word_hashes
 
-#: Most rows of a broadcast table of pairs, and of words.
+#: Most pairs that are broadcast.
 FREQUENT = 1_000_000
-FREQUENT_WORDS = 200_000
-#: Most words that get a small number for a code.
+#: Most words that get a small number for a code; their rows are broadcast.
 NUMBERED = 500_000
+#: Parts in which tokens meet the pairs that are not broadcast; pairs of a part that a task holds in a hash table.
+SLICES = 2
+HASHED = 500_000
 #: Least count of a pair in the table, whatever the corpus: all pairs are in it.
 CUTOFF = 1
 #: Counts from the cutoff on that get Good-Turing discounts.
 DISCOUNTED = 5
 #: Codes of the end token and of the history at a text's start, and the least number of a word; they can't be hashes
-#: of words but by chance.
+#: of words but by chance. NONE stands before a rare word that is looked up alone.
+NONE = 0
 END = 1
 START = 2
 FIRST = 3
@@ -96,22 +101,40 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return training.mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class Places:
+    """Places of values in a sorted array of distinct 64-bit hashes, found from their leading bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = len(hashes).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(hashes >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        self.hashes = np.append(hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def __call__(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a value is in the array, its place if so)."""
+        at = self.first[(values >> self.shift).astype(np.int64)]
+        behind = np.flatnonzero(self.hashes[at] < values)
+        while len(behind):  # few share their leading bits
+            at[behind] += 1
+            behind = behind[self.hashes[at[behind]] < values[behind]]
+        return (self.hashes[at] == values) & (at < len(self.hashes) - 1), at
+
+
 class Numbers:
     """Codes of words: numbers for the words given, from FIRST on in their order, hashes for the others."""
 
     def __init__(self, words: np.ndarray):
+        words = words.view(np.uint64)
         order = np.argsort(words)
-        self.words, self.codes = words[order], order.astype(np.int64) + FIRST
+        self.places, self.codes = Places(words[order]), np.append(order.astype(np.int64) + FIRST, 0)
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return words
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.codes[at], words)
+        found, at = self.places(words.view(np.uint64))
+        return np.where(found, self.codes[at], words)
 
 
-def numbered(counts: DataFrame, most: int) -> tuple[Broadcast, DataFrame]:
-    """Numbers of the words that occur most (no more than ``most``), and ``counts`` by codes."""
+def numbered(counts: DataFrame, most: int) -> tuple[Broadcast, int, DataFrame]:
+    """Numbers of the words that occur most (no more than ``most``), the first number not used, and ``counts`` by codes."""
     often = counts.where((F.col("c") >= Model.frequent(counts, most)) & (F.col("word") != END)).toArrow().sort_by(
         [("c", "descending"), ("word", "ascending")]
     )
@@ -122,28 +145,38 @@ def numbered(counts: DataFrame, most: int) -> tuple[Broadcast, DataFrame]:
             codes = numbers.value(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(codes), batch.column(1)], names=["word", "c"])
 
-    return numbers, counts.select("word", "c").mapInArrow(code, "word long, c long")
+    return numbers, FIRST + len(often), counts.select("word", "c").mapInArrow(code, "word long, c long")
 
 
-def token_rows(docs: DataFrame, numbers: Broadcast) -> DataFrame:
-    """row, doc_id (at the end token), held, h, w: one row per token, words by their codes."""
+def _codes(part: pa.RecordBatch, numbers: Broadcast) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(history, word, position in the batch of the text) of every token of a batch of texts, words by their codes."""
+    history, word, text = _tokens(part)
+    word = numbers.value(word)
+    return np.where(history == START, START, np.roll(word, 1)), word, text
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                history, word, text = _tokens(part)
-                word = numbers.value(word)
-                history = np.where(history == START, START, np.roll(word, 1))
-                ends = pa.array(word == END)
-                doc = part.column("doc_id").take(pa.array(text))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row").take(pa.array(text)), pa.compute.if_else(ends, doc, pa.scalar(None, doc.type)),
-                     part.column("held").take(pa.array(text)), pa.array(history), pa.array(word)],
-                    names=["row", "doc_id", "held", "h", "w"],
-                )
 
-    return _source(docs).mapInArrow(spread, "row long, doc_id long, held boolean, h long, w long")
+def _within(codes: np.ndarray, top: int) -> np.ndarray:
+    """Which codes are numbers below ``top``."""
+    return (codes > NONE) & (codes < top)
+
+
+def _common(top: int, *names: str) -> Column:
+    """Whether all the columns have codes that are numbers below ``top``."""
+    out = F.lit(True)
+    for name in names:
+        out &= F.col(name).between(NONE + 1, top - 1)
+    return out
+
+
+class Rows:
+    """What is known of the numbered words, by their codes: c (how often they occur), alpha and ``before`` (as histories)."""
+
+    def __init__(self, table: pa.Table, top: int, starts: int, start: float):
+        self.c, self.alpha = np.zeros(top, np.int64), np.zeros(top)
+        self.c[table["word"].to_numpy()] = table["c"].to_numpy()
+        self.alpha[table["word"].to_numpy()] = table["alpha"].to_numpy()
+        self.before, self.weight = self.c.copy(), self.alpha.copy()
+        self.before[START], self.weight[START] = starts, start
 
 
 def discounts(of_count: dict[int, int], least: int) -> dict[int, float]:
@@ -164,49 +197,91 @@ def discounts(of_count: dict[int, int], least: int) -> dict[int, float]:
 
 def pair_counts(docs: DataFrame, numbers: Broadcast) -> DataFrame:
     """h, w, c of all pairs in the training texts."""
-    return token_rows(docs, numbers).where(~F.col("held")).groupBy("h", "w").agg(F.count("*").alias("c"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                history, word, _ = _codes(batch.slice(at, 500), numbers)
+                yield pa.RecordBatch.from_arrays([pa.array(history), pa.array(word)], names=["h", "w"])
+
+    training = _source(docs).where(~F.col("held")).select("text")
+    return training.mapInArrow(spread, "h long, w long").groupBy("h", "w").agg(F.count("*").alias("c"))
 
 
 class Model:
-    """Tables of a trained model: words (word, c, alpha) and pairs (h, w, c, gain), logs to base 10."""
+    """Tables of a trained model: words (word, c, alpha) and pairs (h, w, c), logs to base 10."""
 
     def __init__(self, docs: DataFrame, most: int = FREQUENT):
         spark = docs.sparkSession
-        hashed = stored(word_counts(docs), "words")
-        self.numbers, counts = numbered(hashed, min(most, NUMBERED))
-        counts = stored(counts, "codes")
-        n, v, starts = counts.agg(
-            F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))
-        ).first()
-        self.tokens, self.distinct = int(n), int(v)
-        self.total = self.tokens + self.distinct + 1
-        self.least = CUTOFF
-        pairs = stored(pair_counts(docs, self.numbers), "pairs")
-        top = self.least + DISCOUNTED
-        of_count = {r["c"]: r["count"] for r in pairs.where(F.col("c") <= top).groupBy("c").count().collect()}
-        factor = F.lit(1.0) - 0.5 / F.col("c")
-        for c, d in discounts(of_count, self.least).items():
-            factor = F.when(F.col("c") == c, F.lit(d)).otherwise(factor)
-        single = lambda c: (c + 1) / F.lit(float(self.total))
-        history = counts.select(F.col("word").alias("h"), F.col("c").alias("of_h")).unionByName(
-            spark.range(1).select(F.lit(START).cast("long").alias("h"), F.lit(int(starts)).cast("long").alias("of_h"))
-        )
-        followed = pairs.join(counts.select(F.col("word").alias("w"), F.col("c").alias("of_w")), "w").withColumn(
-            "one", single(F.col("of_w"))
+        self.most, self.least = most, CUTOFF
+        with temporary(spark):
+            hashed = stored(word_counts(docs), "words")
+            self.numbers, self.top, counts = numbered(hashed, min(most, NUMBERED))
+            counts = stored(counts, "codes")
+            n, v, starts = counts.agg(
+                F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))
+            ).first()
+            self.tokens, self.distinct = int(n), int(v)
+            self.total = self.tokens + self.distinct + 1
+            self.pairs = stored(pair_counts(docs, self.numbers), "pairs", keep=True)
+            alone = self.least + DISCOUNTED
+            of_count = {r["c"]: r["count"] for r in self.pairs.where(F.col("c") <= alone).groupBy("c").count().collect()}
+            self.factors = discounts(of_count, self.least)
+            start = spark.range(1).select(F.lit(START).cast("long").alias("h"), F.lit(int(starts)).cast("long").alias("of_h"))
+            history = counts.select(F.col("word").alias("h"), F.col("c").alias("of_h")).unionByName(start)
+            alpha = F.log10((1 - F.col("two") / F.col("of_h")) / (1 - F.col("one") / F.lit(float(self.total))))
+            alphas = stored(self._masses(counts).join(history, "h").select("h", alpha.alias("alpha")), "alpha")
+            first = alphas.where(F.col("h") == START).first()
+            self.start = float(first["alpha"]) if first else 0.0
+            words = counts.join(alphas.withColumnRenamed("h", "word"), "word", "left")
+            words = words.select("word", "c", F.coalesce("alpha", F.lit(0.0)).alias("alpha"))
+            self.words = stored(words, "vocabulary", keep=True)
+            known = self.words.where(_common(self.top, "word")).toArrow()
+            self.rows = spark.sparkContext.broadcast(Rows(known, self.top, int(starts), self.start))
+            self.rare = stored(self._rare_gains(history, alphas), "gains", keep=True)
+
+    def _discounted(self) -> Column:
+        """d(c) c of a pair's count c."""
+        out = F.col("c") - 0.5
+        for c, d in self.factors.items():
+            out = F.when(F.col("c") == c, F.lit(d * c)).otherwise(out)
+        return out
+
+    def _masses(self, counts: DataFrame) -> DataFrame:
+        """h; two: sum of d(c) c over its pairs; one: sum of c(w) + 1 over them."""
+        follows = self.pairs.withColumn("two", self._discounted())
+        head = F.broadcast(counts.where(_common(self.top, "word")).select(F.col("word").alias("w"), F.col("c").alias("of_w")))
+        tail = counts.where(~_common(self.top, "word")).select(F.col("word").alias("w"), F.col("c").alias("of_w"))
+        common, rare = (follows.where(x).select("h", "w", "two") for x in (_common(self.top, "w"), ~_common(self.top, "w")))
+        both = common.join(head, "w").unionByName(rare.join(tail, "w"))
+        return both.groupBy("h").agg(F.sum("two").alias("two"), F.sum(F.col("of_w") + 1).cast("double").alias("one"))
+
+    def _rare_gains(self, history: DataFrame, alphas: DataFrame) -> DataFrame:
+        """h, w, gain, base of all pairs with a rare word, and of the rare words alone (behind NONE)."""
+        of_h = history.join(alphas, "h")
+        of_w = self.words.select(F.col("word").alias("w"), F.col("c").alias("of_w"))
+        two, one = F.log10(self._discounted() / F.col("of_h")), F.log10((F.col("of_w") + 1) / F.lit(float(self.total)))
+        rare = self.pairs.where(~_common(self.top, "h", "w")).join(of_w, "w").join(of_h, "h")
+        rare = rare.select("h", "w", (two - F.col("alpha") - one).alias("gain"), F.lit(0.0).alias("base"))
+        alone = self.words.where(~_common(self.top, "word")).select(
+            F.lit(NONE).cast("long").alias("h"), F.col("word").alias("w"), F.col("alpha").alias("gain"), F.log10(F.col("c") + 1).alias("base")
         )
-        followed = stored(
-            followed.join(history, "h").select("h", "w", "c", "one", (factor * F.col("c") / F.col("of_h")).alias("two")), "followed"
-        )
-        alpha = followed.groupBy("h").agg(((1 - F.sum("two")) / (1 - F.sum("one"))).alias("alpha"))
-        alpha = stored(alpha.withColumn("alpha", F.log10("alpha")), "alpha")
-        self.pairs = stored(
-            followed.join(alpha, "h").select("h", "w", "c", (F.log10("two") - F.col("alpha") - F.log10("one")).alias("gain")), "gains"
-        )
-        start = alpha.where(F.col("h") == START).first()
-        self.start = float(start["alpha"]) if start else 0.0
-        words = counts.join(alpha.withColumnRenamed("h", "word"), "word", "left")
-        self.words = stored(words.select("word", "c", F.coalesce("alpha", F.lit(0.0)).alias("alpha")), "vocabulary")
-        self.most = most
+        return rare.unionByName(alone)
+
+    def _common_gains(self, pairs: DataFrame) -> DataFrame:
+        """h, w, gain of pairs (h, w, c) of numbered words."""
+        rows, total = self.rows, float(self.total)
+        kept = np.array([self.factors.get(c, 0) * c for c in range(self.least + DISCOUNTED)])
+
+        def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = rows.value
+            for batch in batches:
+                h, w, c = (batch.column(k).to_numpy() for k in range(3))
+                two = np.where(c < len(kept), kept[np.minimum(c, len(kept) - 1)], c - 0.5) / of.before[h]
+                gain = np.log10(two) - of.weight[h] - np.log10((of.c[w] + 1) / total)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain)], names=["h", "w", "gain"])
+
+        return pairs.select("h", "w", "c").mapInArrow(gains, "h long, w long, gain double")
 
     @staticmethod
     def frequent(table: DataFrame, room: int) -> int:
@@ -219,57 +294,90 @@ class Model:
             room -= sizes.get(least, 0)
         return 1 << least
 
+    def _first_pass(self, docs: DataFrame, often: Broadcast) -> DataFrame:
+        """row, doc_id, held, tokens, known, base, alpha, gain of every text by what is broadcast; other words count as unseen."""
+        numbers, rows, top, total = self.numbers, self.rows, self.top, float(self.total)
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = rows.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    if not part.num_rows:
+                        continue
+                    history, word, text = _codes(part, numbers)
+                    within = _within(word, top)
+                    code = np.where(within, word, NONE)
+                    found, gain = often.value(history, word)
+                    starts = np.flatnonzero(np.diff(text, prepend=-1))
+                    each = (
+                        np.ones(len(word), np.int64), (of.c[code] > 0).astype(np.int64),
+                        np.log10((of.c[code] + 1) / total), of.alpha[code], np.where(found, gain, 0.0),
+                    )
+                    sums = [pa.array(np.add.reduceat(x, starts)) for x in each]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("row"), part.column("doc_id"), part.column("held"), *sums],
+                        names=["row", "doc_id", "held", "tokens", "known", "base", "alpha", "gain"],
+                    )
+
+        columns = "row long, doc_id long, held boolean, tokens long, known long, base double, alpha double, gain double"
+        return _source(docs).mapInArrow(add_up, columns)
+
+    def _others(self, docs: DataFrame, often: Broadcast, turn: int) -> DataFrame:
+        """row, h, w: the tokens of a slice that no broadcast pair has, and its rare words behind NONE."""
+        numbers, top, slices = self.numbers, self.top, SLICES
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    history, word, text = _codes(part, numbers)
+                    own = np.mod(history ^ word, slices) == turn
+                    own[own] = ~often.value(history[own], word[own])[0]
+                    alone = ~_within(word, top) & (np.mod(word ^ NONE, slices) == turn)
+                    names = part.column("row").to_numpy()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([names[text[own]], names[text[alone]]])),
+                         pa.array(np.concatenate([history[own], np.full(alone.sum(), NONE, np.int64)])),
+                         pa.array(np.concatenate([word[own], word[alone]]))],
+                        names=["row", "h", "w"],
+                    )
+
+        return _source(docs).select("row", "text").mapInArrow(spread, "row long, h long, w long")
+
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
-        often = self.frequent(self.words, min(self.most, FREQUENT_WORDS))
-        head = F.broadcast(self.words.where(F.col("c") >= often).withColumnRenamed("word", "w"))
-        tail = self.words.where(F.col("c") < often).withColumnRenamed("word", "w")
-        total = F.lit(float(self.total))
-        seen = F.coalesce("c", F.lit(0))
-        sums = [
+        common = self.pairs.where(_common(self.top, "h", "w"))
+        least = self.frequent(self.pairs, self.most)
+        head = self._common_gains(common.where(F.col("c") >= least))
+        key = (F.col("h") * self.top + F.col("w")).alias("key")
+        often = docs.sparkSession.sparkContext.broadcast(Often(head.select(key, "gain").toArrow(), self.top))
+        main = self._first_pass(docs, often).groupBy("row").agg(
             F.max("doc_id").alias("doc_id"),
             F.max("held").alias("held"),
-            F.sum((F.col("w") == END).cast("long")).alias("texts"),
-            F.count("*").alias("tokens"),
-            F.sum((seen > 0).cast("long")).alias("known"),
-            F.sum(F.log10((seen + 1) / total)).alias("base"),
-            F.sum(F.coalesce("alpha", F.lit(0.0))).alias("alpha"),
-        ]
-        often_pairs = self.frequent(self.pairs, self.most)
-        head_pairs = F.broadcast(self.pairs.where(F.col("c") >= often_pairs).drop("c"))
-        rows = token_rows(docs, self.numbers).join(head_pairs, ["h", "w"], "left").join(head, "w", "left")
-        main = rows.groupBy("row").agg(*sums, F.sum(F.coalesce("gain", F.lit(0.0))).alias("gain"))
-        # rare words: what the first pass took for unseen is made good
-        rare = (
-            token_rows(docs, self.numbers)
-            .select("row", "w")
-            .join(head, "w", "left_anti")
-            .groupBy("row", "w")
-            .agg(F.count("*").alias("times"))
-            .join(tail, "w")
-            .groupBy("row")
-            .agg(
-                F.sum("times").alias("more_known"),
-                F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_base"),
-                F.sum(F.col("times") * F.col("alpha")).alias("more_alpha"),
-            )
+            F.count("*").alias("texts"),
+            *[F.sum(c).alias(c) for c in ("tokens", "known", "base", "alpha", "gain")],
         )
-        if often_pairs > self.least:  # rare pairs likewise: the tokens no broadcast pair has
-            rare_pairs = (
-                token_rows(docs, self.numbers)
-                .select("row", "h", "w")
-                .join(head_pairs, ["h", "w"], "left_anti")
-                .join(self.pairs.where(F.col("c") < often_pairs).drop("c"), ["h", "w"])
-                .groupBy("row")
-                .agg(F.sum("gain").alias("more_gain"))
+        # no pair comes twice, so its join's hash tables are of about one size: that of a slice over the number of tasks
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(tasks, -(-(self.pairs.count() + self.distinct) // (SLICES * HASHED)))
+        rest = None
+        for turn in range(SLICES):
+            own = F.expr(f"pmod(h ^ w, {SLICES}) = {turn}")
+            tail = self._common_gains(common.where((F.col("c") < least) & own)).withColumn("base", F.lit(0.0))
+            tail = tail.unionByName(self.rare.where(own))
+            tail = tail.repartition(tasks, "h", "w").hint("shuffle_hash")
+            met = self._others(docs, often, turn).repartition(tasks, "h", "w").join(tail, ["h", "w"]).groupBy("row").agg(
+                F.sum("gain").alias("more"), F.sum("base").alias("more_base"), F.sum((F.col("base") > 0).cast("long")).alias("more_known")
             )
-            main = main.join(rare_pairs, "row", "left")
-        else:
-            main = main.withColumn("more_gain", F.lit(0.0))
+            met = stored(met, "slice")
+            rest = met if rest is None else rest.unionByName(met)
+        rest = rest.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "more_base", "more_known")])
+        # sums over the copies of a row, each of which has the same share of them
         base = (F.col("base") + F.coalesce("more_base", F.lit(0.0))) / F.col("texts")
-        rest = (F.col("alpha") + F.coalesce("more_alpha", F.lit(0.0)) + F.col("gain") + F.coalesce("more_gain", F.lit(0.0))) / F.col("texts")
+        other = (F.col("alpha") + F.col("gain") + F.coalesce("more", F.lit(0.0))) / F.col("texts")
         return (
-            main.join(rare, "row", "left")
+            main.join(rest, "row", "left")
             .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("texts"))))
             .select(
                 "doc_id",
@@ -278,6 +386,21 @@ class Model:
                 ((F.col("known") + F.coalesce("more_known", F.lit(0))) / F.col("texts")).cast("long").alias("n_known"),
                 F.lit(self.tokens).cast("long").alias("train_tokens"),
                 base.alias("base_score"),
-                (base + rest + F.lit(self.start)).alias("score"),
+                (base + other + F.lit(self.start)).alias("score"),
             )
         )
+
+
+class Often:
+    """Gains of frequent pairs of numbered words, by h * top + w."""
+
+    def __init__(self, table: pa.Table, top: int):
+        hashes = mix(table["key"].to_numpy())
+        order = np.argsort(hashes)
+        self.places, self.gains, self.top = Places(hashes[order]), np.append(table["gain"].to_numpy()[order], 0.0), top
+
+    def __call__(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a pair is one of them, its gain if so)."""
+        both = _within(h, self.top) & _within(w, self.top)
+        found, at = self.places(mix(np.where(both, h, 0) * self.top + np.where(both, w, 0)))
+        return found & both, self.gains[at]

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from llm_plain import ODD, SCHEMA, documents, prose, words
 
@@ -109,3 +110,30 @@ def test_discounts_free_the_mass_of_pairs_seen_once():
     assert sum(of_count[c] * c * (1 - factor[c]) for c in range(1, 6)) == pytest.approx(of_count[1])
     assert factor[1] == pytest.approx((0.6 - 0.21) / (1 - 0.21))
     assert katz.discounts({}, 1) == {c: 1 - 0.5 / c for c in range(1, 6)}
+
+
+def test_places_of_hashes():
+    rng = np.random.default_rng(3)
+    top = np.uint64(2**64 - 1)
+    for n in (0, 1, 2, 50, 3000):
+        there = np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
+        there = np.unique(np.concatenate([there, there[:5] + np.uint64(1)]))  # neighbours share all leading bits
+        found, at = katz.Places(there)(np.concatenate([there, there + np.uint64(2), [top, np.uint64(0)]]))
+        assert found[: len(there)].all() and (at[: len(there)] == np.arange(len(there))).all()
+        assert not found[-2:].any() and not (found[len(there) : -2] & ~np.isin(there + np.uint64(2), there)).any()
+
+
+def test_pairs_are_stored_once_and_by_their_counts(spark):
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    docs = documents(spark, ROWS)
+    model = katz.Model(docs, most=60)
+    left = lambda: sorted(n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before)
+    assert left() == ["gains", "pairs", "vocabulary"] and model.pairs.columns == ["h", "w", "c"]
+    # only pairs with a rare word have stored gains; tokens meet pairs in parts
+    common = model.pairs.where(katz._common(model.top, "h", "w")).count()
+    assert 0 < model.rare.where(f"h <> {katz.NONE}").count() == model.pairs.count() - common
+    model.score(docs).collect()
+    assert left() == ["gains", "pairs", *["slice"] * katz.SLICES, "vocabulary"]
