@@ -19,7 +19,7 @@ counts of pairs are stored. Numbered words and the frequent pairs of them (at mo
 up in broadcast arrays; gains of pairs with a rare word are found by shuffle joins. All tokens without a frequent pair then
 meet the other pairs in a shuffle join, and rare words their rows in the same join, as pairs behind no word. That join is done in
 SLICES parts, one after the other and each over its own pairs, so that its files are never on disk all at once. Counting adds up
-inside tasks first.
+inside tasks first; pairs are added up by sorting, at most about TALLIED tokens at once.
 
 Defined cases: a null or empty text is the end token alone; repeated rows have equal scores; without
 training texts every token has probability 1 / (V + 1) with V = 0; rows with a null doc_id train; an
@@ -46,6 +46,10 @@ NUMBERED = 500_000
 #: Parts in which tokens meet the pairs that are not broadcast; pairs of a part that a task holds in a hash table.
 SLICES = 2
 HASHED = 500_000
+#: Tokens whose pairs a task adds up at once.
+TALLIED = 1 << 21
+#: Rows of a batch that goes back to Spark.
+BATCH = 1 << 16
 #: Least count of a pair in the table, whatever the corpus: all pairs are in it.
 CUTOFF = 1
 #: Counts from the cutoff on that get Good-Turing discounts.
@@ -195,17 +199,68 @@ def discounts(of_count: dict[int, int], least: int) -> dict[int, float]:
     return out
 
 
-def pair_counts(docs: DataFrame, numbers: Broadcast) -> DataFrame:
-    """h, w, c of all pairs in the training texts."""
+def _tally(h: np.ndarray, w: np.ndarray, c: np.ndarray | None, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of pairs (h, w) and the sums of their counts c (None: one each); numbered words' pairs sort as one integer."""
+    common = _within(h, top) & _within(w, top)
+    key = h[common] * top + w[common]
+    if c is None:
+        key, often = np.unique(key, return_counts=True)
+        c = np.ones(len(h), np.int64)
+    else:
+        order = np.argsort(key)
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        key, often = key[order][first], np.add.reduceat(c[common][order], first)
+    h, w, c = h[~common], w[~common], c[~common]
+    order = np.lexsort((w, h))
+    h, w = h[order], w[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    first = np.flatnonzero(new)
+    rare = np.add.reduceat(c[order], first)
+    return np.concatenate([key // top, h[first]]), np.concatenate([key % top, w[first]]), np.concatenate([often, rare])
+
+
+def _batches(names: list[str], columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + BATCH]) for x in columns], names=names)
+
+
+def pair_counts(docs: DataFrame, numbers: Broadcast, top: int, tokens: int) -> DataFrame:
+    """h, w, c of all pairs in the training texts, of which there are ``tokens``; each pair once.
+
+    Tasks add up the pairs of their texts, and after the shuffle those of their share, by sorting arrays:
+    nearly all of the pairs of a task differ, so hash tables of them would cost much and save little.
+    """
+    spark, names = docs.sparkSession, ["h", "w", "c"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                history, word, _ = _codes(batch.slice(at, 500), numbers)
-                yield pa.RecordBatch.from_arrays([pa.array(history), pa.array(word)], names=["h", "w"])
-
+                parts.append(_codes(batch.slice(at, 500), numbers)[:2])
+                size += len(parts[-1][0])
+                if size >= TALLIED:
+                    yield from _batches(names, _tally(*map(np.concatenate, zip(*parts, strict=True)), None, top))
+                    parts, size = [], 0
+        if parts:
+            yield from _batches(names, _tally(*map(np.concatenate, zip(*parts, strict=True)), None, top))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, full = [], 0, TALLIED
+        for batch in batches:
+            parts.append(tuple(batch.column(k).to_numpy() for k in range(3)))
+            size += batch.num_rows
+            if size >= full:
+                parts = [_tally(*map(np.concatenate, zip(*parts, strict=True)), top)]
+                size = len(parts[0][0])
+                full = max(TALLIED, 2 * size)
+        if parts:
+            yield from _batches(names, _tally(*map(np.concatenate, zip(*parts, strict=True)), top))
+
+    columns = "h long, w long, c long"
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // TALLIED))
     training = _source(docs).where(~F.col("held")).select("text")
-    return training.mapInArrow(spread, "h long, w long").groupBy("h", "w").agg(F.count("*").alias("c"))
+    return training.mapInArrow(spread, columns).repartition(tasks, "h", "w").mapInArrow(add_up, columns)
 
 
 class Model:
@@ -223,7 +278,7 @@ class Model:
             ).first()
             self.tokens, self.distinct = int(n), int(v)
             self.total = self.tokens + self.distinct + 1
-            self.pairs = stored(pair_counts(docs, self.numbers), "pairs", keep=True)
+            self.pairs = stored(pair_counts(docs, self.numbers, self.top, self.tokens), "pairs", keep=True)
             alone = self.least + DISCOUNTED
             of_count = {r["c"]: r["count"] for r in self.pairs.where(F.col("c") <= alone).groupBy("c").count().collect()}
             self.factors = discounts(of_count, self.least)

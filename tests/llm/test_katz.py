@@ -137,3 +137,36 @@ def test_pairs_are_stored_once_and_by_their_counts(spark):
     assert 0 < model.rare.where(f"h <> {katz.NONE}").count() == model.pairs.count() - common
     model.score(docs).collect()
     assert left() == ["gains", "pairs", *["slice"] * katz.SLICES, "vocabulary"]
+
+
+def test_pairs_are_added_up_by_sorting():
+    rng = np.random.default_rng(5)
+    codes = np.concatenate([np.arange(9), rng.integers(-(2**63), 2**63 - 1, 6)])  # numbers below and above the top, hashes
+    for n in (0, 1, 4000):
+        h, w, c = rng.choice(codes, n), rng.choice(codes, n), rng.integers(1, 5, n)
+        for counts in (None, c):
+            want = Counter()
+            for i in range(n):
+                want[int(h[i]), int(w[i])] += 1 if counts is None else int(c[i])
+            got = katz._tally(h, w, counts, 7)
+            assert len(got[0]) == len(want) and {(int(x), int(y)): int(z) for x, y, z in zip(*got, strict=True)} == want
+
+
+def test_each_pair_is_counted_once_without_hash_tables(spark, monkeypatch):
+    texts = [(i, " ".join(words(t)).upper() if i % 2 else t) for i, t in ROWS] + [(None, "a b a b"), (None, None), (300, "")]
+    docs = documents(spark, texts).repartition(5)
+    training = [[*words(t or ""), "</s>"] for i, t in texts if not held(i)]
+    of_pair = Counter(p for t in training for p in zip(["<s>", *t[:-1]], t, strict=True))
+    tokens = sum(map(len, training))
+    hashed = katz.word_counts(docs)
+    for most, at_once in ((8, 40), (katz.NUMBERED, 1 << 21)):  # rare words and many partial sums; numbers only
+        monkeypatch.setattr(katz, "TALLIED", at_once)
+        numbers, top, _ = katz.numbered(hashed, most)
+        pairs = katz.pair_counts(docs, numbers, top, tokens)
+        # sums of the texts' tasks meet in tasks of a bounded share of the tokens
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan and plan.count("MapInArrow") == 2
+        got = pairs.collect()
+        assert len({(r["h"], r["w"]) for r in got}) == len(got) == len(of_pair)
+        assert Counter(r["c"] for r in got) == Counter(of_pair.values())
+        assert pairs.rdd.getNumPartitions() == max(4, -(-tokens // at_once))
