@@ -229,7 +229,7 @@ def pair_counts(docs: DataFrame, numbers: Broadcast, top: int, tokens: int) -> D
     """h, w, c of all pairs in the training texts, of which there are ``tokens``; each pair once.
 
     Tasks add up the pairs of their texts, and after the shuffle those of their share, by sorting arrays:
-    nearly all of the pairs of a task differ, so hash tables of them would cost much and save little.
+    most of the pairs of a task differ, so hash tables of rows would cost more than they save.
     """
     spark, names = docs.sparkSession, ["h", "w", "c"]
 
