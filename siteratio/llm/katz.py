@@ -17,9 +17,11 @@ corpus), so that rows of pairs take few bytes in shuffles, and 64-bit hashes for
 so scoring is two lookups per token. The gain of a pair follows from its count and from the rows of its two words, so only
 counts of pairs are stored. Numbered words and the frequent pairs of them (at most FREQUENT, whatever the corpus) are looked
 up in broadcast arrays; gains of pairs with a rare word are found by shuffle joins. All tokens without a frequent pair then
-meet the other pairs in a shuffle join, and rare words their rows in the same join, as pairs behind no word. That join is done in
-SLICES parts, one after the other and each over its own pairs, so that its files are never on disk all at once. Counting adds up
-inside tasks first; pairs are added up by sorting, at most about TALLIED tokens at once.
+meet the other pairs of their bucket (a hash of the pair), and rare words their rows in the same way, as pairs behind no word. That is done
+in SLICES parts, one after the other and each over its own buckets, so that its files are never on disk all at once.
+
+Pairs and tokens are shuffled and stored as blocks: a row has many of one bucket, as packed arrays, so Spark moves few rows and the
+work on single pairs is done on arrays inside tasks. A bucket has at most about TALLIED tokens over SLICES, whatever the corpus.
 
 Defined cases: a null or empty text is the end token alone; repeated rows have equal scores; without
 training texts every token has probability 1 / (V + 1) with V = 0; rows with a null doc_id train; an
@@ -28,7 +30,7 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +45,14 @@ from siteratio.llm.words import mix, word_hashes
 FREQUENT = 1_000_000
 #: Most words that get a small number for a code; their rows are broadcast.
 NUMBERED = 500_000
-#: Parts in which tokens meet the pairs that are not broadcast; pairs of a part that a task holds in a hash table.
+#: Parts in which tokens meet the pairs that are not broadcast.
 SLICES = 2
-HASHED = 500_000
 #: Tokens whose pairs a task adds up at once.
 TALLIED = 1 << 21
 #: Rows of a batch that goes back to Spark.
 BATCH = 1 << 16
+#: Pairs of a block in the table.
+PIECE = 1 << 19
 #: Least count of a pair in the table, whatever the corpus: all pairs are in it.
 CUTOFF = 1
 #: Counts from the cutoff on that get Good-Turing discounts.
@@ -60,6 +63,14 @@ NONE = 0
 END = 1
 START = 2
 FIRST = 3
+#: Columns of blocks: arrays of histories and words (of numbers where both are numbered), and two more as the kind says.
+BLOCK = ["bucket", "kind", "h", "w", "x", "y"]
+BLOCKS = "bucket int, kind int, h binary, w binary, x binary, y binary"
+#: Kinds of blocks. Counts of pairs (x) of numbered words and of others, gains and bases (x, y) of pairs with a rare word, tokens with the
+#: texts (x) of runs of them and their lengths (y), for numbered words and others. Tables come before the tokens that meet them.
+PAIRS, RARE, GAINS, TOKENS, OTHERS, TEXTS = range(6)
+#: What is added up for a text.
+SUMS = ["row", "tokens", "known", "base", "gain"]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -225,13 +236,101 @@ def _batches(names: list[str], columns: tuple[np.ndarray, ...]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(x[at : at + BATCH]) for x in columns], names=names)
 
 
-def pair_counts(docs: DataFrame, numbers: Broadcast, top: int, tokens: int) -> DataFrame:
-    """h, w, c of all pairs in the training texts, of which there are ``tokens``; each pair once.
+def _buckets(h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """One of n buckets for each pair (h, w), by a hash of it."""
+    key = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    key ^= key >> np.uint64(29)
+    key *= np.uint64(0x94D049BB133111EB)
+    return (((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order that brings equal keys together and keeps theirs; the keys, and where in that order they are."""
+    small = keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys  # sorted by digits
+    order = np.argsort(small, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    ends = np.append(first[1:], len(keys))[: len(first)]
+    return order, [(int(keys[lo]), slice(lo, hi)) for lo, hi in zip(first, ends, strict=True)]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest takes."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if k is np.int64 or x.max(initial=0) <= np.iinfo(k).max)
+    return x.astype(kind).tobytes()
+
+
+def _unpacked(x: pa.Scalar, n: int) -> np.ndarray:
+    """The n numbers of ``_packed``."""
+    raw = x.as_py()
+    width = len(raw) // n if n else 8
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[width]).astype(np.int64)
+
+
+def _codes_packed(h: np.ndarray, w: np.ndarray, common: bool) -> tuple[bytes, bytes]:
+    """Pairs of codes; numbers take 4 bytes, and histories are differences to the one before."""
+    kind = np.uint32 if common else np.int64
+    return np.diff(h, prepend=0).astype(kind).tobytes(), w.astype(kind).tobytes()
+
+
+def _codes_unpacked(h: pa.Scalar, w: pa.Scalar, common: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``_codes_packed``."""
+    kind = np.uint32 if common else np.int64
+    h = np.cumsum(np.frombuffer(h.as_py(), kind), dtype=kind)  # differences wrap around, and so do their sums
+    return h.astype(np.int64), np.frombuffer(w.as_py(), kind).astype(np.int64)
+
+
+def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Blocks as a batch, from tuples as in BLOCK."""
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=BLOCK)
+
+
+def _pair_blocks(h: np.ndarray, w: np.ndarray, c: np.ndarray, top: int, bucket: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most ``most`` counted pairs, by their buckets."""
+    rare = ~(_within(h, top) & _within(w, top))
+    order, groups = _groups(2 * bucket + rare)
+    h, w, c = h[order], w[order], c[order]
+    rows, size = [], 0
+    for key, place in groups:
+        for lo in range(place.start, place.stop, most):
+            at = slice(lo, min(lo + most, place.stop))
+            kind = RARE if key % 2 else PAIRS
+            rows.append((key // 2, kind, *_codes_packed(h[at], w[at], kind == PAIRS), _packed(c[at]), b""))
+            size += at.stop - at.start
+            if size >= most:
+                yield _block_rows(rows)
+                rows, size = [], 0
+    if rows:
+        yield _block_rows(rows)
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(h, w, c, kind) of blocks of counted pairs."""
+    for batch in batches:
+        kinds, hs, ws, cs = (batch.column(k) for k in ("kind", "h", "w", "x"))
+        for i in range(batch.num_rows):
+            kind = kinds[i].as_py()
+            h, w = _codes_unpacked(hs[i], ws[i], kind == PAIRS)
+            yield h, w, _unpacked(cs[i], len(h)), kind
+
+
+def bucket_tasks(docs: DataFrame, tokens: int) -> int:
+    """Tasks among which pairs of ``tokens`` tokens are dealt; each has SLICES buckets."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // TALLIED))
+
+
+def pair_counts(docs: DataFrame, numbers: Broadcast, top: int, tokens: int, blocks: bool = False) -> DataFrame:
+    """h, w, c of all pairs in the training texts, of which there are ``tokens``; each pair once. On request as blocks.
 
     Tasks add up the pairs of their texts, and after the shuffle those of their share, by sorting arrays:
     most of the pairs of a task differ, so hash tables of rows would cost more than they save.
     """
-    spark, names = docs.sparkSession, ["h", "w", "c"]
+    tasks, slices, names, at_once, piece = bucket_tasks(docs, tokens), SLICES, ["h", "w", "c"], TALLIED, PIECE
+
+    def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, w, c = _tally(*map(np.concatenate, zip(*parts, strict=True)), None, top)
+        yield from _pair_blocks(h, w, c, top, _buckets(h, w, tasks * slices) // slices, piece)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -239,28 +338,78 @@ def pair_counts(docs: DataFrame, numbers: Broadcast, top: int, tokens: int) -> D
             for at in range(0, batch.num_rows, 500):
                 parts.append(_codes(batch.slice(at, 500), numbers)[:2])
                 size += len(parts[-1][0])
-                if size >= TALLIED:
-                    yield from _batches(names, _tally(*map(np.concatenate, zip(*parts, strict=True)), None, top))
+                if size >= at_once:
+                    yield from tally(parts)
                     parts, size = [], 0
         if parts:
-            yield from _batches(names, _tally(*map(np.concatenate, zip(*parts, strict=True)), None, top))
+            yield from tally(parts)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, full = [], 0, TALLIED
-        for batch in batches:
-            parts.append(tuple(batch.column(k).to_numpy() for k in range(3)))
-            size += batch.num_rows
+        parts, size, full = [], 0, at_once
+        for h, w, c, _ in _pairs_of(batches):
+            parts.append((h, w, c))
+            size += len(h)
             if size >= full:
                 parts = [_tally(*map(np.concatenate, zip(*parts, strict=True)), top)]
                 size = len(parts[0][0])
-                full = max(TALLIED, 2 * size)
+                full = max(at_once, 2 * size)
         if parts:
-            yield from _batches(names, _tally(*map(np.concatenate, zip(*parts, strict=True)), top))
+            h, w, c = _tally(*map(np.concatenate, zip(*parts, strict=True)), top)
+            yield from _pair_blocks(h, w, c, top, _buckets(h, w, tasks * slices), piece) if blocks else _batches(names, (h, w, c))
 
-    columns = "h long, w long, c long"
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // TALLIED))
     training = _source(docs).where(~F.col("held")).select("text")
-    return training.mapInArrow(spread, columns).repartition(tasks, "h", "w").mapInArrow(add_up, columns)
+    dealt = training.mapInArrow(spread, BLOCKS).repartitionById(tasks, "bucket")
+    return dealt.mapInArrow(add_up, BLOCKS if blocks else "h long, w long, c long")
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """h, w, c of blocks of counted pairs."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, w, c, _ in _pairs_of(batches):
+            yield from _batches(["h", "w", "c"], (h, w, c))
+
+    return blocks.mapInArrow(rows, "h long, w long, c long")
+
+
+def unpacked_gains(blocks: DataFrame) -> DataFrame:
+    """h, w, gain, base of blocks of gains."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, w, gain, base in zip(*(batch.column(k) for k in BLOCK[2:]), strict=True):
+                sums = (np.frombuffer(x.as_py()) for x in (gain, base))
+                yield from _batches(["h", "w", "gain", "base"], (*_codes_unpacked(h, w, False), *sums))
+
+    return blocks.mapInArrow(rows, "h long, w long, gain double, base double")
+
+
+class Table:
+    """Gains and bases of pairs, found by their codes."""
+
+    def __init__(self, h: np.ndarray, w: np.ndarray, gain: np.ndarray, base: np.ndarray | None = None, top: int | None = None):
+        self.top = top  # numbers below it are a key as they are, other codes by their places
+        if top is None:
+            self.h, self.w = np.unique(h), np.unique(w)
+            key = np.searchsorted(self.h, h) * len(self.w) + np.searchsorted(self.w, w)
+        else:
+            key = h * top + w
+        order = np.argsort(key)
+        self.key, self.gain = np.append(key[order], -1), np.append(gain[order], 0.0)
+        self.base = None if base is None else np.append(base[order], 0.0)
+
+    def __call__(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """(gains, bases) of pairs, 0 for those not in the table."""
+        if self.top is None:
+            at_h, at_w = np.searchsorted(self.h, h), np.searchsorted(self.w, w)
+            known = np.append(self.h, 0)[at_h] == h
+            known &= (at_h < len(self.h)) & (np.append(self.w, 0)[at_w] == w) & (at_w < len(self.w))
+            key = np.where(known, at_h * len(self.w) + at_w, -2)
+        else:
+            key = h * self.top + w
+        at = np.searchsorted(self.key[:-1], key)
+        at[self.key[at] != key] = len(self.key) - 1
+        return self.gain[at], None if self.base is None else self.base[at]
 
 
 class Model:
@@ -278,10 +427,14 @@ class Model:
             ).first()
             self.tokens, self.distinct = int(n), int(v)
             self.total = self.tokens + self.distinct + 1
-            self.pairs = stored(pair_counts(docs, self.numbers, self.top, self.tokens), "pairs", keep=True)
+            self.tasks = bucket_tasks(docs, self.tokens)
+            self.blocks = stored(pair_counts(docs, self.numbers, self.top, self.tokens, blocks=True), "pairs", keep=True)
+            self.pairs = unpacked(self.blocks)
+            sizes = stored(self._sizes(), "sizes")
             alone = self.least + DISCOUNTED
-            of_count = {r["c"]: r["count"] for r in self.pairs.where(F.col("c") <= alone).groupBy("c").count().collect()}
+            of_count = {r["c"]: r["n"] for r in sizes.where(F.col("c") <= alone).collect()}
             self.factors = discounts(of_count, self.least)
+            self.often_from = self.frequent(sizes, most, "n")
             start = spark.range(1).select(F.lit(START).cast("long").alias("h"), F.lit(int(starts)).cast("long").alias("of_h"))
             history = counts.select(F.col("word").alias("h"), F.col("c").alias("of_h")).unionByName(start)
             alpha = F.log10((1 - F.col("two") / F.col("of_h")) / (1 - F.col("one") / F.lit(float(self.total))))
@@ -293,7 +446,8 @@ class Model:
             self.words = stored(words, "vocabulary", keep=True)
             known = self.words.where(_common(self.top, "word")).toArrow()
             self.rows = spark.sparkContext.broadcast(Rows(known, self.top, int(starts), self.start))
-            self.rare = stored(self._rare_gains(history, alphas), "gains", keep=True)
+            self.gains = stored(self._gain_blocks(self._rare_gains(history, alphas)), "gains", keep=True)
+            self.rare = unpacked_gains(self.gains)
 
     def _discounted(self) -> Column:
         """d(c) c of a pair's count c."""
@@ -302,146 +456,281 @@ class Model:
             out = F.when(F.col("c") == c, F.lit(d * c)).otherwise(out)
         return out
 
+    def _discount(self) -> Callable[[np.ndarray], np.ndarray]:
+        """d(c) c of arrays of counts."""
+        kept = np.array([self.factors.get(c, 0) * c for c in range(self.least + DISCOUNTED)])
+        return lambda c: np.where(c < len(kept), kept[np.minimum(c, len(kept) - 1)], c - 0.5)
+
+    def _sizes(self) -> DataFrame:
+        """c, n: how many pairs are seen how often."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, c, _ in _pairs_of(batches):
+                distinct, n = np.unique(c, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], names=["c", "n"])
+
+        return self.blocks.mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+
     def _masses(self, counts: DataFrame) -> DataFrame:
         """h; two: sum of d(c) c over its pairs; one: sum of c(w) + 1 over them."""
-        follows = self.pairs.withColumn("two", self._discounted())
-        head = F.broadcast(counts.where(_common(self.top, "word")).select(F.col("word").alias("w"), F.col("c").alias("of_w")))
-        tail = counts.where(~_common(self.top, "word")).select(F.col("word").alias("w"), F.col("c").alias("of_w"))
-        common, rare = (follows.where(x).select("h", "w", "two") for x in (_common(self.top, "w"), ~_common(self.top, "w")))
-        both = common.join(head, "w").unionByName(rare.join(tail, "w"))
-        return both.groupBy("h").agg(F.sum("two").alias("two"), F.sum(F.col("of_w") + 1).cast("double").alias("one"))
+        top, discount, known = self.top, self._discount(), counts.where(_common(self.top, "word")).toArrow()
+        of_word = np.zeros(top)
+        of_word[known["word"].to_numpy()] = known["c"].to_numpy()
+        of_word = counts.sparkSession.sparkContext.broadcast(of_word)
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for h, w, c, kind in _pairs_of(batches):
+                if kind == RARE:
+                    common = _within(w, top)
+                    h, w, c = h[common], w[common], c[common]
+                first = np.flatnonzero(np.diff(h, prepend=h[:1] - 1))  # pairs of a block ascend by h
+                if len(first):
+                    sums = np.add.reduceat(discount(c), first), np.add.reduceat(of_word.value[w] + 1, first)
+                    yield from _batches(["h", "two", "one"], (h[first], *sums))
+
+        common = self.blocks.mapInArrow(add_up, "h long, two double, one double")
+        tail = counts.where(~_common(self.top, "word")).select(F.col("word").alias("w"), (F.col("c") + 1).cast("double").alias("one"))
+        rare = unpacked(self.blocks.where(F.col("kind") == RARE)).where(~_common(self.top, "w")).join(tail, "w")
+        both = common.unionByName(rare.select("h", self._discounted().alias("two"), "one"))
+        return both.groupBy("h").agg(F.sum("two").alias("two"), F.sum("one").alias("one"))
 
     def _rare_gains(self, history: DataFrame, alphas: DataFrame) -> DataFrame:
         """h, w, gain, base of all pairs with a rare word, and of the rare words alone (behind NONE)."""
         of_h = history.join(alphas, "h")
         of_w = self.words.select(F.col("word").alias("w"), F.col("c").alias("of_w"))
         two, one = F.log10(self._discounted() / F.col("of_h")), F.log10((F.col("of_w") + 1) / F.lit(float(self.total)))
-        rare = self.pairs.where(~_common(self.top, "h", "w")).join(of_w, "w").join(of_h, "h")
+        rare = unpacked(self.blocks.where(F.col("kind") == RARE)).join(of_w, "w").join(of_h, "h")
         rare = rare.select("h", "w", (two - F.col("alpha") - one).alias("gain"), F.lit(0.0).alias("base"))
         alone = self.words.where(~_common(self.top, "word")).select(
             F.lit(NONE).cast("long").alias("h"), F.col("word").alias("w"), F.col("alpha").alias("gain"), F.log10(F.col("c") + 1).alias("base")
         )
         return rare.unionByName(alone)
 
-    def _common_gains(self, pairs: DataFrame) -> DataFrame:
-        """h, w, gain of pairs (h, w, c) of numbered words."""
-        rows, total = self.rows, float(self.total)
-        kept = np.array([self.factors.get(c, 0) * c for c in range(self.least + DISCOUNTED)])
+    def _gains(self) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Gains of arrays of pairs of numbered words and of their counts."""
+        rows, total, discount = self.rows, float(self.total), self._discount()
 
-        def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gains(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
             of = rows.value
+            return np.log10(discount(c) / of.before[h]) - of.weight[h] - np.log10((of.c[w] + 1) / total)
+
+        return gains
+
+    def _frequent_gains(self) -> DataFrame:
+        """key (h * top + w), gain of the frequent pairs of numbered words."""
+        gains, top, least = self._gains(), self.top, self.often_from
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for h, w, c, _ in _pairs_of(batches):
+                often = c >= least
+                h, w, c = h[often], w[often], c[often]
+                yield from _batches(["key", "gain"], (h * top + w, gains(h, w, c)))
+
+        return self.blocks.where(F.col("kind") == PAIRS).mapInArrow(find, "key long, gain double")
+
+    def _gain_blocks(self, rare: DataFrame) -> DataFrame:
+        """The rows of ``_rare_gains`` as blocks."""
+        n, at_once = self.tasks * SLICES, PIECE
+
+        def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            h, w, gain, base = (np.concatenate([x.column(k).to_numpy() for x in parts]) for k in ("h", "w", "gain", "base"))
+            order, groups = _groups(_buckets(h, w, n))
+            h, w, gain, base = h[order], w[order], gain[order], base[order]
+            return _block_rows([(k, GAINS, *_codes_packed(h[at], w[at], False), gain[at].tobytes(), base[at].tobytes()) for k, at in groups])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, size = [], 0
             for batch in batches:
-                h, w, c = (batch.column(k).to_numpy() for k in range(3))
-                two = np.where(c < len(kept), kept[np.minimum(c, len(kept) - 1)], c - 0.5) / of.before[h]
-                gain = np.log10(two) - of.weight[h] - np.log10((of.c[w] + 1) / total)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain)], names=["h", "w", "gain"])
+                parts.append(batch)
+                size += batch.num_rows
+                if size >= at_once:
+                    yield block(parts)
+                    parts, size = [], 0
+            if size:
+                yield block(parts)
 
-        return pairs.select("h", "w", "c").mapInArrow(gains, "h long, w long, gain double")
+        return rare.mapInArrow(pack, BLOCKS)
 
     @staticmethod
-    def frequent(table: DataFrame, room: int) -> int:
-        """The least count c, a power of two, that no more than ``room`` rows of ``table`` reach."""
+    def frequent(table: DataFrame, room: int, stands_for: str = "1") -> int:
+        """The least count c, a power of two, that no more than ``room`` rows of ``table`` reach, or of those that its rows stand for."""
         power = F.floor(F.log2(F.col("c"))).cast("int")
-        sizes = {r["p"]: r["count"] for r in table.groupBy(power.alias("p")).count().collect()}  # 64 rows at most
+        sizes = {r["p"]: r["n"] for r in table.groupBy(power.alias("p")).agg(F.sum(F.expr(stands_for)).alias("n")).collect()}  # 64 rows at most
         least = 63
         while least > 0 and room >= sizes.get(least - 1, 0):
             least -= 1
             room -= sizes.get(least, 0)
         return 1 << least
 
-    def _first_pass(self, docs: DataFrame, often: Broadcast) -> DataFrame:
-        """row, doc_id, held, tokens, known, base, alpha, gain of every text by what is broadcast; other words count as unseen."""
-        numbers, rows, top, total = self.numbers, self.rows, self.top, float(self.total)
+    def _token_blocks(self, docs: DataFrame, often: Broadcast, turn: int) -> DataFrame:
+        """Blocks of the tokens of a slice that no broadcast pair has, and of its rare words behind NONE.
 
-        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = rows.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    if not part.num_rows:
-                        continue
-                    history, word, text = _codes(part, numbers)
-                    within = _within(word, top)
-                    code = np.where(within, word, NONE)
-                    found, gain = often.value(history, word)
-                    starts = np.flatnonzero(np.diff(text, prepend=-1))
-                    each = (
-                        np.ones(len(word), np.int64), (of.c[code] > 0).astype(np.int64),
-                        np.log10((of.c[code] + 1) / total), of.alpha[code], np.where(found, gain, 0.0),
-                    )
-                    sums = [pa.array(np.add.reduceat(x, starts)) for x in each]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("row"), part.column("doc_id"), part.column("held"), *sums],
-                        names=["row", "doc_id", "held", "tokens", "known", "base", "alpha", "gain"],
-                    )
-
-        columns = "row long, doc_id long, held boolean, tokens long, known long, base double, alpha double, gain double"
-        return _source(docs).mapInArrow(add_up, columns)
-
-    def _others(self, docs: DataFrame, often: Broadcast, turn: int) -> DataFrame:
-        """row, h, w: the tokens of a slice that no broadcast pair has, and its rare words behind NONE."""
-        numbers, top, slices = self.numbers, self.top, SLICES
+        In the first turn also of what the broadcast tables tell of every text; other words count as unseen there.
+        """
+        numbers, rows, top, total = self.numbers, self.rows, self.top, float(self.total)
+        slices, n, at_once = SLICES, self.tasks * SLICES, TALLIED
+
+        def texts(names: np.ndarray, word: np.ndarray, gain: np.ndarray, text: np.ndarray) -> tuple:
+            of, code = rows.value, np.where(_within(word, top), word, NONE)
+            starts = np.flatnonzero(np.diff(text, prepend=-1))
+            counts = [np.add.reduceat(x, starts) for x in (np.ones(len(word), np.int64), (of.c[code] > 0).astype(np.int64))]
+            sums = [np.add.reduceat(x, starts).tobytes() for x in (np.log10((of.c[code] + 1) / total), of.alpha[code] + gain)]
+            bucket = int(_buckets(names[:1], names[:1], n)[0]) // slices * slices + turn
+            return bucket, TEXTS, names.tobytes(), np.concatenate(counts).tobytes(), *sums
+
+        def block(parts: list[tuple]) -> Iterator[tuple]:
+            names, h, w, name, bucket = map(np.concatenate, zip(*parts, strict=True))
+            rare = ~(_within(h, top) & _within(w, top))
+            order, groups = _groups(2 * bucket + rare)
+            h, w, name = h[order], w[order], name[order]
+            for key, at in groups:
+                first = np.flatnonzero(np.diff(name[at], prepend=-1))
+                runs = np.diff(first, append=at.stop - at.start)
+                kind = OTHERS if key % 2 else TOKENS
+                yield key // 2, kind, *_codes_packed(h[at], w[at], kind == TOKENS), names[name[at][first]].tobytes(), _packed(runs)
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, whole, size, before = [], [], 0, 0
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
-                    history, word, text = _codes(part, numbers)
-                    own = np.mod(history ^ word, slices) == turn
-                    own[own] = ~often.value(history[own], word[own])[0]
-                    alone = ~_within(word, top) & (np.mod(word ^ NONE, slices) == turn)
                     names = part.column("row").to_numpy()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([names[text[own]], names[text[alone]]])),
-                         pa.array(np.concatenate([history[own], np.full(alone.sum(), NONE, np.int64)])),
-                         pa.array(np.concatenate([word[own], word[alone]]))],
-                        names=["row", "h", "w"],
-                    )
+                    history, word, text = _codes(part, numbers)
+                    bucket = _buckets(history, word, n)
+                    own = np.mod(bucket, slices) == turn
+                    if turn:
+                        own[own] = ~often.value(history[own], word[own])[0]
+                    else:
+                        found, gain = often.value(history, word)
+                        own &= ~found
+                        whole.append(texts(names, word, np.where(found, gain, 0.0), text))
+                    alone = np.flatnonzero(~_within(word, top))
+                    behind = np.full(len(alone), NONE, np.int64)
+                    bucket_alone = _buckets(behind, word[alone], n)
+                    mine = np.mod(bucket_alone, slices) == turn
+                    alone = alone[mine]
+                    parts.append((
+                        names,
+                        np.concatenate([history[own], behind[mine]]), np.concatenate([word[own], word[alone]]),
+                        np.concatenate([text[own], text[alone]]) + before, np.concatenate([bucket[own], bucket_alone[mine]]),
+                    ))
+                    before += len(names)
+                    size += len(parts[-1][1])
+                    if size >= at_once:
+                        yield _block_rows([*whole, *block(parts)])
+                        parts, whole, size, before = [], [], 0, 0
+            if parts and (rows_left := [*whole, *block(parts)]):
+                yield _block_rows(rows_left)
+
+        return _source(docs).select("row", "text").mapInArrow(spread, BLOCKS)
+
+    def _sums(self, blocks: DataFrame) -> DataFrame:
+        """row, tokens, known, base, gain: what the texts' tokens find in the pairs of their buckets, added up by texts."""
+        gains, top, least, tasks, slices, at_once = self._gains(), self.top, self.often_from, self.tasks, SLICES, PIECE
+        kinds = (np.int64, np.int64, np.int64, np.float64, np.float64)
+
+        def deal(parts: list[tuple]) -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            part = ((columns[0].view(np.uint64) >> np.uint64(32)) * np.uint64(tasks)) >> np.uint64(32)
+            order, groups = _groups(part.astype(np.int64))
+            arrays = [pa.array([key for key, _ in groups], pa.int32())]
+            for x in columns:
+                x = x[order]
+                arrays.append(pa.array([x[at].tobytes() for _, at in groups], pa.binary()))
+            return pa.RecordBatch.from_arrays(arrays, names=["part", *SUMS])
+
+        def tables(found: dict[int, list[tuple]]) -> dict[int, Table]:
+            none = np.zeros(0, np.int64)
+            h, w, c = (np.concatenate(x) for x in zip(*found[PAIRS] or [(none, none, none)], strict=True))
+            seldom = c < least
+            h, w, c = h[seldom], w[seldom], c[seldom]
+            rare = [np.concatenate(x) for x in zip(*found[GAINS] or [(none, none, none * 0.0, none * 0.0)], strict=True)]
+            return {TOKENS: Table(h, w, gains(h, w, c), top=top), OTHERS: Table(*rare)}
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, table, parts, size = {PAIRS: [], GAINS: []}, None, [], 0
+            for batch in batches:
+                kind_of, hs, ws, xs, ys = (batch.column(k) for k in BLOCK[1:])
+                for i in range(batch.num_rows):
+                    kind = kind_of[i].as_py()
+                    if kind == TEXTS:
+                        names, counts = (np.frombuffer(x[i].as_py(), np.int64) for x in (hs, ws))
+                        parts.append((names, *counts.reshape(2, -1), *(np.frombuffer(x[i].as_py()) for x in (xs, ys))))
+                    else:
+                        h, w = _codes_unpacked(hs[i], ws[i], kind in (PAIRS, TOKENS))
+                        if kind == PAIRS:
+                            found[kind].append((h, w, _unpacked(xs[i], len(h))))
+                            continue
+                        if kind == GAINS:
+                            found[kind].append((h, w, np.frombuffer(xs[i].as_py()), np.frombuffer(ys[i].as_py())))
+                            continue
+                        if table is None:
+                            table, found = tables(found), None
+                        gain, base = table[kind](h, w)
+                        names = np.frombuffer(xs[i].as_py(), np.int64)
+                        runs = _unpacked(ys[i], len(names))
+                        first = np.cumsum(runs) - runs
+                        none = np.zeros(len(names), np.int64)
+                        if base is None:
+                            known, base = none, none * 0.0
+                        else:
+                            known, base = np.add.reduceat((base > 0).astype(np.int64), first), np.add.reduceat(base, first)
+                        parts.append((names, none, known, base, np.add.reduceat(gain, first)))
+                    size += len(parts[-1][0])
+                    if size >= at_once:
+                        yield deal(parts)
+                        parts, size = [], 0
+            if parts:
+                yield deal(parts)
+
+        def together(parts: list[tuple]) -> tuple:
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            order = np.argsort(columns[0])
+            name = columns[0][order]
+            first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            return name[first], *(np.add.reduceat(x[order], first) for x in columns[1:])
 
-        return _source(docs).select("row", "text").mapInArrow(spread, "row long, h long, w long")
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, size, full = [], 0, at_once
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    parts.append(tuple(np.frombuffer(batch.column(k)[i].as_py(), kind) for k, kind in zip(SUMS, kinds, strict=True)))
+                    size += len(parts[-1][0])
+                    if size >= full:
+                        parts = [together(parts)]
+                        size = len(parts[0][0])
+                        full = max(at_once, 2 * size)
+            if parts:
+                yield from _batches(SUMS, together(parts))
+
+        met = blocks.repartitionById(tasks, F.expr(f"cast(bucket div {slices} as int)")).sortWithinPartitions("kind")
+        met = met.mapInArrow(meet, "part int, " + ", ".join(f"{k} binary" for k in SUMS))
+        return met.repartitionById(tasks, "part").mapInArrow(add_up, "row long, tokens long, known long, base double, gain double")
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
-        common = self.pairs.where(_common(self.top, "h", "w"))
-        least = self.frequent(self.pairs, self.most)
-        head = self._common_gains(common.where(F.col("c") >= least))
-        key = (F.col("h") * self.top + F.col("w")).alias("key")
-        often = docs.sparkSession.sparkContext.broadcast(Often(head.select(key, "gain").toArrow(), self.top))
-        main = self._first_pass(docs, often).groupBy("row").agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held").alias("held"),
-            F.count("*").alias("texts"),
-            *[F.sum(c).alias(c) for c in ("tokens", "known", "base", "alpha", "gain")],
-        )
-        # no pair comes twice, so its join's hash tables are of about one size: that of a slice over the number of tasks
-        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        tasks = max(tasks, -(-(self.pairs.count() + self.distinct) // (SLICES * HASHED)))
-        rest = None
+        often = docs.sparkSession.sparkContext.broadcast(Often(self._frequent_gains().toArrow(), self.top))
+        sums = None
         for turn in range(SLICES):
-            own = F.expr(f"pmod(h ^ w, {SLICES}) = {turn}")
-            tail = self._common_gains(common.where((F.col("c") < least) & own)).withColumn("base", F.lit(0.0))
-            tail = tail.unionByName(self.rare.where(own))
-            tail = tail.repartition(tasks, "h", "w").hint("shuffle_hash")
-            met = self._others(docs, often, turn).repartition(tasks, "h", "w").join(tail, ["h", "w"]).groupBy("row").agg(
-                F.sum("gain").alias("more"), F.sum("base").alias("more_base"), F.sum((F.col("base") > 0).cast("long")).alias("more_known")
-            )
-            met = stored(met, "slice")
-            rest = met if rest is None else rest.unionByName(met)
-        rest = rest.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "more_base", "more_known")])
+            own = F.expr(f"bucket % {SLICES} = {turn}")
+            tables = self.blocks.where((F.col("kind") == PAIRS) & own).unionByName(self.gains.where(own))
+            met = stored(self._sums(tables.unionByName(self._token_blocks(docs, often, turn))), "slice")
+            sums = met if sums is None else sums.unionByName(met)
+        sums = sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in SUMS[1:]])
+        texts = _source(docs).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held").alias("held"), F.count("*").alias("texts"))
         # sums over the copies of a row, each of which has the same share of them
-        base = (F.col("base") + F.coalesce("more_base", F.lit(0.0))) / F.col("texts")
-        other = (F.col("alpha") + F.col("gain") + F.coalesce("more", F.lit(0.0))) / F.col("texts")
+        base = F.col("base") / F.col("texts")
         return (
-            main.join(rest, "row", "left")
+            texts.join(sums, "row")
             .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("texts"))))
             .select(
                 "doc_id",
                 F.col("held").alias("held_out"),
                 (F.col("tokens") / F.col("texts")).cast("long").alias("n_tokens"),
-                ((F.col("known") + F.coalesce("more_known", F.lit(0))) / F.col("texts")).cast("long").alias("n_known"),
+                (F.col("known") / F.col("texts")).cast("long").alias("n_known"),
                 F.lit(self.tokens).cast("long").alias("train_tokens"),
                 base.alias("base_score"),
-                (base + other + F.lit(self.start)).alias("score"),
+                (base + F.col("gain") / F.col("texts") + F.lit(self.start)).alias("score"),
             )
         )
 

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_plain import ODD, SCHEMA, documents, prose, words
 
@@ -170,3 +171,65 @@ def test_each_pair_is_counted_once_without_hash_tables(spark, monkeypatch):
         assert len({(r["h"], r["w"]) for r in got}) == len(got) == len(of_pair)
         assert Counter(r["c"] for r in got) == Counter(of_pair.values())
         assert pairs.rdd.getNumPartitions() == max(4, -(-tokens // at_once))
+
+
+def test_pairs_are_stored_in_blocks_of_a_bucket(spark):
+    docs = documents(spark, ROWS)
+    for most in (60, katz.FREQUENT):
+        model = katz.Model(docs, most=most)
+        pairs = model.pairs.collect()
+        files = model.pairs.inputFiles()
+        rows = spark.read.parquet(*files).collect()
+        assert len(rows) < len(pairs) / 10  # a row for each bucket and kind, not for each pair
+        buckets = model.tasks * katz.SLICES
+        assert len(rows) <= 2 * buckets
+        assert len({(r["h"], r["w"]) for r in pairs}) == len(pairs)
+        seen = 0
+        for bucket in {r["bucket"] for r in rows}:
+            own = katz.unpacked(model.blocks.where(f"bucket = {bucket}")).toArrow()
+            h, w = own["h"].to_numpy(), own["w"].to_numpy()
+            assert (katz._buckets(h, w, buckets) == bucket).all()
+            seen += len(h)
+        assert seen == len(pairs)
+
+
+def test_scores_with_many_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(katz, "TALLIED", 1500)
+    monkeypatch.setattr(katz, "PIECE", 20)
+    rows = [*ROWS, *ROWS[:9], *ROWS[:3], (None, "a b a b"), (None, "a b a b"), (None, None), (300, ""), (301, "never seen before " * 4)]
+    docs = documents(spark, rows).repartition(3)
+    for most in (60, katz.FREQUENT):
+        check(rows, docs, most=most)
+
+
+def test_packed_numbers_and_codes_come_back():
+    rng = np.random.default_rng(7)
+    for top in (0, 1, 255, 256, 65535, 65536, 2**32 - 1, 2**32, 2**62):
+        x = rng.integers(0, top, 50, endpoint=True)
+        x[0] = top
+        assert (katz._unpacked(pa.scalar(katz._packed(x)), 50) == x).all()
+    assert len(katz._packed(np.ones(9, np.int64))) == 9 and len(katz._unpacked(pa.scalar(b""), 0)) == 0
+    hashes = rng.integers(-(2**63), 2**63 - 1, 90)
+    numbers = rng.integers(1, katz.NUMBERED + katz.FIRST, 90)
+    for codes, common in ((hashes, False), (numbers, True)):
+        h, w = katz._codes_unpacked(*map(pa.scalar, katz._codes_packed(codes, codes[::-1], common)), common)
+        assert (h == codes).all() and (w == codes[::-1]).all()
+
+
+def test_table_finds_only_its_pairs():
+    rng = np.random.default_rng(9)
+    hashes = np.concatenate([[katz.NONE, katz.END, katz.START], rng.integers(-(2**63), 2**63 - 1, 20)])
+    for top, codes in ((25, np.arange(1, 25)), (None, hashes)):
+        all_pairs = [(h, w) for h in codes for w in codes]
+        h, w = np.array(all_pairs).T
+        for n in (0, 1, 100):
+            there = rng.permutation(len(h))[:n]
+            base = None if top else there + 0.5
+            gain, bases = katz.Table(h[there], w[there], there + 1.0, base, top)(h, w)
+            want = np.zeros(len(h))
+            want[there] = there + 1.0
+            assert (gain == want).all()
+            if bases is not None:
+                assert (bases == np.where(want > 0, want - 0.5, 0.0)).all()
+        others = np.array([9, 24] if top else [3, 77]), np.array([5, 5])  # the first 9 pairs have one history
+        assert (katz.Table(h[:9], w[:9], np.ones(9), None if top else np.ones(9), top)(*others)[0] == 0).all()
